@@ -1,5 +1,7 @@
 """Trimming, case and key spellings."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,26 +19,30 @@ def name_key(c: Column) -> Column:
     return F.lower(trimmed(c))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def url_key(c: Column) -> Column:
     """The identity of a url.
 
     Trimmed; scheme and host in lower case; no user info, no final dot of the host, no port 80 of http or 443 of https, no
     slashes at the very end. All else counts as written; a string without `://` only loses white space and slashes.
     """
-    whole = F.rtrim(trimmed(c), F.lit("/"))
-    at = F.instr(whole, "://")
-    scheme = F.lower(F.substring(whole, F.lit(1), at - 1))
-    rest = F.substring(whole, at + 3, F.length(whole))
-    authority = F.regexp_extract(rest, r"^[^/?#]*", 0)
-    path = F.substring(rest, F.length(authority) + 1, F.length(rest))
-    host = F.lower(F.substring_index(authority, "@", -1))
-    host = (
-        F.when((scheme == "http") & host.endswith(":80"), F.substring(host, F.lit(1), F.length(host) - 3))
-        .when((scheme == "https") & host.endswith(":443"), F.substring(host, F.lit(1), F.length(host) - 4))
-        .otherwise(host)
-    )
-    host = F.when(host.contains("."), F.regexp_replace(host, r"\.(?=(?::[0-9]*)?$)", "")).otherwise(host)
-    return F.when(at > 1, F.concat(scheme, F.lit("://"), host, path)).otherwise(whole)
+
+    def front(p: Column) -> Column:
+        p = F.regexp_replace(F.lower(p), "(?s)://.*@", "://")
+        p = F.regexp_replace(p, r"\.(?=(?::[0-9]*)?$)", "")
+        return F.regexp_replace(p, "(?s)^(http://.*):80$|^(https://.*):443$", "$1$2")
+
+    def whole(u: Column) -> Column:
+        return let(
+            F.regexp_extract(u, "(?s)^.+?://[^/?#]*", 0),
+            lambda p: F.when(p == "", u).otherwise(F.concat(front(p), F.substring(u, F.length(p) + 1, F.length(u)))),
+        )
+
+    return let(F.rtrim(trimmed(c), F.lit("/")), whole)
 
 
 def hash_key(c: Column) -> Column:
