@@ -14,6 +14,7 @@ from typing import NamedTuple
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ class WordEncoder:
 def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Ranges of a batch's rows with at most so many bytes of text each, or one row."""
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if i > start and size + (n or 0) > most_bytes:
             yield start, i
             start, size = i, 0

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import hash_key, url_key
-from auditloom.llm import byte_pairs, seen_keys
+from auditloom.llm import byte_pairs, mixing, seen_keys, text_quality
 from auditloom.sources import table
 
 _KEYED = ["source_urls", "maintainers_hashed"]
@@ -32,7 +32,41 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return byte_pairs.encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_error_rates": p1_error_rates, "p6_ids": p6_ids}
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mix of the documents' sources at their target weights."""
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.mix_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are not natural prose."""
+    return text_quality.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Per document the characters of each class."""
+    return text_quality.class_characters(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The plain statistics of every document."""
+    return text_quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_error_rates": p1_error_rates,
+    "p6_ids": p6_ids,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_classes": p8_classes,
+    "p8_statistics": p8_statistics,
+}
 
 _WS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
@@ -51,5 +85,17 @@ keyed AS (
               ELSE s || '://' || CASE WHEN s = 'http' THEN regexp_replace(h, ':80$', '') WHEN s = 'https' THEN regexp_replace(h, ':443$', '') ELSE h END || x.r END AS key FROM host),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY table_name, key ORDER BY seed DESC, ts, record_id) AS n FROM keyed WHERE key <> '')
 SELECT table_name, record_id FROM ordered WHERE NOT seed AND n > 1
+""",
+    "p8_statistics": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w,
+         list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(x, ' ' || chr(9)) <> '') AS l,
+         regexp_replace(text, '[ \t\r\n]', '', 'g') AS solid FROM t)
+SELECT doc_id, len(w) AS n_words, length(array_to_string(w, ''))::DOUBLE / nullif(len(w), 0) AS mean_word_length,
+       length(regexp_replace(solid, '[\p{L}\p{N}]', '', 'g'))::DOUBLE / nullif(length(solid), 0) AS symbol_ratio,
+       len(list_filter(l, lambda x: regexp_matches(x, '[.!?…][ \t]*$')))::DOUBLE / nullif(len(l), 0) AS line_end_share,
+       len(list_filter(w, lambda x: list_contains(known, x)))::DOUBLE / nullif(len(w), 0) AS common_share
+FROM parts, (SELECT list(word) AS known FROM common_words)
 """,
 }

@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def _reduce(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.compute.and_(batch.column("h1").is_valid(), batch.column("source").is_valid()))
+            batch = batch.filter(pc.and_(batch.column("h1").is_valid(), batch.column("source").is_valid()))
             if not batch.num_rows:
                 continue
             c = {n: batch.column(n) for n in batch.schema.names}
@@ -133,7 +134,7 @@ def _reduce(shards: int):
             none = pa.array(repeat)
             rows = {
                 "shard": pa.array((np.abs(spread) % shards).astype(np.int32)), "kind": pa.array(kind), "source": c["source"], "at": c["at"], "record_id": c["record_id"],
-                "h1": pa.compute.if_else(none, 0, c["h1"]), "h2": pa.compute.if_else(none, 0, c["h2"]), "bits": pa.nulls(len(kind), pa.binary()),
+                "h1": pc.if_else(none, 0, c["h1"]), "h2": pc.if_else(none, 0, c["h2"]), "bits": pa.nulls(len(kind), pa.binary()),
             }
             yield pa.RecordBatch.from_pydict(rows).filter(pa.array(keep))
 
