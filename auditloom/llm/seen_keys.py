@@ -193,7 +193,7 @@ def digests(source: Column, key: Column) -> list[Column]:
 
 
 def _rows(df: DataFrame, kind: int, sources: list[str], namespace: str = _BLANK) -> DataFrame:
-    code = F.array_position(F.array(*(F.lit(s) for s in sources)), F.col("table_name")) - 1
+    code = F.nullif(F.array_position(F.array(*(F.lit(s) for s in sources)), F.col("table_name")), F.lit(0).cast("long")) - 1
     # Blank keys get no digest and leave in the next step: a filter here would compute every key twice.
     return df.select(
         F.lit(kind).cast("tinyint").alias("kind"), code.cast("tinyint").alias("source"), F.col("at").cast("timestamp_ntz").alias("at"), F.col("record_id").cast("long").alias("record_id"),

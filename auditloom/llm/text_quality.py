@@ -74,6 +74,12 @@ def _totals(counts: Counter) -> list[int]:
     return total
 
 
+def _freshness(tokens: list[str], window: int = 64) -> float:
+    """The logarithm of the share of distinct words, on average over windows: long texts are not less fresh than short ones."""
+    parts = [tokens[i : i + window] for i in range(0, len(tokens), window)]
+    return sum(len(p) * math.log(len(set(p)) / len(p)) for p in parts) / max(1, len(tokens))
+
+
 def statistics(block: str, common: frozenset[str]) -> list[float]:
     """The statistics of a block, as named by STATISTICS. All are shares from 0 to 1 but for lengths and the share of fresh words, which are logarithms.
 
@@ -99,7 +105,7 @@ def statistics(block: str, common: frozenset[str]) -> list[float]:
         sum(_ENDED.search(x) is not None for x in lines) / n_lines,
         math.log1p(len(words) / n_lines),
         math.log1p(len(words) / max(1, len(_SENTENCE_END.findall(text)))),
-        math.log(max(1, len(counts)) / n_tokens),
+        _freshness(tokens),
         vowels / max(1, letters),
         sum(x[:1] in " \t" for x in lines) / n_lines,
         frames / m,
