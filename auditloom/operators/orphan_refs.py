@@ -56,7 +56,7 @@ def orphan_records(refs: DataFrame, targets: DataFrame, heavy_keys: int = 512) -
     columns are ignored. Result: table_name, record_id, reason; a reference that occurs twice comes out twice. Empty
     targets make every reference `missing`; a NULL time on either side is never `late`.
     """
-    refs = live_refs(refs)
+    refs = live_refs(refs.select("table_name", "record_id", "ref_key", "at"))
     found = _joined(refs, targets, heavy_keys_of(refs, heavy_keys)).withColumn("reason", _reason(F.col("at")))
     return found.where(F.col("reason").isNotNull()).select("table_name", "record_id", "reason")
 
@@ -67,7 +67,7 @@ def orphan_counts(refs: DataFrame, targets: DataFrame, heavy_keys: int = 512) ->
     Whole groups are judged by their earliest and latest record; only the groups that a target's added_at cuts in two are
     counted record by record. Result: table_name, period (first day of the month; NULL without a time), reason, n_refs.
     """
-    refs = live_refs(refs).withColumn("period", F.trunc("at", "month"))
+    refs = live_refs(refs.select("table_name", "record_id", "ref_key", "at")).withColumn("period", F.trunc("at", "month"))
     grouped = refs.groupBy("table_name", "ref_key", "period").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("from_at"), F.max("at").alias("to_at")
     )

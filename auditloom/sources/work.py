@@ -11,21 +11,30 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+_KNOWN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, without a slash at its end."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """This application's own folder within the shared one. Where it is a local folder it is removed at exit, else by clear_work()."""
     app = spark.sparkContext.applicationId
-    if app not in _OWN:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN[app] = tempfile.mkdtemp(prefix="auditloom-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
+        named = f"file://{tempfile.gettempdir()}"
+    own = f"{named.rstrip('/')}/auditloom-{app}"
+    if own not in _KNOWN:
+        _KNOWN.add(own)
+        local = own.removeprefix("file://") if own.startswith(("file://", "/")) else None
+        if local:
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return own
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that were not written or collected yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
