@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import diffs, rules, scoring
 from auditloom.operators.rules import Rule
-from auditloom.sources import table
+from auditloom.sources import stage_table, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -183,11 +183,16 @@ def audit(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     Result: the id, score, n_findings, worst, band, rules (sorted), gaps. Diffs without a finding have score 0.
     """
     lines = diffs.diff_lines(docs, id_column, text_column)
-    facts = diffs.diff_facts(docs, id_column, text_column)
+    facts = stage_table(diffs.diff_facts(docs, id_column, text_column), "facts")
     found = rules.findings(lines, id_column).select(id_column, "rule_id", "severity").unionByName(rules.structural(facts, id_column).select(id_column, "rule_id", "severity"))
+    found = stage_table(found, "findings")
+    # A diff has at most one finding of each rule, so the lists are as long as the catalogue.
     named = found.groupBy(id_column).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
     scored = facts.select(id_column).join(scoring.scores(found, id_column), id_column, "left").join(named, id_column, "left").join(diffs.coverage_gaps(facts, id_column), id_column, "left")
-    filled = scored.select(id_column, F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"), F.coalesce("worst", F.lit("INFO")).alias("worst"), F.coalesce("rules", F.lit("")).alias("rules"), F.coalesce(F.array_join("gaps", ","), F.lit("")).alias("gaps"))
+    filled = scored.select(
+        id_column, F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"), F.coalesce("worst", F.lit("INFO")).alias("worst"), F.coalesce("rules", F.lit("")).alias("rules"),
+        F.coalesce(F.array_join("gaps", ","), F.lit("")).alias("gaps"),
+    )
     return filled.withColumn("band", scoring.band(F.col("score"), F.col("worst"), F.lit(True), F.col("gaps") != ""))
 
 
