@@ -43,7 +43,7 @@ _VOWELS = regex.compile(r"[aeiouyàáâäãåæèéêëìíîïòóôöõøœù
 _FRAME = regex.compile(r"[=(){}\[\]|<>\"\t$@/\\_;─-╿]")
 _ODD = regex.compile(r"[^\p{L}\p{M}\p{N}\p{P}\p{Zs}\p{Cf}\s$+<=>^`|~]|�|[%#&*~^\\]")
 _RUN = regex.compile(r"(\S{1,3}?)\1{3,}")
-_HIDDEN = regex.compile(r"[­​-‏⁠-⁤﻿]")
+_HIDDEN = regex.compile(r"[\u00AD\u200B-\u200F\u2060-\u2064\uFEFF]")
 
 
 def blocks(text: str) -> list[str]:

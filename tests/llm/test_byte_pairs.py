@@ -20,7 +20,7 @@ def encoder():
 
 def test_fuzz(public, encoder):
     rng = random.Random(3)
-    letters = list(" \t\n\r\x0b\x0c\x1c\x85\xa0 　﻿​'sdtremAB12ßé漢字🙂\x00<|>endoftext١²")
+    letters = list(" \t\n\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\uFEFF\u200B'sdtremAB12ßé漢字🙂\x00<|>endoftext١²")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     assert encoder.encode(texts) == [public(t) for t in texts]
 
