@@ -338,3 +338,143 @@ def read(text: str) -> tuple[list[Line], dict[str, str], dict[str, list[str]]]:
             x.resolved, x.whole = expand(clamp(plain), scalars, arrays)
             x.resolved = collapse(clamp(re.sub(r"(?<=\w)(?:''|\"\")(?=\w)", "", x.resolved)))
     return lines, scalars, arrays
+
+
+# ---- commands and what they do to files ------------------------------------------------------------------------------
+
+_TOKEN = re.compile(r"""\s*(\d?>>?&?|<<<|<<-?|<|\|\||&&|[|;&()]|(?:[^\s"'\\<>|;&()]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+)""", re.S)
+_SEPARATORS = {"|", "||", "&&", ";", "&", "(", ")"}
+_HEREDOC = re.compile(r"<<(-?)\s*(['\"]?)(\w+)\2")
+#: Programs by what they do with a file argument.
+INTERPRETERS = frozenset({"sh", "bash", "zsh", "dash", "ksh", "python", "python2", "python3", "perl", "ruby", "node", "lua", "php", "source", "."})
+COMPILERS = frozenset({"cc", "gcc", "g++", "c++", "clang", "clang++", "rustc", "go"})
+COPIERS = frozenset({"cp", "mv", "install", "ln", "rsync"})
+FETCHERS = frozenset({"curl", "wget", "wget2", "aria2c", "axel"})
+PREFIXES = frozenset({"sudo", "env", "exec", "command", "nice", "nohup", "time", "then", "do", "else", "if", "while", "!"})
+
+
+def simple_commands(text: str) -> list[tuple[list[str], list[tuple[str, str]], str]]:
+    """The simple commands of a line: their words unquoted, their redirections (sign, file), and the separator before each.
+
+    >>> simple_commands('curl -o "a b" u && sh "a b" > /dev/null')
+    [(['curl', '-o', 'a b', 'u'], [], ''), (['sh', 'a b'], [('>', '/dev/null')], '&&')]
+    """
+    out: list[tuple[list[str], list[tuple[str, str]], str]] = []
+    words: list[str] = []
+    redirects: list[tuple[str, str]] = []
+    before, pending = "", ""
+    for m in _TOKEN.finditer(text):
+        t = m.group(1)
+        if t in _SEPARATORS:
+            if words or redirects:
+                out.append((words, redirects, before))
+            words, redirects, before, pending = [], [], t, ""
+        elif re.fullmatch(r"\d?>>?&?|<<<|<<-?|<", t):
+            pending = t
+        elif pending:
+            redirects.append((pending.lstrip("012"), unquote(t)))
+            pending = ""
+        else:
+            words.append(unquote(t))
+    if words or redirects:
+        out.append((words, redirects, before))
+    return out
+
+
+def _bare(words: list[str]) -> list[str]:
+    """Without assignments and prefixes in front."""
+    i = 0
+    while i < len(words) and (words[i] in PREFIXES or re.match(r"^[A-Za-z_]\w*=", words[i])):
+        i += 1
+    return words[i:]
+
+
+def _option(words: list[str], *names: str) -> str | None:
+    for i, w in enumerate(words):
+        for n in names:
+            if w == n and i + 1 < len(words):
+                return words[i + 1]
+            if n.startswith("--") and w.startswith(n + "="):
+                return w[len(n) + 1 :]
+    return None
+
+
+def normal_path(path: str) -> str:
+    return re.sub(r"^(?:\./)+", "", collapse(re.sub(r"/{2,}", "/", path.strip())))
+
+
+def actions(text: str) -> list[tuple[str, str]]:
+    """What a line does to files, in order: (generate | copy | fetch | execute, path).
+
+    >>> actions("curl -sSo x.sh https://u && chmod +x x.sh && ./x.sh"), actions("echo a | tee b > /dev/null; cp b c; python3 -u c")
+    ([('fetch', 'x.sh'), ('execute', 'x.sh')], [('generate', 'b'), ('copy', 'c'), ('execute', 'c')])
+    """
+    out: list[tuple[str, str]] = []
+    for words, redirects, _ in simple_commands(text):
+        own = _bare(words)
+        files = [w for w in own[1:] if not w.startswith("-")]
+        name = own[0].rsplit("/", 1)[-1] if own else ""
+        written = [p for sign, p in redirects if sign.startswith(">") and not p.startswith(("/dev/", "&"))]
+        if name in FETCHERS:
+            target = next((w[2:] for w in own[1:] if re.match(r"^-[oO]\S", w) and name != "curl" or re.match(r"^-o\S", w)), None) or _option(own, "-o", "--output", "--output-document", "-O")
+            target = target or next((own[i + 1] for i, w in enumerate(own[:-1]) if re.match(r"^-[a-zA-Z]*[oO]$", w)), None)
+            urls = [w for w in files if "://" in w]
+            if target and "://" not in target and target != "-":
+                out.append(("fetch", target))
+            elif written:
+                out += [("fetch", p) for p in written]
+            elif urls and (name != "curl" or any(re.match(r"^-\w*O$|^--remote-name$", w) for w in own)):
+                out.append(("fetch", re.sub(r"[?#].*$", "", urls[0]).rsplit("/", 1)[-1]))
+            continue
+        if name == "git" and "clone" in own and files:
+            rest = files[files.index("clone") + 1 :]
+            if rest:
+                out.append(("fetch", rest[1] if len(rest) > 1 else re.sub(r"\.git$", "", rest[0].rstrip("/").rsplit("/", 1)[-1])))
+            continue
+        if name == "tee":
+            out += [("generate", p) for p in files]
+        elif name in COPIERS and len(files) > 1 and not any(w.startswith("-") and "d" in w and name == "install" and "D" not in w for w in own[1:] if not w.startswith("--")):
+            out.append(("copy", _option(own, "-t", "--target-directory") or files[-1]))
+        elif name in INTERPRETERS and files and not any(w in ("-c", "-e") for w in own):
+            out.append(("execute", files[0]))
+        elif name in COMPILERS:
+            out += [("execute", p) for p in files if re.search(r"\.(?:c|cc|cpp|cxx|rs|go|s)$", p)]
+        elif name in ("make", "gmake", "ninja"):
+            if given := _option(own, "-f", "--file", "--makefile"):
+                out.append(("execute", given))
+        elif own and "/" in own[0] and "://" not in own[0] and not own[0].startswith("/usr/bin/"):
+            out.append(("execute", own[0]))
+        out += [("generate", p) for p in written]
+    return [(kind, normal_path(p)) for kind, p in out if p and not p.endswith("/") and not re.search(r"[*?{}]", p.replace("${", "").replace("}", ""))]
+
+
+def heredoc_bodies(lines: list[Line]) -> set[int]:
+    """idx of the lines that are the text of a here-document, per side of the diff that stays."""
+    inside: list[tuple[str, bool]] = []
+    out: set[int] = set()
+    for x in lines:
+        if x.side not in ("+", " "):
+            continue
+        if inside:
+            word, tabs = inside[0]
+            if (x.body.lstrip("\t") if tabs else x.body) == word:
+                inside.pop(0)
+            else:
+                out.add(x.idx)
+            continue
+        inside = [(m.group(3), m.group(1) == "-") for m in _HEREDOC.finditer(strip_comment(x.body)) if "<<<" not in m.group()]
+    return out
+
+
+def pipeline_ends(text: str) -> tuple[str, str] | None:
+    """First and last program of a line's last pipeline of two or more, without paths.
+
+    >>> pipeline_ends("cd x; lftp -c u | tar x | sudo bash -s"), pipeline_ends("make && make install")
+    (('lftp', 'bash'), None)
+    """
+    chain: list[str] = []
+    for words, _, before in simple_commands(text):
+        own = _bare(words)
+        name = own[0].rsplit("/", 1)[-1] if own else ""
+        chain = [*chain, name] if before == "|" else [name]
+    return (chain[0], chain[-1]) if len(chain) > 1 else None

@@ -122,9 +122,9 @@ def findings(lines: DataFrame, id_column: str, rules: tuple[Rule, ...] = RULES)
     if not rules:
         return lines.sparkSession.createDataFrame([], f"{lines.select(id_column).schema.simpleString()[7:-1]}, rule_id string, severity string, category string, idx int, file string, lineno int, match string")
     hits = F.filter(F.array(*(F.when(_applies(r), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))) for r in rules)), lambda h: h.isNotNull())
-    rows = lines.select(id_column, "idx", "file", "lineno", F.coalesce("resolved", "body").alias("match"), F.explode(hits).alias("h"))
-    first = rows.groupBy(id_column, "h.rule_id").agg(F.min(F.struct("idx", "h.severity", "h.category", "file", "lineno", "match")).alias("m"))
-    return first.select(id_column, "rule_id", "m.severity", "m.category", "m.idx", "m.file", "m.lineno", "m.match")
+    rows = lines.select(id_column, "idx", "file", "lineno", F.coalesce("resolved", "body").alias("match"), F.explode(hits).alias("_h"))
+    first = rows.groupBy(id_column, "_h.rule_id").agg(F.min(F.struct("idx", "_h.severity", "_h.category", "file", "lineno", "match")).alias("_m"))
+    return first.select(id_column, "rule_id", "_m.severity", "_m.category", "_m.idx", "_m.file", "_m.lineno", "_m.match")
 
 
 def _urls_of(side: str) -> Column:
@@ -159,4 +159,4 @@ def structural(facts: DataFrame, id_column: str) -> DataFrame:
     hits = F.filter(
         F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(k).alias("category"), m.alias("match"))) for i, s, k, c, m in rules)), lambda h: h.isNotNull()
     )
-    return facts.select(id_column, F.explode(hits).alias("h")).select(id_column, "h.*")
+    return facts.select(id_column, F.explode(hits).alias("_h")).select(id_column, "_h.*")

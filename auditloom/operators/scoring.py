@@ -34,9 +34,9 @@ def scores(findings: DataFrame, subject: str) -> DataFrame:
     findings: subject, rule_id, severity.
     """
     rank = F.array_position(F.array(*(F.lit(s) for s in ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL", "FATAL"))), F.col("severity"))
-    out = findings.groupBy(subject).agg(F.sum(severity_weight(F.col("severity"))).alias("s"), F.max(F.struct(rank, "severity")).alias("w"), F.count(F.lit(1)).alias("n_findings"))
-    score = F.when(F.col("w.severity") == "FATAL", 100).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.col("s")))).cast("int")
-    return out.select(subject, score.alias("score"), "n_findings", F.col("w.severity").alias("worst"))
+    out = findings.groupBy(subject).agg(F.sum(severity_weight(F.col("severity"))).alias("_sum"), F.max(F.struct(rank, "severity")).alias("_worst"), F.count(F.lit(1)).alias("n_findings"))
+    score = F.when(F.col("_worst.severity") == "FATAL", 100).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.col("_sum")))).cast("int")
+    return out.select(subject, score.alias("score"), "n_findings", F.col("_worst.severity").alias("worst"))
 
 
 def density(findings: DataFrame, subject: str, least: int = 3) -> DataFrame:
@@ -49,8 +49,8 @@ def stage_chain(findings: DataFrame, subject: str, stages: DataFrame, least: int
 
     stages: rule_id, stage. A subject has at most as many stages as there are in the table.
     """
-    own = findings.join(stages, "rule_id").groupBy(subject).agg(F.array_sort(F.collect_set("stage")).alias("s"))
-    return own.where(F.size("s") >= least).select(subject, F.size("s").cast("long").alias("n_stages"), F.array_join("s", ",").alias("stages"))
+    own = findings.join(stages, "rule_id").groupBy(subject).agg(F.array_sort(F.collect_set("stage")).alias("_own"))
+    return own.where(F.size("_own") >= least).select(subject, F.size("_own").cast("long").alias("n_stages"), F.array_join("_own", ",").alias("stages"))
 
 
 def suppressed(findings: DataFrame, overrides: DataFrame, subject: str) -> DataFrame:
@@ -85,4 +85,4 @@ def ranks(values: DataFrame, group: str, value: str, q: float) -> DataFrame:
 
 def correlation(values: DataFrame, x: str, y: str) -> DataFrame:
     """pearson of two columns, 0 where either doesn't vary."""
-    return values.agg(F.round(F.coalesce(F.corr(x, y), F.lit(0.0)), 6).alias("pearson"))
+    return values.agg(F.round(F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0)), 6).alias("pearson"))
