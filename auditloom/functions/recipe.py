@@ -42,6 +42,8 @@ class Line:
     context: str = "other"
     resolved: str | None = None
     whole: bool = True
+    pipe_from: str | None = None
+    pipe_to: str | None = None
 
 
 def diff_lines(text: str) -> list[Line]:
@@ -337,6 +339,8 @@ def read(text: str) -> tuple[list[Line], dict[str, str], dict[str, list[str]]]:
             plain = decode_ansi(own)
             x.resolved, x.whole = expand(clamp(plain), scalars, arrays)
             x.resolved = collapse(clamp(re.sub(r"(?<=\w)(?:''|\"\")(?=\w)", "", x.resolved)))
+            if "|" in x.resolved and (ends := pipeline_ends(strip_comment(x.resolved))):
+                x.pipe_from, x.pipe_to = ends
     return lines, scalars, arrays
 
 

@@ -13,17 +13,19 @@ from auditloom.functions import recipe
 _LINE = [
     ("idx", T.IntegerType(), pa.int32()), ("side", T.StringType(), pa.string()), ("body", T.StringType(), pa.string()), ("file", T.StringType(), pa.string()), ("lineno", T.IntegerType(), pa.int32()),
     ("function", T.StringType(), pa.string()), ("callers", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("context", T.StringType(), pa.string()), ("resolved", T.StringType(), pa.string()), ("whole", T.BooleanType(), pa.bool_()),
+    ("pipe_from", T.StringType(), pa.string()), ("pipe_to", T.StringType(), pa.string()),
 ]
 
 _URL = re.compile(r"(?:[a-z][a-z0-9+]*)://[^\s\"'()<>`]+", re.I)
 _DIGEST = re.compile(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$", re.I)
+_OID = re.compile(r"^(?:Subproject commit ([0-9a-f]{40})|oid sha256:([0-9a-f]{64}))")
 _SUMS = re.compile(r"^\s*(?:md5|sha1|sha224|sha256|sha384|sha512|b2)sums(?:_\w+)?\+?=")
 #: The arrays of a recipe that name other packages.
 DEPENDENCY_FIELDS = ("depends", "makedepends", "checkdepends", "optdepends", "provides", "replaces", "conflicts")
 
 
 def diff_lines(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row per line of each diff: the id, idx, side, body, file, lineno, function, callers, context, resolved, whole.
+    """One row per line of each diff: the id, idx, side, body, file, lineno, function, callers, context, resolved, whole, pipe_from, pipe_to.
 
     side is + or - or ' ' (context), @ for headers. resolved is the logical line with its variables put in, on the first line of
     a continued one; NULL on headers and continuations. NULL and empty diffs have no lines. Texts without headers are all context.
@@ -63,7 +65,10 @@ def facts_of(text: str) -> dict:
     version = {k: (was.get(k), scalars.get(k)) for k in ("pkgver", "pkgrel", "epoch")}
     n_sources = len(_items(arrays, scalars, "source"))
     keys, keys_before = set(_items(arrays, scalars, "validpgpkeys")), set(_items(were, was, "validpgpkeys"))
+    carried = {side: {m.group(1) or m.group(2) for x in lines if x.side == side and (m := _OID.match(x.body))} for side in "+-"}
     out = {
+        "carriers_moved": carried["+"] != carried["-"] and bool(carried["+"]), "hook_declared": bool(scalars.get("install")) or any((x.file or "").endswith(".install") for x in lines),
+        "odd_version": bool(re.search(r"[^A-Za-z0-9._+~:-]", scalars.get("pkgver", ""))) and any("pkgver" in x.body and "://" in x.body for x in lines),
         "added_lines": sum(x.side == "+" for x in lines), "removed_lines": sum(x.side == "-" for x in lines),
         "files": sorted({x.file for x in lines if x.file}), "added_urls": added, "removed_urls": removed,
         "pkgver_before": version["pkgver"][0], "pkgver_after": version["pkgver"][1], "version_changed": any(a != b for a, b in version.values()), "epoch_added": not was.get("epoch") and bool(scalars.get("epoch")),

@@ -96,8 +96,59 @@ RULES = (
     Rule("X008", "Unusual white space", r"[\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\x0B\x0C\x85]", "MEDIUM", "evasion", "raw", _RUN, stage="evasion"),
     Rule("X013", "Fetch redirected or trust replaced", r"\b(?:https?_proxy|ALL_PROXY)=|--(?:resolve|connect-to|doh-url|cacert)\b|\b(?:SSL_CERT_FILE|CURL_CA_BUNDLE)=", "HIGH", "evasion", "raw", _RUN, stage="delivery"),
     Rule("X015", "Work scheduled for later", r"(?:^|[;&|]\s*)\s*(?:crontab|at\s+now|batch|systemd-run|incrontab)\b|\bsystemctl\s+enable\s+--now\b", "HIGH", "evasion", "raw", _RUN, stage="persistence"),
+    Rule("R087", "Upload to a file-drop host", r"\b(?:curl|wget)\b.*(?:\s-[FTd]\b|--(?:form|upload-file|data\S*|post-file)\b).*\b(?:transfer\.sh|0x0\.st|file\.io|pastebin\.com|paste\.rs|termbin\.com|ix\.io|anonfiles\.com|gofile\.io|discord(?:app)?\.com/api/webhooks|api\.telegram\.org)\b", "HIGH", "network", scope=_RUN, stage="exfiltration"),
+    Rule("R088", "Hidden file dropped", r"(?:>>?\s*|\b(?:install|cp|mv|tee)\s[^;&|]*\s)[\"']?/(?!dev/|tmp/|var/tmp/)\S*/\.[\w-]+[\"']?\s*(?:$|[;&|])", "HIGH", "staging", scope=_RUN, unless=r"\$\{?(?:srcdir|pkgdir)\b", stage="staging"),
+    Rule("R117", "Literal spelled by escapes", r"\$'[^']*\\(?:x[0-9A-Fa-f]{2}|[0-7]{3})|\$\(printf\s+[\"'][^\"']*\\x", "INFO", "obfuscation", "raw", stage="evasion"),
+    Rule("R128", "Write outside the staging root", rf"(?:>>?\s*[\"']?/(?!dev/|tmp/|var/tmp/|proc/)|\b(?:install|cp|mv|tee)\s[^;&|]*{_ABSOLUTE}(?!dev/|tmp/|var/tmp/|usr/share/|proc/))", "HIGH", "staging", scope=BUILD_FUNCTIONS, unless=r"\$\{?(?:srcdir|pkgdir)\b|\bDESTDIR\b", stage="persistence"),
+    Rule("R131", "Build flags weakened", r"\b(?:C|CXX|CPP|LD|RUST|MAKE)FLAGS\s*\+?=.*(?:-fno-stack-protector|-U_FORTIFY_SOURCE|-D_FORTIFY_SOURCE=0|-no-pie|-z\s*,?\s*norelro)", "HIGH", "build", "raw", stage="evasion"),
+    Rule("R145", "Packaged file names a build-only path", r"\b(?:printf|echo|cat|tee)\b[^>]*\$\{?(?:srcdir|startdir|PWD|BUILDDIR)\b[^>]*>>?\s*[\"']?\$\{?pkgdir\b", "HIGH", "persistence", "raw", _RUN, stage="persistence"),
+    Rule("S004", "Secure deletion of user data", r"\b(?:shred|srm|wipe)\b[^;&|]*(?:\$\{?HOME\}?|~|/home/|/root/)", "HIGH", "sabotage", unless=r"\$\{?(?:srcdir|pkgdir)\b", stage="impact"),
+    Rule("W002", "Dependencies resolved from a registry", r"(?:^|[;&|]\s*)\s*(?:npm|pnpm|yarn|bun)\s+(?:ci|install|i)\b|\bpip3?\s+install\s+(?:-\S+\s+)*-r\b|\bcargo\s+fetch\b|\bgo\s+mod\s+download\b|\bbundle\s+install\b", "INFO", "unverifiable", scope=_RUN, stage="delivery"),
+    Rule("W004", "Unread build manifest", r"\b(?:make|gmake|ninja|bazel|scons)\b[^;&|]*\s(?:-f|--file|--makefile)[=\s]", "INFO", "unverifiable", scope=_RUN, stage="execution"),
+    Rule("W006", "Generated file names a build-only path", r"\b(?:printf|echo|cat|tee)\b[^>]*\$\{?(?:srcdir|startdir|PWD|BUILDDIR)\b[^>]*>", "INFO", "unverifiable", "raw", _RUN, unless=r">>?\s*[\"']?\$\{?pkgdir\b", stage="staging"),
+    Rule("C007", "Command substitution in sources", r"^\s*source\w*\+?=.*(?:\$\(|`)", "CRITICAL", "fetch", "raw", ("other",), stage="execution"),
+    Rule("X001", "Encoded payload decoded and executed", rf"(?:\bxxd\s+-r|\bod\s+-An|\bbase32\s+-d|\bbasenc\b|\bopenssl\s+enc\s+-d|\buudecode\b|\btr\s+[\"']?A-Za-z|\bprintf\s+[\"'](?:\\x|\\[0-7]{{3}}))[^|]*{_PIPE}.*{_RUNNER}", "CRITICAL", "evasion", "raw", _RUN, stage="evasion"),
+    Rule("X002", "Command word that is no literal", r"(?:^|[;&|]\s*)\s*(?:\$\{?!?[A-Za-z_]\w*(?:\[[^\]]*\])?\}?|\$\([^)]*\)|`[^`]*`|\w+\{[^}\s]*,[^}\s]*\}|/\S*\w[?*\[]\S*)(?=\s+[\w./-])", "CRITICAL", "evasion", scope=_RUN, unless=r"^\s*[A-Za-z_]\w*\+?=", stage="evasion"),
+    Rule("X003", "Obfuscated argument", r"\b(?:curl|wget)\b.*\s--(?:upload-f|outp|inse|loca|head|data-b)\b(?!\w)|\b(?:ba|z|da|k)?sh\s+-(?=\w*c)\w{2,}\s|https?://(?:0x[0-9a-f]+|0[0-7]+\.[0-9.]+|[0-9]{8,10})[/:]", "HIGH", "evasion", "raw", _RUN, stage="evasion"),
+    Rule("X005", "Home by another spelling", r"(?:>>?\s*|\b(?:install|cp|mv|tee)\s[^;&|]*\s)[\"']?(?:/home/[\w$]+|~\w+|/root\b|\$\{HOME:-)", "HIGH", "evasion", scope=_RUN, unless=r"\$\{?(?:srcdir|pkgdir)\b", stage="persistence"),
+    Rule("X006", "Source behind a shortener", r"\bhttps?://(?:bit\.ly|tinyurl\.com|t\.co|goo\.gl|is\.gd|v\.gd|rb\.gy|cutt\.ly|ow\.ly)/", "HIGH", "evasion", "raw", stage="delivery"),
+    Rule("X010", "One-liner reaches the network", r"\b(?:python|perl|ruby|node|php)[0-9.]*\s+-[cer]\s.*(?:urlopen|requests\.get|file_get_contents|socket\.connect|LWP|fetch\()", "HIGH", "evasion", "raw", _RUN, stage="delivery"),
+    Rule("X011", "Package manager runs fetched code", r"(?:^|[;&|]\s*)\s*(?:npm|pnpm|yarn|bun)\s+(?:install|i|add)\s+[\w@]|\bpip3?\s+install\s+[\w]|\b(?:cargo|go|gem|composer)\s+install\s+[\w]|\bnpx\s+\w|\bdeno\s+run\s+https?:", "HIGH", "evasion", "raw", _RUN, unless=r"\s\.{1,2}(?:/|\s|$)|--no-index|\$\{?srcdir", stage="execution"),
+    Rule("X012", "Toolchain redirected into the source tree", r"\b(?:CC|CXX|LD|AR|PATH|LD_PRELOAD|LD_LIBRARY_PATH|PYTHONPATH|MAKEFLAGS)=[\"']?\$\{?(?:srcdir|startdir|pkgdir)\b", "HIGH", "evasion", "raw", _RUN, stage="execution"),
+    Rule("X014", "Variable names code to run", r"\b(?:BASH_ENV|PROMPT_COMMAND|PS4|GIT_SSH_COMMAND|LESSOPEN|LD_AUDIT|GCONV_PATH|RUBYOPT|PERL5OPT|PYTHONSTARTUP|LUA_INIT)=|\bgit\s+config\b.*\b(?:core\.fsmonitor|diff\.external|credential\.helper|filter\.\S+\.clean)\b|\bProxyCommand\b", "HIGH", "evasion", "raw", _RUN, stage="execution"),
+    Rule("X017", "Flag or builtin carries a command", rf"\btar\b.*--(?:checkpoint-action=exec|to-command)=|\bfind\b.*-exec\s+{_SHELL}|\benable\s+-f\s|\bhash\s+-p\s", "HIGH", "evasion", "raw", _RUN, stage="execution"),
+    Rule("X018", "One-liner assembles a name", r"\b(?:python|perl|ruby|node|php)[0-9.]*\s+-[cer]\s.*(?:getattr\(\s*__import__|import_module\(|[\"']\s*\+\s*[\"']|\bexec\b.*\$\{?srcdir)", "HIGH", "evasion", "raw", _RUN, stage="evasion"),
+    Rule("X019", "Host material sent or packaged", r"(?:^|[;&|]\s*)\s*(?:dig|nslookup|host|drill)\b.*\$\(|\bping\b.*-p\s*[\"']?\$\(|(?:/etc/machine-id|/etc/hostname|\.ssh/|\.bash_history)\S*.*\$\{?pkgdir\b", "HIGH", "evasion", "raw", _RUN, stage="exfiltration"),
+    Rule("X020", "Recipe writes build steps", r"\b(?:printf|echo|cat|tee)\b.*(?:>>?|\btee\b)\s*[\"']?\S*(?:Makefile|build\.ninja|BUILD\.bazel|meson\.build|\.mk)\b", "HIGH", "evasion", "raw", _RUN, stage="execution"),
+    Rule("X021", "Runs a file chosen at runtime", r"\b(?:ba|z|da|k)?sh\s+[\"']?(?:\$\{?[0-9*@]|\$\{\w+\[|[\w./]*\*)", "HIGH", "evasion", "raw", _RUN, unless=r"\bexec\s+[\"']?\$@", stage="execution"),
 )
 
+#: Programs at the ends of pipelines. Consumers take a download as data.
+_CLIENTS = ("curl", "wget", "wget2", "aria2c", "axel", "lftp", "ftp", "nc", "ncat", "socat", "ssh", "dig", "openssl", "rsync", "scp", "telnet")
+_SHELLS = ("sh", "bash", "zsh", "dash", "ksh", "ash", "mksh", "yash")
+_RUNNERS = (*_SHELLS, "python", "python2", "python3", "perl", "ruby", "node", "php", "lua")
+_CONSUMERS = (
+    "tar", "bsdtar", "gzip", "gunzip", "zcat", "xz", "unxz", "zstd", "bzip2", "cpio", "unzip", "sha256sum", "sha512sum", "md5sum", "b2sum", "gpg", "tee", "cat", "grep", "sed", "awk", "tr", "cut", "sort", "uniq", "head", "tail", "wc",
+    "jq", "less", "more", "patch", "install", "dd", "xargs", "column", "od", "xxd", "base64", "true",
+)
+#: Signs of obfuscation, of which three in one line are a finding.
+_DENSITY = (r"\beval\b", r"\bbase64\b", r"\\x[0-9A-Fa-f]{2}", r"\$\{!?\w+[:#%/^,]", r"\bxxd\b", r"\$'", r"\brev\b", r"\btr\s", r"\$\(\s*printf", r"`")
+
+
+def _pipelines() -> list[tuple[str, str, str, Column]]:
+    """Rules over the ends of a line's pipeline and over the density of signs: id, severity, category, condition."""
+    run = F.array(*(F.lit(f) for f in _RUN))
+    inside = (F.col("side") == "+") & F.coalesce(F.arrays_overlap(F.concat(F.array(F.coalesce("function", F.lit(""))), F.coalesce("callers", F.array().cast("array<string>"))), run), F.lit(False))
+    first, last = F.col("pipe_from"), F.col("pipe_to")
+    signs = sum((F.col("body").rlike(p).cast("int") for p in _DENSITY), F.lit(0))
+    return [
+        ("X009", "CRITICAL", "evasion", inside & first.isin(*_CLIENTS) & ~first.isin("curl", "wget") & last.isin(*_RUNNERS)),
+        ("X016", "HIGH", "evasion", inside & first.isin(*_CLIENTS) & ~last.isin(*_RUNNERS, *_CONSUMERS)),
+        ("X023", "HIGH", "evasion", inside & last.isin(*_SHELLS) & ~first.isin(*_CLIENTS)),
+        ("R082", "MEDIUM", "obfuscation", inside & ~F.col("body").rlike(r"^\s*#") & (signs >= 3)),
+        ("R129", "HIGH", "network", (F.col("side") == "+") & F.col("function").isNull() & F.coalesce("file", F.lit("PKGBUILD")).rlike(r"PKGBUILD$|\.install$") & F.col("resolved").rlike(r"(?:\$\(|`|^\s*)(?:curl|wget2?|aria2c|nc)\s")),
+    ]
+
 
 def _applies(rule: Rule) -> Column:
     """On which lines a rule looks: side, comments, context or function with its callers."""
@@ -121,7 +172,9 @@ def findings(lines: DataFrame, id_column: str, rules: tuple[Rule, ...] = RULES)
     """
     if not rules:
         return lines.sparkSession.createDataFrame([], f"{lines.select(id_column).schema.simpleString()[7:-1]}, rule_id string, severity string, category string, idx int, file string, lineno int, match string")
-    hits = F.filter(F.array(*(F.when(_applies(r), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))) for r in rules)), lambda h: h.isNotNull())
+    special = _pipelines() if rules is RULES else []
+    hits = F.filter(F.array(*(F.when(_applies(r), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))) for r in rules),
+        *(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(k).alias("category"))) for i, s, k, c in special)), lambda h: h.isNotNull())
     rows = lines.select(id_column, "idx", "file", "lineno", F.coalesce("resolved", "body").alias("match"), F.explode(hits).alias("_h"))
     first = rows.groupBy(id_column, "_h.rule_id").agg(F.min(F.struct("idx", "_h.severity", "_h.category", "file", "lineno", "match")).alias("_m"))
     return first.select(id_column, "rule_id", "_m.severity", "_m.category", "_m.idx", "_m.file", "_m.lineno", "_m.match")
@@ -144,6 +197,11 @@ def structural(facts: DataFrame, id_column: str) -> DataFrame:
         ("C004", "CRITICAL", "integrity", F.col("sums_removed") & same_urls, F.lit("")),
         ("C005", "MEDIUM", "source", F.exists("added_urls", lambda u: u.rlike(r"(?i)\.(?:bin|exe|elf|so|dll|dylib|appimage|deb|rpm|apk|msi|jar|run)(?:[?#]|$)")), show("added_urls")),
         ("C006", "HIGH", "source", (F.size("removed_urls") > 0) & (F.size(F.array_except(_urls_of("added"), _urls_of("removed"))) > 0), show(F.array_except(_urls_of("added"), _urls_of("removed")))),
+        ("C008", "HIGH", "integrity", F.col("carriers_moved") & ~F.col("version_changed"), F.lit("")),
+        ("C009", "INFO", "integrity", F.col("carriers_moved") & F.col("version_changed"), F.lit("")),
+        ("R068", "INFO", "installer", F.col("hook_declared"), F.lit("install")),
+        ("R076", "MEDIUM", "network", F.col("odd_version"), F.col("pkgver_after")),
+        ("R079", "HIGH", "integrity", F.exists("added_urls", lambda u: u.rlike("#(?:tag|branch|commit)=") & F.exists("removed_urls", lambda v: (F.substring_index(u, "#", 1) == F.substring_index(v, "#", 1)) & v.contains("#commit="))) & ~F.col("version_changed"), show("added_urls")),
         ("R004", "HIGH", "integrity", F.col("sums_skipped"), F.lit("SKIP")),
         ("R006", "LOW", "network", F.exists("added_urls", lambda u: u.startswith("http://")) & ~F.col("sums_changed"), show("added_urls")),
         ("R060", "INFO", "build", F.arrays_overlap("functions_changed", F.array(*(F.lit(f) for f in BUILD_FUNCTIONS))), show("functions_changed")),

