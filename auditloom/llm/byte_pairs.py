@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.sources.work import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pattern that splits text before the merges, as published with the vocabulary; white space by Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
@@ -170,4 +172,4 @@ def encode_corpus(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=[id_column, "ids"])
 
     schema = T.StructType([docs.schema[id_column], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(id_column, F.col(text_column).cast("string").alias("_text")).mapInArrow(run, schema)
+    return spread(docs.select(id_column, F.col(text_column).cast("string").alias("_text"))).mapInArrow(run, schema)

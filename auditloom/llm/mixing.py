@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from auditloom.functions.text import name_key
 from auditloom.llm.byte_pairs import VOCABULARY, WordEncoder, load_merges, slices
-from auditloom.sources.work import stage_table
+from auditloom.sources.work import spread, stage_table
 
 
 class Flow:
@@ -146,7 +146,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 counts = [len(x) for x in encoder.encode(part.column(place).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if i != place), pa.array(counts, pa.int64())], names=[*names, "n_tokens"])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("n_tokens", T.LongType())]))
+    return spread(docs).mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), T.StructField("n_tokens", T.LongType())]))
 
 
 def distinct_texts(docs: DataFrame, targets: list[Target], vocabulary: str = VOCABULARY) -> DataFrame:

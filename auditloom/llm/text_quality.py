@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from auditloom.functions.text import trimmed
 from auditloom.llm.byte_pairs import slices
 from auditloom.llm.quality_examples import EXAMPLES
-from auditloom.sources.work import stage_table
+from auditloom.sources.work import spread, stage_table
 
 CLASSES = ("prose", "list", "table", "junk")
 STATISTICS = (
@@ -214,7 +214,7 @@ def block_statistics(docs: DataFrame, common: frozenset[str], id_column: str = "
 
     schema = T.StructType([docs.schema[id_column], T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("stats", T.ArrayType(T.DoubleType()))])
     full = docs.where(F.length(trimmed(F.col(text_column).cast("string"))) > 0)
-    return full.select(id_column, F.col(text_column).cast("string").alias("_text")).mapInArrow(run, schema)
+    return spread(full.select(id_column, F.col(text_column).cast("string").alias("_text"))).mapInArrow(run, schema)
 
 
 def fit(stats: DataFrame, common: frozenset[str], rounds: int = 12, floor: float = 0.02) -> tuple[np.ndarray, np.ndarray, Mixture, list[str]] | None:
