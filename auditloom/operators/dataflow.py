@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions import recipe
+from auditloom.sources.work import spread
 
 #: Programs of a project's own build that a recipe may write and run.
 BENIGN = ("configure", "configure.sh", "autogen.sh", "bootstrap", "build.ninja", "Makefile", "setup.py", "gradlew", "mvnw")
@@ -63,7 +64,7 @@ def diff_actions(diffs: DataFrame, id_column: str, text_column: str) -> DataFram
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, (_, _, k) in zip(zip(*rows), _KINDS))], names=[id_column, *(n for n, _, _ in _KINDS)])
 
     schema = T.StructType([diffs.schema[id_column], *(T.StructField(n, k) for n, k, _ in _KINDS)])
-    return diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t")).mapInArrow(run, schema)
+    return spread(diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t"))).mapInArrow(run, schema)
 
 
 def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = None) -> DataFrame:

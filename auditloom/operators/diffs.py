@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions import recipe
+from auditloom.sources.work import spread
 
 _LINE = [
     ("idx", T.IntegerType(), pa.int32()), ("side", T.StringType(), pa.string()), ("body", T.StringType(), pa.string()), ("file", T.StringType(), pa.string()), ("lineno", T.IntegerType(), pa.int32()),
@@ -40,7 +41,7 @@ def diff_lines(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array([getattr(x, n) for x in lines], k) for n, _, k in _LINE)], names=[id_column, *(n for n, _, _ in _LINE)])
 
     schema = T.StructType([diffs.schema[id_column], *(T.StructField(n, k) for n, k, _ in _LINE)])
-    return diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t")).mapInArrow(run, schema)
+    return spread(diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t"))).mapInArrow(run, schema)
 
 
 def _items(arrays: dict[str, list[str]], scalars: dict[str, str], name: str) -> list[str]:
@@ -101,7 +102,7 @@ def diff_facts(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[f.name] for r in rows], _ARROW[f.dataType]) for f in _FACTS)], names=[id_column, *_FACTS.names])
 
     schema = T.StructType([diffs.schema[id_column], *_FACTS])
-    return diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t")).mapInArrow(run, schema)
+    return spread(diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t"))).mapInArrow(run, schema)
 
 
 # ---- the same steps in plain expressions, where nothing has to be parsed ---------------------------------------------

@@ -44,3 +44,12 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for steps that cost far more than moving their input.
+
+    Only inputs of fewer files than cores are moved; anything larger stays as it was read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
