@@ -50,12 +50,17 @@ def template(url: Column) -> Column:
     return F.rtrim(u, F.lit("/"))
 
 
+#: What in a url names a branch, and what a tag or version.
+_BRANCH = r'(?i)/branches?/|/heads/|/master[./"]|/main[./"]|/develop[./"]'
+_TAG, _VERSION = r"(?i)/releases?/|/tags?/|/download/", r"(?:^|/)(?:v\d+(?:\.\d+)*|\d+(?:\.\d+)+)(?:/|$|\.)"
+
+
 def pinning_level(url: Column, checksum: Column) -> Column:
     """How firmly a url names its content: checksum_pinned, branch_pinned, tag_pinned or unpinned."""
     return (
         F.when(checksum, "checksum_pinned")
-        .when(url.rlike(r'(?i)/branches?/|/heads/|/master[./"]|/main[./"]|/develop[./"]'), "branch_pinned")
-        .when(url.rlike(r"(?i)/releases?/|/tags?/|/download/") | url.rlike(r"(?:^|/)(?:v\d+(?:\.\d+)*|\d+(?:\.\d+)+)(?:/|$|\.)"), "tag_pinned")
+        .when(url.rlike(_BRANCH), "branch_pinned")
+        .when(url.rlike(_TAG) | url.rlike(_VERSION), "tag_pinned")
         .otherwise("unpinned")
     )
 

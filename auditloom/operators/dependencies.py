@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions import names
+
 
 def novel(added: DataFrame, known: DataFrame) -> DataFrame:
     """Added names (subject, name) that no observation (name) knows; nothing is novel while nothing is known."""
@@ -37,3 +39,35 @@ def outside_hosts(hosts: DataFrame, canonical: DataFrame) -> DataFrame:
 def undeclared_hosts(metadata: DataFrame, recipe: DataFrame, subject: str) -> DataFrame:
     """Hosts that the generated metadata names and the recipe doesn't: subject, host."""
     return metadata.select(subject, "host").distinct().join(recipe.select(subject, "host").distinct(), [subject, "host"], "left_anti")
+
+
+def near_names(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
+    """Names one (below 8 characters) or two edits from a popular name, a swap of neighbours being one: name, target, distance.
+
+    given and popular: name, n. A target is seen at least `ratio` times as often as the name and is no variant of it (-git, -bin and so on); names of
+    fewer than four characters have none. The nearest target comes out, then the most popular, then the first by name.
+    Candidates share a piece: of a name cut into 2k+1 pieces, k edits leave one as it is, moved by k places at most (a swap may spoil
+    two). So it is an equi-join on (length, place, piece), not a comparison of all pairs.
+    """
+    rows = given.where(F.length("name") >= 4).select("name", "n", names.stem(F.col("name")).alias("stem"), F.when(F.length("name") < 8, 1).otherwise(2).alias("k"))
+    rows = rows.withColumn("parts", 2 * F.col("k") + 1)
+    pieces = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")).withColumn("at", F.expr("cast(floor(length(name) * i / parts) as int)"))
+    pieces = pieces.withColumn("piece", F.expr("substring(name, at + 1, cast(floor(length(name) * (i + 1) / parts) as int) - at)")).withColumn("size", F.length("piece")).where("size > 0")
+    wide = pieces.select("name", "n", "k", "stem", "piece", F.explode(F.expr("sequence(greatest(0, at - k), at + k)")).alias("at"), F.expr("sequence(length(name) - k, length(name) + k)").alias("lens"))
+    wide = wide.withColumn("len", F.explode("lens")).drop("lens")
+    # Which pieces of which targets can be asked for: depends on lengths only, so it is a small table.
+    asked = pieces.select(F.length("name").alias("own"), "k", "size", "at").distinct()
+    asked = asked.select("size", F.explode(F.expr("sequence(greatest(0, at - k), at + k)")).alias("at"), F.expr("sequence(own - k, own + k)").alias("lens")).withColumn("len", F.explode("lens")).drop("lens").distinct()
+    targets = popular.select(F.col("name").alias("target"), F.col("n").alias("target_n"), F.length("name").alias("len"), names.stem(F.col("name")).alias("target_stem"))
+    targets = targets.join(asked, "len").withColumn("piece", F.expr("substring(target, at + 1, size)")).drop("size")
+    pairs = wide.join(targets, ["len", "at", "piece"]).where((F.col("target_n") >= ratio * F.col("n")) & (F.col("target_stem") != F.col("stem")))
+    pairs = pairs.select("name", "k", "target", "target_n").distinct().withColumn("distance", names.osa_distance("name", "target", "k")).where("distance <= k AND distance > 0")
+    best = pairs.groupBy("name").agg(F.min(F.struct("distance", (-F.col("target_n")).alias("r"), "target")).alias("_b"))
+    return best.select("name", F.col("_b.target").alias("target"), F.col("_b.distance").alias("distance"))
+
+
+def hijacks(provided: DataFrame, established: DataFrame) -> DataFrame:
+    """Newly provided or replaced names (subject, name) that are established packages unrelated to the subject: subject, name."""
+    hit = provided.join(established.select("name").distinct(), "name", "left_semi")
+    related = lambda a, b: a.contains(b) | b.contains(a)
+    return hit.where(~related(names.stem(F.col("subject")), names.stem(F.col("name")))).select("subject", "name").distinct()

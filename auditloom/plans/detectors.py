@@ -49,6 +49,26 @@ def dependency_expansion(spark: SparkSession, d: str) -> DataFrame:
     return dependencies.expansion(*_dependencies(spark, d), gate=0.05)
 
 
+@query()
+def dependency_typosquat(spark: SparkSession, d: str) -> DataFrame:
+    """New dependency names that nothing knew, close to a known one."""
+    added, known = _dependencies(spark, d)
+    fresh = dependencies.novel(added, known).select("name").distinct().withColumn("n", F.lit(0).cast("long"))
+    return dependencies.near_names(fresh, known, 10)
+
+
+@query(r"""WITH e AS (SELECT DISTINCT name FROM packages WHERE removed_at IS NULL),
+  p AS (SELECT DISTINCT package_name AS subject, unnest(from_json(value, '["varchar"]')) AS name FROM package_properties WHERE property_key = 'depends' AND trim(value) LIKE '[%'),
+  s AS (SELECT subject, name, regexp_replace(subject, '^(.+?)(?:-git|-bin|-svn|-hg|-bzr|-nightly|-beta|-dev|-lts|-dkms|-static)+$', '\1') AS a, regexp_replace(name, '^(.+?)(?:-git|-bin|-svn|-hg|-bzr|-nightly|-beta|-dev|-lts|-dkms|-static)+$', '\1') AS b
+    FROM (SELECT name AS subject, subject AS name FROM p) WHERE name IN (SELECT name FROM e))
+  SELECT DISTINCT subject, name FROM s WHERE NOT (contains(a, b) OR contains(b, a))""")
+def provides_hijack(spark: SparkSession, d: str) -> DataFrame:
+    """Established packages among the users of a library, as if it provided their names."""
+    rows = table(spark, d, "package_properties").where("property_key = 'depends' AND trim(value) LIKE '[%'")
+    provided = rows.select(F.explode(F.from_json("value", "array<string>")).alias("subject"), F.col("package_name").alias("name")).distinct()
+    return dependencies.hijacks(provided, table(spark, d, "packages").where("removed_at IS NULL"))
+
+
 @query(r"""WITH p AS (SELECT DISTINCT id, name FROM packages), u AS (SELECT DISTINCT first_seen_package_id AS id, trim(url) AS url FROM source_urls WHERE url IS NOT NULL),
   w AS (SELECT name, url, list_filter(regexp_split_to_array(lower(regexp_replace(name, '-(?:git|bin|svn|hg|nightly|dkms|utils|data|cli)$', '')), '[^a-z0-9]+'), lambda x: length(x) >= 3) AS a,
     list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(url, '^[^:]*://[^/]*/?', ''), '\.(?:git|tar|tgz|zip|gz|xz|zst|bz2)\b', '', 'g')), '[^a-z0-9]+'), lambda x: length(x) >= 3) AS b FROM p JOIN u USING (id))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import names, urls
 from auditloom.functions.text import name_key
-from auditloom.operators import corpus, graph, indicators, scoring
+from auditloom.operators import corpus, dependencies, graph, indicators, scoring
 from auditloom.operators.blocked import day_block
 from auditloom.sources import table
 
@@ -333,26 +333,9 @@ def name_stem(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def typosquat(spark: SparkSession, d: str) -> DataFrame:
-    """Package names one or two edits from another name that is seen ten times as often: name, target, distance.
-
-    Candidates by shared pieces: of names at most k edits apart, one of k+1 pieces of the one stands, moved by at most k, in the other
-    (a swap may cross a border, so the pieces are k*2+1). An equi-join on pieces, not a join of all pairs.
-    """
+    """Package names one or two edits from another name that is seen twice as often: name, target, distance."""
     seen = table(spark, d, "package_snapshots").where("name IS NOT NULL").groupBy(name_key(F.col("name")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    rows = seen.where(F.length("name") >= 4).withColumns({"k": F.when(F.length("name") < 8, 1).otherwise(2), "stem": names.stem(F.col("name"))})
-    rows = rows.withColumn("parts", 2 * F.col("k") + 1)
-    cut = lambda i: F.floor(F.length("name") * i / F.col("parts")).cast("int")
-    pieces = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")).withColumn("at", cut(F.col("i"))).withColumn("piece", F.expr("substring(name, at + 1, cast(floor(length(name) * (i + 1) / parts) as int) - at)"))
-    pieces = pieces.withColumn("size", F.length("piece")).where("size > 0")
-    wide = pieces.select("name", "n", "k", "stem", "piece", F.explode(F.expr("sequence(greatest(0, at - k), at + k)")).alias("at"), F.explode(F.expr("sequence(length(name) - k, length(name) + k)")).alias("len"))
-    sizes = pieces.select(F.length("name").alias("own"), "k", "size", "at").distinct()
-    grams = sizes.select(F.explode(F.expr("sequence(own - k, own + k)")).alias("len"), "size", F.explode(F.expr("sequence(greatest(0, at - k), at + k)")).alias("at")).distinct()
-    popular = seen.select(F.col("name").alias("target"), F.col("n").alias("target_n"), F.length("name").alias("len"), names.stem(F.col("name")).alias("target_stem"))
-    popular = popular.join(grams, "len").withColumn("piece", F.expr("substring(target, at + 1, size)"))
-    pairs = wide.join(popular.drop("size"), ["len", "at", "piece"]).where((F.col("target_n") >= 2 * F.col("n")) & (F.col("target_stem") != F.col("stem")))
-    pairs = pairs.select("name", "k", "target", "target_n").distinct().withColumn("distance", names.osa_distance("name", "target", "k")).where("distance <= k AND distance > 0")
-    best = pairs.groupBy("name").agg(F.min(F.struct("distance", (-F.col("target_n")).alias("r"), "target")).alias("b"))
-    return best.select("name", F.col("b.target").alias("target"), F.col("b.distance").alias("distance"))
+    return dependencies.near_names(seen, seen, 2)
 
 
 @query()
