@@ -131,7 +131,51 @@ pairs AS (
   FULL JOIN (SELECT * FROM rows_ WHERE snapshot_no > (SELECT min(snapshot_no) FROM held)) n ON o.next_no = n.snapshot_no AND o.name = n.name)
 """
 
+_P2 = """
+WITH obj AS (
+  SELECT feed, table_name, file_no, line_no, record_key, record_id, payload FROM seed_records
+  WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload ELSE 'null' END) = 'OBJECT'),
+cells AS (
+  SELECT feed, table_name, file_no, line_no, record_key, record_id, k, json_extract(payload, '$."' || k || '"') AS v
+  FROM (SELECT *, unnest(json_keys(payload)) AS k FROM obj)),
+typed AS (
+  SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double'
+                          WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END AS t FROM cells),
+files AS (
+  SELECT feed, table_name, file_no, count(*) AS n, lag(file_no) OVER (PARTITION BY feed, table_name ORDER BY file_no) AS prior_no FROM obj GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT feed, table_name, file_no, k, t, count(*) AS n, CASE t WHEN 'boolean' THEN 0 WHEN 'integer' THEN 1 WHEN 'double' THEN 2 WHEN 'string' THEN 3 WHEN 'array' THEN 4 ELSE 5 END AS r
+  FROM typed GROUP BY ALL),
+owned AS (
+  SELECT r.feed, r.table_name, r.file_no, r.k, max_by(t, (r.n, r.r)) FILTER (t IS NOT NULL) AS own
+  FROM ranked r JOIN files f USING (feed, table_name, file_no) GROUP BY r.feed, r.table_name, r.file_no, r.k, f.n HAVING 2 * sum(r.n) >= f.n),
+fields AS (
+  SELECT feed, table_name, file_no, k, coalesce(own, last_value(own IGNORE NULLS) OVER (PARTITION BY feed, table_name, k ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS t FROM owned),
+sides AS (
+  SELECT f.feed, f.table_name, f.file_no AS at_no, prior_no, k, t AS new_t, NULL AS old_t, true AS is_new FROM fields f JOIN files USING (feed, table_name, file_no) WHERE prior_no IS NOT NULL
+  UNION ALL SELECT l.feed, l.table_name, l.file_no, l.prior_no, k, NULL, t, false FROM files l JOIN fields f ON f.feed = l.feed AND f.table_name = l.table_name AND f.file_no = l.prior_no),
+both_ AS (SELECT feed, table_name, at_no, prior_no, k, max(new_t) AS new_t, max(old_t) AS old_t, bool_or(is_new) AS in_new, bool_or(NOT is_new) AS in_old FROM sides GROUP BY 1, 2, 3, 4, 5),
+known AS (SELECT feed, table_name, file_no, record_key, k, max_by(CAST(v AS VARCHAR), line_no) AS v FROM typed WHERE record_key IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+pairs AS (
+  SELECT g.feed, g.table_name, g.at_no, g.k AS gone, n.k AS fresh, count(*) AS n, count(*) FILTER (a.v = b.v) AS same
+  FROM both_ g JOIN both_ n ON g.feed = n.feed AND g.table_name = n.table_name AND g.at_no = n.at_no AND g.in_old AND NOT g.in_new AND n.in_new AND NOT n.in_old
+  JOIN known a ON a.feed = g.feed AND a.table_name = g.table_name AND a.file_no = g.prior_no AND a.k = g.k
+  JOIN known b ON b.feed = g.feed AND b.table_name = g.table_name AND b.file_no = g.at_no AND b.k = n.k AND b.record_key = a.record_key
+  GROUP BY 1, 2, 3, 4, 5 HAVING 2 * count(*) FILTER (a.v = b.v) > count(*)),
+renamed AS (
+  SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY feed, table_name, at_no, gone ORDER BY same / n DESC, gone, fresh) = 1
+    AND row_number() OVER (PARTITION BY feed, table_name, at_no, fresh ORDER BY same / n DESC, gone, fresh) = 1)
+"""
+
 SQL = {
+    "p2_found": _P2
+    + """SELECT feed, table_name, at_no AS file_no, 'renamed' AS change_kind, gone AS field_name, fresh AS new_name FROM renamed
+UNION ALL SELECT feed, table_name, at_no, 'retyped', k, '' FROM both_ WHERE in_new AND in_old AND new_t <> old_t
+UNION ALL SELECT feed, table_name, at_no, 'removed', k, '' FROM both_ b WHERE in_old AND NOT in_new AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = b.feed AND r.table_name = b.table_name AND r.at_no = b.at_no AND r.gone = b.k)
+UNION ALL SELECT feed, table_name, at_no, 'added', k, '' FROM both_ b WHERE in_new AND NOT in_old AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = b.feed AND r.table_name = b.table_name AND r.at_no = b.at_no AND r.fresh = b.k)""",
+    "p2_union_schema": _P2
+    + """SELECT table_name, k AS field_name, CASE WHEN count(DISTINCT t) = 0 THEN 'string' WHEN count(DISTINCT t) = 1 THEN max(t) WHEN bool_and(t IN ('integer', 'double')) THEN 'double' ELSE 'string' END AS type,
+      count(DISTINCT feed) AS n_feeds, count(*) AS n_files, min(file_no) AS first_file_no FROM fields GROUP BY 1, 2""",
     "p3_found": _P3 + "SELECT table_name, record_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_counts": _P3 + "SELECT table_name, CAST(date_trunc('month', ts) AS DATE) AS period, reason, count(*) AS n_refs FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     "p4_found": _P4 + "SELECT package_name, property_key, valid_from, valid_to FROM history",
