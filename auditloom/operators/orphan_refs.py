@@ -54,7 +54,7 @@ def orphan_records(refs: DataFrame, targets: DataFrame, heavy_keys: int = 512) -
 
     refs: table_name, record_id, ref_key, at (time of the record). targets: id, added_at, removed_at, last_checked; other
     columns are ignored. Result: table_name, record_id, reason; a reference that occurs twice comes out twice. Empty
-    targets make every reference `missing`; a NULL time on either side is never `late`.
+    targets make every reference `missing`; a NULL time on either side is never `late`; a NULL table or record id is kept as it is.
     """
     refs = live_refs(refs.select("table_name", "record_id", "ref_key", "at"))
     found = _joined(refs, targets, heavy_keys_of(refs, heavy_keys)).withColumn("reason", _reason(F.col("at")))
@@ -79,7 +79,8 @@ def orphan_counts(refs: DataFrame, targets: DataFrame, heavy_keys: int = 512) ->
     cut = judged.where(F.col("reason") == "cut").select("table_name", "ref_key", "period", "added_at")
 
     def split(part: DataFrame, edges: DataFrame) -> DataFrame:
-        rows = part.join(edges, ["table_name", "ref_key", "period"]).where(F.col("added_at") > F.col("at"))
+        e = edges.select(F.col("table_name").alias("t"), F.col("ref_key").alias("k"), F.col("period").alias("p"), "added_at")
+        rows = part.join(e, (F.col("ref_key") == F.col("k")) & (F.col("period") == F.col("p")) & F.col("table_name").eqNullSafe(F.col("t"))).where(F.col("added_at") > F.col("at"))
         return rows.select("table_name", "period", F.lit("late").alias("reason"), F.lit(1).cast("long").alias("n"))
 
     parts = [whole]

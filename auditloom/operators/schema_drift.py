@@ -87,11 +87,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parsed_records(records: DataFrame) -> DataFrame:
-    """One row per record whose payload is a whole JSON object, in the shared folder."""
+    """One row per record whose payload is a whole JSON object, in the shared folder.
+
+    Records without a feed, table or file number belong to no file and are left out; so are broken, empty and NULL payloads. Of a
+    key that an object repeats the last value counts. Other columns are ignored.
+    """
     source = records.select(
         "feed", "table_name", F.col("file_no").cast("int").alias("file_no"), F.col("line_no").cast("int").alias("line_no"), F.col("record_key").cast("long").alias("record_key"), "payload"
     )
-    return stage_table(source.where(F.col("file_no").isNotNull()).mapInArrow(_parse, _PARSED), "parsed")
+    return stage_table(source.where(F.col("feed").isNotNull() & F.col("table_name").isNotNull() & F.col("file_no").isNotNull()).mapInArrow(_parse, _PARSED), "parsed")
 
 
 def _before(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 512) -> DataFrame:

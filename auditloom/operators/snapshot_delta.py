@@ -24,7 +24,7 @@ def snapshot_changes(snapshots: DataFrame, key: Column, fields: dict[str, Column
 
     snapshots: snapshot_no, delivery_no and whatever key and fields read. Result: snapshot_no (the later of the two), name,
     change_kind, changed_fields (sorted; empty for added and removed). Rows with a NULL key are dropped; an empty key is
-    a key. Repeated rows count once. Where one key stands in a snapshot with several values, a field is unchanged if the
+    a key; rows without a snapshot or delivery number are left out. Repeated rows count once. Where one key stands in a snapshot with several values, a field is unchanged if the
     sets of its values are equal. NULL is a value of its own. The first snapshot gives no rows.
     """
     deliveries = held_deliveries(snapshots)

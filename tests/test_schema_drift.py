@@ -49,6 +49,11 @@ def test_carry_over_blocks(spark, seed):
         assert got[(k, n)] == max((v for k2, n2, v in rows if k2 == k and n2 < n and v is not None), default=None)
 
 
+def test_records_of_no_file(spark):
+    rows = [(i, f, t, n, i, 1, None, '{"a": 1}', "x", 1) for i, (f, t, n) in enumerate([(None, "t", 1), ("f", None, 1), ("f", "t", None), ("f", "t", 1), ("f", "t", 2)])]
+    assert sd.parsed_records(spark.createDataFrame(rows, SCHEMA)).count() == 2
+
+
 def brute(rows):
     files = defaultdict(list)
     for r in rows:
