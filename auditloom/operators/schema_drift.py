@@ -128,7 +128,8 @@ def file_schemas(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     owned = owned.select(*FILE, "field_name", F.when(most["n"] > 0, most["t"]).alias("own"))
     owned = _before(owned, ["feed", "table_name", "field_name"], "file_no", "own", "earlier")
     listed = _before(files.withColumn("_no", F.col("file_no")), ["feed", "table_name"], "file_no", "_no", "prior_no").select(*FILE, "prior_no")
-    return listed, owned.select(*FILE, "field_name", F.coalesce("own", "earlier").alias("type"))
+    # A row per file and a row per field of a file, which several branches read: written once.
+    return stage_table(listed, "files"), stage_table(owned.select(*FILE, "field_name", F.coalesce("own", "earlier").alias("type")), "fields")
 
 
 def field_changes(parsed: DataFrame) -> DataFrame:
@@ -212,7 +213,6 @@ def canonical_fields(parsed: DataFrame, changes: DataFrame, table_name: str) ->
     file. Reads the union schema and the distinct renames only: as many rows as there are field names, not records.
     """
     _, fields = file_schemas(parsed.where(F.col("table_name") == table_name))
-    fields = stage_table(fields, "fields")
     spread = {r.field_name: (r.n, r.types) for r in fields.groupBy("field_name").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("type")).alias("types")).collect()}
     steps = changes.where((F.col("change_kind") == "renamed") & (F.col("table_name") == table_name)).groupBy("field_name", "new_name").count().collect()
     sets = fields.groupBy(*FILE).agg(F.array_sort(F.collect_set("field_name")).alias("s")).select("s").distinct()
