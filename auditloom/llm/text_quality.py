@@ -58,20 +58,44 @@ def filled(text: str) -> int:
     return sum(map(len, text.split()))
 
 
-@lru_cache(100_000)
-def _kinds(c: str) -> tuple[int, int, int, int, int, int]:
-    """Is the character a symbol, a digit, a letter, a vowel, part of a frame, odd."""
-    letter = c.isalpha()
-    return int(not c.isalnum()), int(c.isdigit()), int(letter), int(letter and _VOWELS.match(c) is not None), int(_FRAME.match(c) is not None), int(_ODD.match(c) is not None)
+class TokenTable:
+    """What each token adds to a block's sums, worked out once per token and task; forgotten when it has met `room` tokens.
 
+    Columns: characters, symbols, digits, letters, vowels, frame signs, odd signs, is plain, is a rare name, words, letters of words, common
+    words, ends a sentence, characters in runs.
+    """
 
-def _totals(counts: Counter) -> list[int]:
-    total = [0] * 6
-    for c, n in counts.items():
-        for i, k in enumerate(_kinds(c)):
-            if k:
-                total[i] += n
-    return total
+    def __init__(self, common: frozenset[str], room: int = 100_000):
+        self.common, self.room = common, room
+        self.at: dict[str, int] = {}
+        self.sums = np.zeros((1024, 14))
+
+    def _row(self, t: str) -> tuple[int, ...]:
+        words = [w.lower() for w in _WORD.findall(t)]
+        letters = [c for c in t if c.isalpha()]
+        return (
+            len(t), sum(not c.isalnum() for c in t), sum(map(str.isdigit, t)), len(letters), len(_VOWELS.findall("".join(letters))), len(_FRAME.findall(t)), len(_ODD.findall(t)),
+            _PLAIN.fullmatch(t) is not None, len(t) > 2 and t.lower().strip(",;.") not in self.common and _NAME.fullmatch(t) is not None, len(words), sum(map(len, words)), sum(map(self.common.__contains__, words)),
+            _ENDED.search(t) is not None, sum(x.end() - x.start() for x in _RUN.finditer(t)),
+        )
+
+    def total(self, counts: Counter) -> np.ndarray:
+        """The sums over tokens with their counts."""
+        if len(self.at) + len(counts) > max(self.room, len(counts)):
+            self.at.clear()
+        for t in counts:
+            if t not in self.at:
+                n = len(self.at)
+                if n == len(self.sums):
+                    self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+                self.sums[n] = self._row(t)
+                self.at[t] = n
+        return np.fromiter(counts.values(), float, len(counts)) @ self.sums[[self.at[t] for t in counts]]
+
+
+@lru_cache(4)
+def _table(common: frozenset[str]) -> TokenTable:
+    return TokenTable(common)
 
 
 def _freshness(tokens: list[str], window: int = 64) -> float:
@@ -88,34 +112,29 @@ def statistics(block: str, common: frozenset[str]) -> list[float]:
     text = _QUOTE.sub("", _HIDDEN.sub("", block))
     lines = [x for x in text.split("\n") if x.strip()] or [""]
     tokens = text.split()
-    words = [w.lower() for w in _WORD.findall(text)]
-    solid = "".join(tokens)
-    symbols, digits, letters, vowels, frames, odd = _totals(Counter(solid))
-    n, m, n_lines, n_tokens = max(1, len(words)), max(1, len(solid)), len(lines), max(1, len(tokens))
-    counts = Counter(tokens)
-    plain = sum(k for t, k in counts.items() if _PLAIN.fullmatch(t))
-    names = sum(k for t, k in counts.items() if len(t) > 2 and t.lower().strip(",;.") not in common and _NAME.fullmatch(t))
+    n_lines, n_tokens = len(lines), max(1, len(tokens))
+    size, symbols, digits, letters, vowels, frames, odd, plain, names, words, word_letters, known, ends, runs = _table(common).total(Counter(tokens)).tolist() if tokens else [0.0] * 14
+    n, m = max(1, words), max(1, size)
     return [
-        sum(map(common.__contains__, words)) / n,
+        known / n,
         plain / n_tokens,
-        math.log1p(sum(map(len, words)) / n),
+        math.log1p(word_letters / n),
         symbols / m,
         digits / m,
         sum(_MARKER.match(x) is not None for x in lines) / n_lines,
-        sum(_ENDED.search(x) is not None for x in lines) / n_lines,
-        math.log1p(len(words) / n_lines),
-        math.log1p(len(words) / max(1, len(_SENTENCE_END.findall(text)))),
+        sum(_ENDED.search(x.rstrip()[-40:]) is not None for x in lines) / n_lines,
+        math.log1p(words / n_lines),
+        math.log1p(words / max(1, ends)),
         _freshness(tokens),
         vowels / max(1, letters),
         sum(x[:1] in " \t" for x in lines) / n_lines,
         frames / m,
         odd / m,
         names / n_tokens,
-        min(1.0, sum(x.end() - x.start() for x in _RUN.finditer(solid)) / m),
+        min(1.0, runs / m),
     ]
 
 
-
 class Mixture:
     """A Gaussian mixture over standardized statistics."""
 
