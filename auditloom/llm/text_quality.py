@@ -142,10 +142,17 @@ class Mixture:
         self.weights, self.means, self.covariances = weights, means, covariances
         self.factors = np.linalg.inv(np.linalg.cholesky(covariances))
         self.constants = np.log(weights) + np.log(np.abs(np.diagonal(self.factors, axis1=1, axis2=2))).sum(axis=1)
+        # All components' whitening side by side: one product for a batch of rows.
+        self.stacked = self.factors.reshape(-1, means.shape[1]).T.copy()
+        self.shifts = np.einsum("kij,kj->ki", self.factors, means).ravel()
 
     def shares(self, z: np.ndarray) -> np.ndarray:
         """Of each row, the probability that it comes from each component."""
-        logs = np.stack([c - 0.5 * (((z - m) @ f.T) ** 2).sum(axis=1) for c, m, f in zip(self.constants, self.means, self.factors)], axis=1)
+        k, d = self.means.shape
+        white = z @ self.stacked
+        white -= self.shifts
+        white *= white
+        logs = self.constants - 0.5 * white.reshape(-1, k, d).sum(axis=2)
         logs -= logs.max(axis=1, keepdims=True)
         p = np.exp(logs)
         return p / p.sum(axis=1, keepdims=True)
@@ -153,8 +160,8 @@ class Mixture:
     def sums(self, z: np.ndarray) -> np.ndarray:
         """Per component the count, the sum and the sum of outer products of its part of the rows, in one vector each."""
         p = self.shares(z)
-        outer = np.einsum("nk,ni,nj->kij", p, z, z, optimize=True)
-        return np.concatenate([p.sum(axis=0)[:, None], p.T @ z, outer.reshape(len(self.weights), -1)], axis=1)
+        products = (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
+        return np.concatenate([p.sum(axis=0)[:, None], p.T @ z, p.T @ products], axis=1)
 
     @staticmethod
     def of(sums: np.ndarray, d: int, floor: float, prior: "Mixture") -> "Mixture":
@@ -187,7 +194,7 @@ def _total(df: DataFrame, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarra
         slot, total = TaskContext.get().partitionId() % slots, None
         for batch in batches:
             z = np.asarray(batch.column("stats").flatten()).reshape(-1, width)
-            for i in range(0, len(z), 4096):
+            for i in range(0, len(z), 1024):
                 part = sums(z[i : i + 4096])
                 total = part if total is None else total + part
         if total is not None:
