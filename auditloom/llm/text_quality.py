@@ -58,6 +58,21 @@ def filled(text: str) -> int:
     return sum(map(len, text.split()))
 
 
+class _Kinds(dict):
+    """What a character is, as six counters side by side in one number, so that a sum over characters counts all at once."""
+
+    WIDE = 40
+
+    def __missing__(self, c: str) -> int:
+        letter = c.isalpha()
+        flags = (not c.isalnum(), c.isdigit(), letter, letter and _VOWELS.match(c) is not None, _FRAME.match(c) is not None, _ODD.match(c) is not None)
+        self[c] = sum(bool(f) << self.WIDE * i for i, f in enumerate(flags))
+        return self[c]
+
+
+_KINDS = _Kinds()
+
+
 class TokenTable:
     """What each token adds to a block's sums, worked out once per token and task; forgotten when it has met `room` tokens.
 
@@ -71,12 +86,15 @@ class TokenTable:
         self.sums = np.zeros((1024, 14))
 
     def _row(self, t: str) -> tuple[int, ...]:
-        words = [w.lower() for w in _WORD.findall(t)]
-        letters = [c for c in t if c.isalpha()]
+        packed = sum(map(_KINDS.__getitem__, t))
+        symbols, digits, letters, vowels, frames, odd = ((packed >> _Kinds.WIDE * i) & ((1 << _Kinds.WIDE) - 1) for i in range(6))
+        low = t.lower()
+        words = [low] if letters == len(t) else [w.lower() for w in _WORD.findall(t)]
+        rare = len(t) > 2 and low.strip(",;.") not in self.common and _NAME.fullmatch(t) is not None
+        runs = sum(x.end() - x.start() for x in _RUN.finditer(t)) if len(t) > 3 else 0
         return (
-            len(t), sum(not c.isalnum() for c in t), sum(map(str.isdigit, t)), len(letters), len(_VOWELS.findall("".join(letters))), len(_FRAME.findall(t)), len(_ODD.findall(t)),
-            _PLAIN.fullmatch(t) is not None, len(t) > 2 and t.lower().strip(",;.") not in self.common and _NAME.fullmatch(t) is not None, len(words), sum(map(len, words)), sum(map(self.common.__contains__, words)),
-            _ENDED.search(t) is not None, sum(x.end() - x.start() for x in _RUN.finditer(t)),
+            len(t), symbols, digits, letters, vowels, frames, odd, letters == len(t) or _PLAIN.fullmatch(t) is not None, rare, len(words), sum(map(len, words)), sum(map(self.common.__contains__, words)),
+            symbols > 0 and _ENDED.search(t) is not None, runs,
         )
 
     def total(self, counts: Counter) -> np.ndarray:
@@ -109,7 +127,8 @@ def statistics(block: str, common: frozenset[str]) -> list[float]:
 
     Quote marks at line starts and invisible characters don't count.
     """
-    text = _QUOTE.sub("", _HIDDEN.sub("", block))
+    text = block if block.isascii() else _HIDDEN.sub("", block)
+    text = _QUOTE.sub("", text) if ">" in text else text
     lines = [x for x in text.split("\n") if x.strip()] or [""]
     tokens = text.split()
     n_lines, n_tokens = len(lines), max(1, len(tokens))
