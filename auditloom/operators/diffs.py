@@ -69,6 +69,7 @@ def facts_of(text: str) -> dict:
     carried = {side: {m.group(1) or m.group(2) for x in lines if x.side == side and (m := _OID.match(x.body))} for side in "+-"}
     out = {
         "carriers_moved": carried["+"] != carried["-"] and bool(carried["+"]), "hook_declared": bool(scalars.get("install")) or any((x.file or "").endswith(".install") for x in lines),
+        "computed_sources": any("$(" in w or "`" in w for n, own in arrays.items() if re.fullmatch(r"source(?:_\w+)?", n) for w in own) and any(x.side == "+" and ("$(" in x.body or "`" in x.body) for x in lines),
         "odd_version": bool(re.search(r"[^A-Za-z0-9._+~:-]", scalars.get("pkgver", ""))) and any("pkgver" in x.body and "://" in x.body for x in lines),
         "added_lines": sum(x.side == "+" for x in lines), "removed_lines": sum(x.side == "-" for x in lines),
         "files": sorted({x.file for x in lines if x.file}), "added_urls": added, "removed_urls": removed,
@@ -160,7 +161,7 @@ def coverage_gaps(facts: DataFrame, id_column: str) -> DataFrame:
     """id, gaps: what of a diff could not be read, in a fixed order; only diffs with a gap."""
     named: dict[str, Column] = {
         "oversized_line": F.col("oversized") > 0,
-        "unresolved_source": F.col("unresolved") > 0,
+        "unresolved_source": (F.col("unresolved") > 0) | F.col("computed_sources"),
         "unpinned_source": F.exists("added_urls", lambda u: u.rlike(r"^git\+") & ~u.rlike("#(?:commit|tag)=")),
         "install_script": F.exists("files", lambda f: f.endswith(".install")),
     }

@@ -39,11 +39,14 @@ def exposure(edges: DataFrame, marked: DataFrame, hops: int, least: int = 2) ->
 
 
 def walk(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
-    """node, level: all that the roots (column `node`) depend on, breadth first, each node once at its least level."""
-    front = roots.select("node").distinct().withColumn("level", F.lit(0))
+    """node, level, parent: all that the roots (column `node`) depend on, breadth first, each node once at its least level.
+
+    parent is the first by name of the nodes a level above that lead to it, NULL for roots.
+    """
+    front = roots.select("node").distinct().select("node", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent"))
     seen = front
     for k in range(1, levels + 1):
-        found = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = stage_table(found.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(k)), "level")
+        found = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        front = stage_table(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("level"), "parent"), "level")
         seen = seen.unionByName(front)
     return seen

@@ -106,7 +106,6 @@ RULES = (
     Rule("W002", "Dependencies resolved from a registry", r"(?:^|[;&|]\s*)\s*(?:npm|pnpm|yarn|bun)\s+(?:ci|install|i)\b|\bpip3?\s+install\s+(?:-\S+\s+)*-r\b|\bcargo\s+fetch\b|\bgo\s+mod\s+download\b|\bbundle\s+install\b", "INFO", "unverifiable", scope=_RUN, stage="delivery"),
     Rule("W004", "Unread build manifest", r"\b(?:make|gmake|ninja|bazel|scons)\b[^;&|]*\s(?:-f|--file|--makefile)[=\s]", "INFO", "unverifiable", scope=_RUN, stage="execution"),
     Rule("W006", "Generated file names a build-only path", r"\b(?:printf|echo|cat|tee)\b[^>]*\$\{?(?:srcdir|startdir|PWD|BUILDDIR)\b[^>]*>", "INFO", "unverifiable", "raw", _RUN, unless=r">>?\s*[\"']?\$\{?pkgdir\b", stage="staging"),
-    Rule("C007", "Command substitution in sources", r"^\s*source\w*\+?=.*(?:\$\(|`)", "CRITICAL", "fetch", "raw", ("other",), stage="execution"),
     Rule("X001", "Encoded payload decoded and executed", rf"(?:\bxxd\s+-r|\bod\s+-An|\bbase32\s+-d|\bbasenc\b|\bopenssl\s+enc\s+-d|\buudecode\b|\btr\s+[\"']?A-Za-z|\bprintf\s+[\"'](?:\\x|\\[0-7]{{3}}))[^|]*{_PIPE}.*{_RUNNER}", "CRITICAL", "evasion", "raw", _RUN, stage="evasion"),
     Rule("X002", "Command word that is no literal", r"(?:^|[;&|]\s*)\s*(?:\$\{?!?[A-Za-z_]\w*(?:\[[^\]]*\])?\}?|\$\([^)]*\)|`[^`]*`|\w+\{[^}\s]*,[^}\s]*\}|/\S*\w[?*\[]\S*)(?=\s+[\w./-])", "CRITICAL", "evasion", scope=_RUN, unless=r"^\s*[A-Za-z_]\w*\+?=", stage="evasion"),
     Rule("X003", "Obfuscated argument", r"\b(?:curl|wget)\b.*\s--(?:upload-f|outp|inse|loca|head|data-b)\b(?!\w)|\b(?:ba|z|da|k)?sh\s+-(?=\w*c)\w{2,}\s|https?://(?:0x[0-9a-f]+|0[0-7]+\.[0-9.]+|[0-9]{8,10})[/:]", "HIGH", "evasion", "raw", _RUN, stage="evasion"),
@@ -197,6 +196,7 @@ def structural(facts: DataFrame, id_column: str) -> DataFrame:
         ("C004", "CRITICAL", "integrity", F.col("sums_removed") & same_urls, F.lit("")),
         ("C005", "MEDIUM", "source", F.exists("added_urls", lambda u: u.rlike(r"(?i)\.(?:bin|exe|elf|so|dll|dylib|appimage|deb|rpm|apk|msi|jar|run)(?:[?#]|$)")), show("added_urls")),
         ("C006", "HIGH", "source", (F.size("removed_urls") > 0) & (F.size(F.array_except(_urls_of("added"), _urls_of("removed"))) > 0), show(F.array_except(_urls_of("added"), _urls_of("removed")))),
+        ("C007", "CRITICAL", "fetch", F.col("computed_sources"), F.lit("source")),
         ("C008", "HIGH", "integrity", F.col("carriers_moved") & ~F.col("version_changed"), F.lit("")),
         ("C009", "INFO", "integrity", F.col("carriers_moved") & F.col("version_changed"), F.lit("")),
         ("R068", "INFO", "installer", F.col("hook_declared"), F.lit("install")),

@@ -257,7 +257,8 @@ def orphan_exposure(spark: SparkSession, d: str) -> DataFrame:
 @query(_EDGES + """, levels AS (
   SELECT name AS node, 0 AS level FROM (SELECT DISTINCT name FROM packages WHERE name LIKE 'python-%')
   UNION SELECT e.dst, level + 1 FROM levels JOIN edges e ON node = e.src WHERE level < 4)
-SELECT node, min(level) AS level FROM levels GROUP BY 1""")
+, least AS (SELECT node, min(level) AS level FROM levels GROUP BY 1)
+SELECT n.node, n.level, min(e.src) AS parent FROM least n LEFT JOIN (SELECT e.src, e.dst, l.level FROM edges e JOIN least l ON e.src = l.node) e ON e.dst = n.node AND e.level = n.level - 1 GROUP BY 1, 2""")
 def dependency_walk(spark: SparkSession, d: str) -> DataFrame:
     roots = table(spark, d, "packages").where("name LIKE 'python-%'").select(F.col("name").alias("node"))
     return graph.walk(_edges(spark, d), roots, 4)

@@ -94,7 +94,7 @@ def test_structural(spark):
         "C001": f" pkgver=1\n-sha256sums=('{a}')\n+sha256sums=('{b}')\n", "C002": f"-pkgver=1\n+pkgver=2\n-sha256sums=('{a}')\n+sha256sums=('{b}')\n", "C004": f" pkgver=1\n-sha256sums=('{a}')\n",
         "R004": f"-sha256sums=('{a}')\n+sha256sums=('SKIP')\n", "R064": "-source=('https://x.example/a')\n+source=('http://x.example/a')\n", "R115": "+epoch=1\n", "R130": "+validpgpkeys=('ABC')\n",
         "R147": f"+source=('a' 'b')\n+sha256sums=('{a}')\n", "D003": "+makedepends=('curl>=7')\n",
-        "C007": "+source=(\"$(cat list)\")\n", "C008": " pkgver=1\n-Subproject commit " + "1" * 40 + "\n+Subproject commit " + "2" * 40 + "\n", "R068": "+install=lamp.install\n", "R129": "+ver=$(curl https://x.example)\n",
+        "C007": "+source=('a'\n+  \"$(cat list)\")\n", "C008": " pkgver=1\n-Subproject commit " + "1" * 40 + "\n+Subproject commit " + "2" * 40 + "\n", "R068": "+install=lamp.install\n", "R129": "+ver=$(curl https://x.example)\n",
         "R079": " pkgver=1\n-source=('git+https://x.example/r#commit=abc')\n+source=('git+https://x.example/r#branch=main')\n",
     }
     for rule, got in zip(cases, found(spark, *(head + x for x in cases.values()))):
