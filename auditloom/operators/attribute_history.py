@@ -28,8 +28,15 @@ _STORE = (
 
 
 def canonical_value(text: str) -> str:
-    """One spelling per value: JSON arrays as sorted sets, booleans in lower case, strings without quotes, no outer white space."""
-    t = text.strip()
+    """One spelling per value: JSON arrays as sorted sets, booleans in lower case, strings without quotes, no outer white space.
+
+    >>> canonical_value(' ["b", "a", "b"]') == canonical_value('["a","b"]'), canonical_value('"TRUE"'), canonical_value(' x ') == canonical_value('"x"')
+    (True, 'b:true', True)
+    """
+    return _canonical(text.strip()).encode("utf-8", "backslashreplace").decode()
+
+
+def _canonical(t: str) -> str:
     if t[:1] == "[":
         try:
             items = json.loads(t)

@@ -36,15 +36,30 @@ def _refuse(text: str) -> None:
     raise ValueError(text)
 
 
+def _whole(text: str) -> str:
+    """Without halves of surrogate pairs, which no column can hold."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def parse_object(payload: str | None) -> dict | None:
-    """The payload as a dict if it is one whole JSON object, else None."""
+    """The payload as a dict if it is one whole JSON object, else None; nested too deep is broken.
+
+    Numbers of one value are alike, however written, within arrays and objects; at the top they keep their type. Half surrogates become U+FFFD.
+
+    >>> parse_object('{"a": 1.0, "b": [1.0]}'), parse_object('{"a": 1} x')
+    ({'a': 1.0, 'b': [1]}, None)
+    """
     if payload is None:
         return None
     try:
         value = json.loads(payload, parse_constant=_refuse)
+        if not isinstance(value, dict):
+            return None
+        if "\\u" in payload:
+            value = json.loads(_whole(json.dumps(value, ensure_ascii=False)), parse_constant=_refuse)
+        return {k: _level(v) if isinstance(v, (list, dict)) else v for k, v in value.items()}
     except (ValueError, RecursionError):
         return None
-    return value if isinstance(value, dict) else None
 
 
 def json_type(value: object) -> str | None:

@@ -59,6 +59,7 @@ def test_storage_holds_patches(spark):
     assert kept[1].changed == ["value"] and kept[1].first_seen is None
 
 
-@pytest.mark.parametrize("a, b, same", [('["a","b"]', ' [ "b","a","a"]', True), ("true", "TRUE", True), ('"x"', "x", True), ("x", "X", False), ('["a"]', "a", False), ("[broken", "[broken ", True), ('"100+"', "100+", True), ("", '""', True)])
+@pytest.mark.parametrize("a, b, same", [('["a","b"]', ' [ "b","a","a"]', True), ("true", "TRUE", True), ('"x"', "x", True), ("x", "X", False), ('["a"]', "a", False), ("[broken", "[broken ", True), ('"100+"', "100+", True), ("", '""', True), ('"\\ud800"', '"\\ud801"', False), ('["\\ud800"]', '["\\ud800", "\\ud800"]', True)])
 def test_canonical(a, b, same):
     assert (canonical_value(a) == canonical_value(b)) is same
+    canonical_value(a).encode()

@@ -1,3 +1,4 @@
+import doctest
 import json
 import random
 from collections import Counter, defaultdict
@@ -112,6 +113,14 @@ def test_unified_table(spark):
     assert sorted(r[named] for r in table.collect()) == ["v0", "v0", "v1", "v1", "v2", "v2"]
 
 
+def test_odd_json(spark):
+    deep = '{"a": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    rows = [(1, k, {"a": "x"}) for k in range(3)] + [(2, 1, '{"a": "\\ud800", "k\\udc00": 1}'), (2, 2, '{"a": "' + "y" * 2_000_000 + '"}'), (2, 3, deep), (2, 4, '{"a": 123456789012345678901234567890}'), (2, 5, '{"a": 1e999}')]
+    assert changes(spark, rows) == []
+    assert sd.unified_table(frame(spark, rows), "t").count() == 7
+    assert doctest.testmod(sd).failed == 0
+
+
 def test_promotion():
     for a in (None, *sd.JSON_TYPES):
         for b in (None, *sd.JSON_TYPES):
