@@ -22,7 +22,7 @@ def dependency_name(c: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """A name without the suffixes of variants at its end; a name that is nothing but a suffix stays."""
-    return F.regexp_replace(c, "(?<=.)(?:" + "|".join(VARIANTS) + ")+$", "")
+    return F.regexp_replace(c, "(?<=.)(?:" + "|".join(VARIANTS) + ")++$", "")
 
 
 def version_scheme(v: Column) -> Column:

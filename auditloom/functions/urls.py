@@ -44,7 +44,7 @@ def registered_domain(host: Column) -> Column:
 
 def template(url: Column) -> Column:
     """A url as a version-stable template: versions are 0, long hexadecimal runs HASH, dates DATE; no slashes at the end."""
-    u = F.regexp_replace(url, r"(?i)\bv?\d+(?:\.\d+)+\b", "0")
+    u = F.regexp_replace(url, r"(?i)\bv?\d+(?:\.\d+){1,50}\b", "0")
     u = F.regexp_replace(u, r"(?i)\b[0-9a-f]{32,}\b", "HASH")
     u = F.regexp_replace(u, r"\b(?:19|20)\d{2}-?\d{2}-?\d{2}\b", "DATE")
     return F.rtrim(u, F.lit("/"))
@@ -52,7 +52,7 @@ def template(url: Column) -> Column:
 
 #: What in a url names a branch, and what a tag or version.
 _BRANCH = r'(?i)/branches?/|/heads/|/master[./"]|/main[./"]|/develop[./"]'
-_TAG, _VERSION = r"(?i)/releases?/|/tags?/|/download/", r"(?:^|/)(?:v\d+(?:\.\d+)*|\d+(?:\.\d+)+)(?:/|$|\.)"
+_TAG, _VERSION = r"(?i)/releases?/|/tags?/|/download/", r"(?:^|/)(?:v\d+(?:\.\d+){0,50}|\d+(?:\.\d+){1,50})(?:/|$|\.)"
 
 
 def pinning_level(url: Column, checksum: Column) -> Column:

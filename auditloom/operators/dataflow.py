@@ -18,7 +18,7 @@ from auditloom.sources.work import spread
 #: Programs of a project's own build that a recipe may write and run.
 BENIGN = ("configure", "configure.sh", "autogen.sh", "bootstrap", "build.ninja", "Makefile", "setup.py", "gradlew", "mvnw")
 PACKAGING = ("package", *recipe.HOOKS)
-_URL = re.compile(r"[a-z][a-z0-9+]*://[^\s\"'()<>`|;]+", re.I)
+_URL = re.compile(r"(?<![a-z0-9+])[a-z][a-z0-9+]{0,20}://[^\s\"'()<>`|;]+", re.I)
 _KINDS = [("idx", T.IntegerType(), pa.int32()), ("function", T.StringType(), pa.string()), ("kind", T.StringType(), pa.string()), ("path", T.StringType(), pa.string()), ("base", T.StringType(), pa.string())]
 
 

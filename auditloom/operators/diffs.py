@@ -17,7 +17,7 @@ _LINE = [
     ("pipe_from", T.StringType(), pa.string()), ("pipe_to", T.StringType(), pa.string()),
 ]
 
-_URL = re.compile(r"(?:[a-z][a-z0-9+]*)://[^\s\"'()<>`]+", re.I)
+_URL = re.compile(r"(?<![a-z0-9+])[a-z][a-z0-9+]{0,20}://[^\s\"'()<>`]+", re.I)
 _DIGEST = re.compile(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})$", re.I)
 _OID = re.compile(r"^(?:Subproject commit ([0-9a-f]{40})|oid sha256:([0-9a-f]{64}))")
 _SUMS = re.compile(r"^\s*(?:md5|sha1|sha224|sha256|sha384|sha512|b2)sums(?:_\w+)?\+?=")
@@ -135,7 +135,7 @@ def numbered(lines: DataFrame, id_column: str) -> DataFrame:
 def continued(lines: DataFrame, id_column: str) -> DataFrame:
     """id, idx (of its first line), n_lines: logical lines, where a \\ at the end of a line continues it on the next."""
     w = Window.partitionBy(id_column).orderBy("idx")
-    open_ = F.col("body").rlike(r"(?<!\\)(?:\\\\)*\\$")
+    open_ = (F.length(F.regexp_extract("body", r"\\+$", 0)) % 2 == 1)
     starts = F.coalesce(~F.lag(open_).over(w), F.lit(True)).cast("int")
     grouped = lines.withColumn("_g", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(id_column, "_g").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n_lines")).drop("_g")

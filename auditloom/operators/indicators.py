@@ -10,7 +10,7 @@ def indicator_type(value: Column) -> Column:
     """hash for hexadecimal digests of a known length, domain for dotted names, else package."""
     return (
         F.when(value.rlike("^[0-9A-Fa-f]+$") & F.length(value).isin(32, 40, 56, 64, 96, 128), "hash")
-        .when(value.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z0-9\-]+\.?$") & value.rlike("[A-Za-z]"), "domain")
+        .when((F.length(value) <= 255) & value.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z0-9\-]+\.?$") & value.rlike("[A-Za-z]"), "domain")
         .otherwise("package")
     )
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.recipe import BUILD_FUNCTIONS, HOOKS
+from auditloom.functions.recipe import BUILD_FUNCTIONS, HOOKS, LINE_CHARS
 
 
 @dataclass(frozen=True)
@@ -29,18 +29,19 @@ class Rule:
 
 
 _SHELL = r"(?:(?:/\S*/)?(?:ba|z|da|k|a)?sh|busybox\s+sh)\b"
-_RUNNER = rf"(?:sudo\s+|env\s+)*(?:{_SHELL}|(?:python|perl|ruby|node)[0-9.]*\b|source\s+/dev/stdin)"
+_RUNNER = rf"(?:sudo\s+|env\s+){{0,5}}(?:{_SHELL}|(?:python|perl|ruby|node)[0-9.]*\b|source\s+/dev/stdin)"
 _PIPE = r"(?<!\\)\|\s*"
 _CLIENT = r"(?:curl|wget2?|aria2c|axel|lftp|ftp|nc|ncat|socat)\b"
 _ABSOLUTE = r"(?:(?<=\s)|(?<=\s[\"']))/"
 _CODE = ("function_body", "other")
 _RUN = (*BUILD_FUNCTIONS, *HOOKS)
 
+# The JVM's regular expressions recurse on repeated groups, so groups are repeated a bounded number of times only.
 #: The catalogue: what each rule is after is its name; the patterns are this project's own.
 RULES = (
     Rule("R001", "Remote script execution", rf"\bcurl\b.*{_PIPE}{_RUNNER}", "CRITICAL", "network_execution", stage="execution"),
     Rule("R002", "Fetch piped to a shell", rf"\bwget\b.*{_PIPE}{_RUNNER}", "CRITICAL", "network_execution", stage="execution"),
-    Rule("R003", "Base64 decoded into a pipe", rf"\bbase64\s+(?:\S+\s+)*?(?:-d|-D|--decode)\b.*{_PIPE}", "CRITICAL", "obfuscation", stage="evasion"),
+    Rule("R003", "Base64 decoded into a pipe", rf"\bbase64\b[^|]*\s(?:-d|-D|--decode)\b.*{_PIPE}", "CRITICAL", "obfuscation", stage="evasion"),
     Rule("R007", "Install file modified", r"\.install\b", "MEDIUM", "installer", "raw", stage="persistence"),
     Rule("R008", "Runtime runs a url", r"\b(?:python|ruby|perl)[0-9.]*\s+-c\s+[\"']?https?://", "HIGH", "network_execution", stage="execution"),
     Rule("R009", "Privilege escalation", r"(?:^|[;&|]\s*)\s*(?:sudo|doas|pkexec)\s", "CRITICAL", "privilege", scope=_RUN, stage="escalation"),
@@ -63,13 +64,13 @@ RULES = (
     Rule("R050", "Compiler hardening disabled", r"FLAGS\s*\+?=.*(?:-fno-stack-protector|-z[\s,]*execstack)", "MEDIUM", "build", "raw", stage="evasion"),
     Rule("R051", "Network in pkgver", rf"\b{_CLIENT}", "HIGH", "packaging", "raw", ("pkgver",), stage="delivery"),
     Rule("R052", "Dotfile written to a home", r"\b(?:install|cp|mv|tee)\s[^;&|]*(?:\$\{?HOME\}?|~|/root|/home/[^/\s]+)/\.\w", "HIGH", "persistence", "raw", _CODE, stage="persistence"),
-    Rule("R053", "Setuid bit in the package root", r"\bchmod\s+(?:-\S+\s+)*(?:[2467][0-7]{3}|[ugoa]*\+s)\s+(?:--\s+)?(?![\"']?/)|\bsetcap\s+(?:-\S+\s+)*[\"']?cap_\S+\s+(?![\"']?/)", "MEDIUM", "privilege", "raw", _CODE, stage="escalation"),
+    Rule("R053", "Setuid bit in the package root", r"\bchmod\s+(?:-\S+\s+){0,20}(?:[2467][0-7]{3}|[ugoa]*\+s)\s+(?:--\s+)?(?![\"']?/)|\bsetcap\s+(?:-\S+\s+){0,20}[\"']?cap_\S+\s+(?![\"']?/)", "MEDIUM", "privilege", "raw", _CODE, stage="escalation"),
     Rule("R054", "Autostart unit written", r"(?:\b(?:install|cp|mv|ln|tee|cat|printf|echo)\b|>)[^;&|]*/(?:etc/(?:cron\.\w+|systemd/(?:system|user)|profile\.d|xdg/autostart|sudoers\.d|ld\.so\.conf\.d|pam\.d|init\.d)|usr/lib/systemd/(?:system|user)|var/spool/cron)/", "HIGH", "persistence", "raw", _CODE, stage="persistence"),
     Rule("R055", "Clone of a variable branch", r"\bgit\s+clone\s[^;&|]*(?:--branch|-b)[\s=]+[\"']?\$", "MEDIUM", "source", stage="delivery"),
     Rule("R056", "Download, then source", r"\b(?:curl|wget)\s[^;&|]*-[oO]\s*\S+[^;&|]*(?:&&|;)\s*(?:source|\.)\s", "CRITICAL", "execution", stage="execution"),
     Rule("R057", "TLS verification disabled", r"\bcurl\s(?:[^;&|]*\s)?(?:--insecure|-k)\b|\bwget\s(?:[^;&|]*\s)?--no-check-certificate\b", "HIGH", "network", stage="delivery"),
     Rule("R058", "Write outside the package root", rf"^\s*(?:sudo\s+)?(?:install|cp|mv|dd|tee)\s[^;&|]*{_ABSOLUTE}(?:etc|boot|usr/bin|usr/lib)/", "HIGH", "system", "raw", _CODE, stage="persistence"),
-    Rule("R059", "Setuid bit outside the package root", r"\bchmod\s+(?:-\S+\s+)*(?:[2467][0-7]{3}|[ugoa]*\+s)\s+(?:--\s+)?[\"']?/|\bsetcap\s+(?:-\S+\s+)*[\"']?cap_\S+\s+[\"']?/", "HIGH", "privilege", "raw", _CODE, stage="escalation"),
+    Rule("R059", "Setuid bit outside the package root", r"\bchmod\s+(?:-\S+\s+){0,20}(?:[2467][0-7]{3}|[ugoa]*\+s)\s+(?:--\s+)?[\"']?/|\bsetcap\s+(?:-\S+\s+){0,20}[\"']?cap_\S+\s+[\"']?/", "HIGH", "privilege", "raw", _CODE, stage="escalation"),
     Rule("R062", "Hook fetches or executes", rf"\b{_CLIENT}|\bchmod\s+u\+s|\bsystemctl\s+(?:enable|start)", "HIGH", "installer", scope=HOOKS, stage="execution"),
     Rule("R063", "Patch from outside the build tree", r"\b(?:patch|git\s+apply)\b[^;&]*(?:https?://|<\(|\s[\"']?/(?!dev/))", "HIGH", "integrity", scope=BUILD_FUNCTIONS, stage="delivery"),
     Rule("R070", "Loader environment changed", r"\b(?:LD_PRELOAD|LD_LIBRARY_PATH)\s*\+?=", "HIGH", "build", scope=BUILD_FUNCTIONS, stage="execution"),
@@ -88,7 +89,7 @@ RULES = (
     Rule("S001", "Recursive self-spawn", r":\s*\(\)\s*\{.*\|.*&.*\}|\bwhile\s+(?:true|:)\s*;\s*do\b[^;]*&", "CRITICAL", "sabotage", stage="impact"),
     Rule("S002", "Recursive deletion outside the build tree", r"\brm\s+(?:-\w*r\w*f\w*|-\w*f\w*r\w*|-r\s+-f|-f\s+-r)\s+(?:--\s+)?[\"']?(?:/(?:\s|$|\*|etc|usr|home|var|boot|root)|~|\$\{?HOME\b)", "CRITICAL", "sabotage", unless=r"\$\{?(?:srcdir|pkgdir|builddir)\b", stage="impact"),
     Rule("S003", "Raw block device write", r"\bdd\b[^;&|]*\bof=/dev/(?:sd|nvme|vd|mmcblk|mem)|\b(?:mkfs(?:\.\w+)?|wipefs|blkdiscard|sgdisk|shred)\b[^;&|]*/dev/(?:sd|nvme|vd|mmcblk)", "CRITICAL", "sabotage", stage="impact"),
-    Rule("S005", "Permission change on a system path", r"\bchmod\s+(?:-\S+\s+)*(?:0?777|a\+rwx)\s+[\"']?/(?:etc|usr|var|home)|\bchown\s[^;&|]*\s/(?:etc|usr|boot)", "HIGH", "sabotage", unless=r"\$\{?(?:srcdir|pkgdir)\b", stage="impact"),
+    Rule("S005", "Permission change on a system path", r"\bchmod\s+(?:-\S+\s+){0,20}(?:0?777|a\+rwx)\s+[\"']?/(?:etc|usr|var|home)|\bchown\s[^;&|]*\s/(?:etc|usr|boot)", "HIGH", "sabotage", unless=r"\$\{?(?:srcdir|pkgdir)\b", stage="impact"),
     Rule("S006", "System service disrupted", r"\bsystemctl\s+(?:stop|disable|mask|isolate|poweroff|reboot|halt)\b|\b(?:killall|pkill)\s+\w*d\b|\bufw\s+disable\b", "HIGH", "sabotage", stage="impact"),
     Rule("S007", "Cryptocurrency miner", r"\bstratum\+(?:tcp|ssl)://|--donate-level\b|(?:^|[;&|/]\s*)(?:xmrig|minerd|cpuminer)\b", "HIGH", "sabotage", stage="impact"),
     Rule("S008", "History or log destroyed", r"\bhistory\s+-c\b|\bunset\s+HISTFILE\b|\bset\s+\+o\s+history\b|\bjournalctl\s+--vacuum|>\s*/var/log/", "MEDIUM", "sabotage", stage="evasion"),
@@ -103,7 +104,7 @@ RULES = (
     Rule("R131", "Build flags weakened", r"\b(?:C|CXX|CPP|LD|RUST|MAKE)FLAGS\s*\+?=.*(?:-fno-stack-protector|-U_FORTIFY_SOURCE|-D_FORTIFY_SOURCE=0|-no-pie|-z\s*,?\s*norelro)", "HIGH", "build", "raw", stage="evasion"),
     Rule("R145", "Packaged file names a build-only path", r"\b(?:printf|echo|cat|tee)\b[^>]*\$\{?(?:srcdir|startdir|PWD|BUILDDIR)\b[^>]*>>?\s*[\"']?\$\{?pkgdir\b", "HIGH", "persistence", "raw", _RUN, stage="persistence"),
     Rule("S004", "Secure deletion of user data", r"\b(?:shred|srm|wipe)\b[^;&|]*(?:\$\{?HOME\}?|~|/home/|/root/)", "HIGH", "sabotage", unless=r"\$\{?(?:srcdir|pkgdir)\b", stage="impact"),
-    Rule("W002", "Dependencies resolved from a registry", r"(?:^|[;&|]\s*)\s*(?:npm|pnpm|yarn|bun)\s+(?:ci|install|i)\b|\bpip3?\s+install\s+(?:-\S+\s+)*-r\b|\bcargo\s+fetch\b|\bgo\s+mod\s+download\b|\bbundle\s+install\b", "INFO", "unverifiable", scope=_RUN, stage="delivery"),
+    Rule("W002", "Dependencies resolved from a registry", r"(?:^|[;&|]\s*)\s*(?:npm|pnpm|yarn|bun)\s+(?:ci|install|i)\b|\bpip3?\s+install\s+(?:-\S+\s+){0,20}-r\b|\bcargo\s+fetch\b|\bgo\s+mod\s+download\b|\bbundle\s+install\b", "INFO", "unverifiable", scope=_RUN, stage="delivery"),
     Rule("W004", "Unread build manifest", r"\b(?:make|gmake|ninja|bazel|scons)\b[^;&|]*\s(?:-f|--file|--makefile)[=\s]", "INFO", "unverifiable", scope=_RUN, stage="execution"),
     Rule("W006", "Generated file names a build-only path", r"\b(?:printf|echo|cat|tee)\b[^>]*\$\{?(?:srcdir|startdir|PWD|BUILDDIR)\b[^>]*>", "INFO", "unverifiable", "raw", _RUN, unless=r">>?\s*[\"']?\$\{?pkgdir\b", stage="staging"),
     Rule("X001", "Encoded payload decoded and executed", rf"(?:\bxxd\s+-r|\bod\s+-An|\bbase32\s+-d|\bbasenc\b|\bopenssl\s+enc\s+-d|\buudecode\b|\btr\s+[\"']?A-Za-z|\bprintf\s+[\"'](?:\\x|\\[0-7]{{3}}))[^|]*{_PIPE}.*{_RUNNER}", "CRITICAL", "evasion", "raw", _RUN, stage="evasion"),
@@ -139,7 +140,7 @@ def _pipelines() -> list[tuple[str, str, str, Column]]:
     run = F.array(*(F.lit(f) for f in _RUN))
     inside = (F.col("side") == "+") & F.coalesce(F.arrays_overlap(F.concat(F.array(F.coalesce("function", F.lit(""))), F.coalesce("callers", F.array().cast("array<string>"))), run), F.lit(False))
     first, last = F.col("pipe_from"), F.col("pipe_to")
-    signs = sum((F.col("body").rlike(p).cast("int") for p in _DENSITY), F.lit(0))
+    signs = sum((F.col("_raw").rlike(p).cast("int") for p in _DENSITY), F.lit(0))
     return [
         ("X009", "CRITICAL", "evasion", inside & first.isin(*_CLIENTS) & ~first.isin("curl", "wget") & last.isin(*_RUNNERS)),
         ("X016", "HIGH", "evasion", inside & first.isin(*_CLIENTS) & ~last.isin(*_RUNNERS, *_CONSUMERS)),
@@ -151,7 +152,7 @@ def _pipelines() -> list[tuple[str, str, str, Column]]:
 
 def _applies(rule: Rule) -> Column:
     """On which lines a rule looks: side, comments, context or function with its callers."""
-    text = F.col("body") if rule.target == "raw" else F.col("resolved")
+    text = F.col("_raw") if rule.target == "raw" else F.col("resolved")
     ok = text.isNotNull() & F.col("side").isin(*(["+"] if rule.added_only else ["+", " ", "-"]))
     if not rule.comments:
         ok &= ~F.col("body").rlike(r"^\s*#")
@@ -171,6 +172,9 @@ def findings(lines: DataFrame, id_column: str, rules: tuple[Rule, ...] = RULES)
     """
     if not rules:
         return lines.sparkSession.createDataFrame([], f"{lines.select(id_column).schema.simpleString()[7:-1]}, rule_id string, severity string, category string, idx int, file string, lineno int, match string")
+    # A line that is too long is cut for the rules, as its resolved text is; coverage_gaps names such diffs.
+    long = F.length("body") > LINE_CHARS
+    lines = lines.withColumn("_raw", F.when(long, F.substring(F.regexp_replace("body", r"\s+", " "), 1, LINE_CHARS)).otherwise(F.col("body")))
     special = _pipelines() if rules is RULES else []
     hits = F.filter(F.array(*(F.when(_applies(r), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))) for r in rules),
         *(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(k).alias("category"))) for i, s, k, c in special)), lambda h: h.isNotNull())
