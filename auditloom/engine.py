@@ -16,6 +16,7 @@ from auditloom.functions.text import name_key
 from auditloom.operators import corpus, indicators, reports, scoring, sweep
 from auditloom.plans.audit import audit
 from auditloom.sources import feeds
+from auditloom.sources.work import ship_package
 
 _FINDING = "subject string, rule_id string, severity string, score int, date date"
 
@@ -23,6 +24,7 @@ _FINDING = "subject string, rule_id string, severity string, score int, date dat
 class Engine:
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.store = spark, store.rstrip("/")
+        ship_package(spark)
 
     def _there(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}")

@@ -8,10 +8,28 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KNOWN: set[str] = set()
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application; the driver serves the file to them."""
+    app = spark.sparkContext.applicationId
+    package = Path(__file__).resolve().parents[1]
+    if app in _SHIPPED or not package.is_dir():
+        return
+    _SHIPPED.add(app)
+    folder = tempfile.mkdtemp(prefix="auditloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/auditloom.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(f"{folder}/auditloom.zip")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +58,7 @@ def clear_work(spark: SparkSession) -> None:
 def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: one evaluation, whatever reads it afterwards."""
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -51,5 +70,6 @@ def spread(df: DataFrame) -> DataFrame:
 
     Only inputs of fewer files than cores are moved; anything larger stays as it was read.
     """
+    ship_package(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,20 +4,23 @@ Each function takes a streaming DataFrame and runs it to the end of what is ther
 in the shared folder; `every` runs it on and on instead. Sinks are written so that a batch that is replayed changes nothing.
 """
 
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from auditloom.sources.work import shared_dir
+from auditloom.sources.work import shared_dir, ship_package
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """The Parquet files of a folder as a stream; of a path that is a file, that one file."""
+    ship_package(spark)
     reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
@@ -113,6 +116,8 @@ def property_breaks(stream: DataFrame, floor: int = 10, every: str | None = None
     """
     spark = stream.sparkSession
     out, checkpoint = _place(spark, "breaks")
+    # The stream starts a Python process of its own that sees no files of the application: the machine's class travels whole.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = stream.select("package_name", "property_key", "obs_id", F.col("observed_at").cast("timestamp").alias("observed_at"), "v")
     found = rows.groupBy("package_name", "property_key").transformWithStateInPandas(statefulProcessor=PropertyMachine(floor), outputStructType=_BREAK, outputMode="Append", timeMode="None")
