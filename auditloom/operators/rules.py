@@ -146,13 +146,13 @@ def _pipelines() -> list[tuple[str, str, str, Column]]:
         ("X016", "HIGH", "evasion", inside & first.isin(*_CLIENTS) & ~last.isin(*_RUNNERS, *_CONSUMERS)),
         ("X023", "HIGH", "evasion", inside & last.isin(*_SHELLS) & ~first.isin(*_CLIENTS)),
         ("R082", "MEDIUM", "obfuscation", inside & ~F.col("body").rlike(r"^\s*#") & (signs >= 3)),
-        ("R129", "HIGH", "network", (F.col("side") == "+") & F.col("function").isNull() & F.coalesce("file", F.lit("PKGBUILD")).rlike(r"PKGBUILD$|\.install$") & F.col("resolved").rlike(r"(?:\$\(|`|^\s*)(?:curl|wget2?|aria2c|nc)\s")),
+        ("R129", "HIGH", "network", (F.col("side") == "+") & F.col("function").isNull() & F.coalesce("file", F.lit("PKGBUILD")).rlike(r"PKGBUILD$|\.install$") & F.col("_resolved").rlike(r"(?:\$\(|`|^\s*)(?:curl|wget2?|aria2c|nc)\s")),
     ]
 
 
 def _applies(rule: Rule) -> Column:
     """On which lines a rule looks: side, comments, context or function with its callers."""
-    text = F.col("_raw") if rule.target == "raw" else F.col("resolved")
+    text = F.col("_raw") if rule.target == "raw" else F.col("_resolved")
     ok = text.isNotNull() & F.col("side").isin(*(["+"] if rule.added_only else ["+", " ", "-"]))
     if not rule.comments:
         ok &= ~F.col("body").rlike(r"^\s*#")
@@ -172,9 +172,9 @@ def findings(lines: DataFrame, id_column: str, rules: tuple[Rule, ...] = RULES)
     """
     if not rules:
         return lines.sparkSession.createDataFrame([], f"{lines.select(id_column).schema.simpleString()[7:-1]}, rule_id string, severity string, category string, idx int, file string, lineno int, match string")
-    # A line that is too long is cut for the rules, as its resolved text is; coverage_gaps names such diffs.
-    long = F.length("body") > LINE_CHARS
-    lines = lines.withColumn("_raw", F.when(long, F.substring(F.regexp_replace("body", r"\s+", " "), 1, LINE_CHARS)).otherwise(F.col("body")))
+    # A line is matched whole. In a long one runs of blanks count as one, which no pattern tells apart: to try each of a run's places costs its square.
+    packed = lambda c: F.when(F.length(c) > LINE_CHARS, F.regexp_replace(c, "[ \t]{2,}", " ")).otherwise(F.col(c))
+    lines = lines.withColumns({"_raw": packed("body"), "_resolved": packed("resolved")})
     special = _pipelines() if rules is RULES else []
     hits = F.filter(F.array(*(F.when(_applies(r), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))) for r in rules),
         *(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(k).alias("category"))) for i, s, k, c in special)), lambda h: h.isNotNull())

@@ -88,6 +88,16 @@ def test_very_long_lines(spark):
     assert "R001" not in second and isinstance(first, set)
 
 
+def test_raw_rules_see_whole_lines(spark):
+    from auditloom.plans.audit import TEXT_RULES, _as_diff
+
+    far = "x" * 300_000 + " https://x.example make " + "f" * 32 + " ./configure $pkgdir"
+    texts = spark.createDataFrame([(1, far)], "id long, text string")
+    assert {r.rule_id for r in rules.findings(_as_diff(diffs.text_lines(texts, "id", "text")), "id", TEXT_RULES).collect()} == {"L001", "L002", "L003", "L004", "L005"}
+    got = found(spark, diff("build() {", "  " + "x" * 300_000 + " curl u; na\u202Eme\x0B", "}"), diff("build() {", "  a" + " " * 300_000 + "wget u", "}"))
+    assert {"R010", "R013", "X008"} <= got[0] and "R011" in got[1]
+
+
 def test_catalogue_is_sound():
     assert len({r.id for r in rules.RULES}) == len(rules.RULES) >= 55
     assert {r.severity for r in rules.RULES} <= {"INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL", "FATAL"}
