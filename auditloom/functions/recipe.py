@@ -3,8 +3,9 @@
 import re
 from dataclasses import dataclass, field
 
-#: Limits: characters of a line that rules see (a longer line is a gap, see coverage), passes of expansion, characters of a variable's value.
-LINE_CHARS, PASSES, VALUE_CHARS = 8192, 16, 8192
+#: Limits: characters from which a line counts as oversized (it is read whole all the same), passes of expansion, and the characters by which the
+#: variables of a diff may make its lines longer. Values that double from one to the next have no end: what would grow beyond it stays as written, a gap.
+LINE_CHARS, PASSES, GROWTH_CHARS = 8192, 16, 1 << 22
 #: Functions that a package manager calls, by when.
 BUILD_FUNCTIONS = ("prepare", "build", "check", "package", "pkgver")
 HOOKS = ("pre_install", "post_install", "pre_upgrade", "post_upgrade", "pre_remove", "post_remove")
@@ -42,6 +43,7 @@ class Line:
     context: str = "other"
     resolved: str | None = None
     whole: bool = True
+    overgrown: bool = False  # not expanded in full, see GROWTH_CHARS
     pipe_from: str | None = None
     pipe_to: str | None = None
 
@@ -216,8 +218,10 @@ def _operate(value: str, op: str) -> str | None:
         m = re.match(glob_pattern(glob, op.startswith("##")), value, re.S)
         return value[m.end() :] if m else value
     if op.startswith("%"):
-        pattern = re.compile(glob_pattern(op.lstrip("%"), True) + r"\Z", re.S)
-        starts = range(len(value) + 1) if op.startswith("%%") else range(len(value), -1, -1)
+        glob, longest = op.lstrip("%"), op.startswith("%%")
+        # A * in front takes the whole value or, for the shortest end, nothing; to try it everywhere would cost the square of a long value.
+        starts = range(1 if glob.startswith("*") else len(value) + 1) if longest else range(len(value), -1, -1)
+        pattern = re.compile(glob_pattern(glob if longest else glob.lstrip("*"), True) + r"\Z", re.S)
         return next((value[:i] for i in starts if pattern.match(value, i)), value)
     if op.startswith("/"):
         every, body = op.startswith("//"), op.lstrip("/") if not op.startswith("//") else op[2:]
@@ -236,13 +240,25 @@ def _operate(value: str, op: str) -> str | None:
     return None
 
 
-def expand(text: str, table: dict[str, str], arrays: dict[str, list[str]]) -> tuple[str, bool]:
-    """The text with its variables put in, and whether all could be. Indirect and length forms are left alone.
+class Overgrown(Exception):
+    """Expansion would make a text longer than there is room for."""
+
+
+def expand(text: str, table: dict[str, str], arrays: dict[str, list[str]], room: int = GROWTH_CHARS) -> tuple[str, bool]:
+    """The text with its variables put in, and whether all could be. Indirect and length forms are left alone. Overgrown if that adds more than `room`.
 
     >>> expand("${n%-git}/$v ${u:-none} ${!x}", {"n": "abc-git", "v": "1"}, {})
     ('abc/1 none ${!x}', False)
     """
-    whole = True
+    whole, most, size = True, len(text) + room, 0
+
+    def put(m: re.Match) -> str:
+        nonlocal size
+        own = one(m)
+        size += len(own) - len(m.group())
+        if size > most:
+            raise Overgrown
+        return own
 
     def one(m: re.Match) -> str:
         nonlocal whole
@@ -270,13 +286,31 @@ def expand(text: str, table: dict[str, str], arrays: dict[str, list[str]]) -> tu
         return done
 
     for _ in range(PASSES):
-        fresh = _INNER.sub(one, text)
-        if fresh == text or len(fresh) > 16 * VALUE_CHARS:
+        size = len(text)
+        fresh = _INNER.sub(put, text)
+        if fresh == text:
             break
         text = fresh
     return text.replace("\0", "$"), whole
 
 
+class Room:
+    """What is left of GROWTH_CHARS over several texts; a text that would take more stays as it is and takes all, but each text may grow by LINE_CHARS."""
+
+    def __init__(self) -> None:
+        self.left = GROWTH_CHARS
+
+    def expand(self, text: str, table: dict[str, str], arrays: dict[str, list[str]]) -> tuple[str, bool, bool]:
+        """As expand(), and whether the text had to stay."""
+        try:
+            out, whole = expand(text, table, arrays, max(self.left, LINE_CHARS))
+        except Overgrown:
+            self.left = 0
+            return text, False, True
+        self.left -= max(0, len(out) - len(text))
+        return out, whole, False
+
+
 def assignments(logical: list[tuple[Line, str]]) -> tuple[dict[str, str], dict[str, list[str]]]:
     """Scalars and arrays as they stand after the diff: lines of the new side, in order, `+=` appending; a few passes settle forward uses."""
     scalars: dict[str, str] = {}
@@ -305,13 +339,15 @@ def assignments(logical: list[tuple[Line, str]]) -> tuple[dict[str, str], dict[s
         elif not re.search(r"\$\(|`", value):
             word = _WORD.match(value)
             plain = unquote(decode_ansi(word.group() if word else ""))
-            scalars[name] = ((scalars.get(name, "") if plus else "") + plain)[:VALUE_CHARS]
+            scalars[name] = (scalars.get(name, "") if plus else "") + plain
     for _ in range(10):
-        settled = {k: expand(v, {n: w for n, w in scalars.items() if n != k}, arrays)[0][:VALUE_CHARS] for k, v in scalars.items()}
+        room = Room()
+        settled = {k: room.expand(v, {n: w for n, w in scalars.items() if n != k} if "$" in v else {}, arrays)[0] for k, v in scalars.items()}
         if settled == scalars:
             break
         scalars = settled
-    return scalars, {k: [expand(w, scalars, {})[0] for w in own] for k, own in arrays.items()}
+    room = Room()
+    return scalars, {k: [room.expand(w, scalars, {})[0] for w in own] for k, own in arrays.items()}
 
 
 def collapse(path: str) -> str:
@@ -323,22 +359,17 @@ def collapse(path: str) -> str:
         path = fresh
 
 
-def clamp(line: str) -> str:
-    """A line that is too long, with runs of white space as one and then cut: rules must not cost more than that."""
-    return line if len(line) <= LINE_CHARS else re.sub(r"\s+", " ", line)[:LINE_CHARS]
-
-
 def read(text: str) -> tuple[list[Line], dict[str, str], dict[str, list[str]]]:
     """A diff read whole: its lines with scope and resolved text, and the variables after it."""
     lines = diff_lines(text.removeprefix("\ufeff"))
     scope(lines)
     logical = joined(lines)
     scalars, arrays = assignments(logical)
+    room = Room()
     for x, own in logical:
         if x.side in ("+", " ", "-"):
-            plain = decode_ansi(own)
-            x.resolved, x.whole = expand(clamp(plain), scalars, arrays)
-            x.resolved = collapse(clamp(re.sub(r"(?<=\w)(?:''|\"\")(?=\w)", "", x.resolved)))
+            x.resolved, x.whole, x.overgrown = room.expand(decode_ansi(own), scalars, arrays)
+            x.resolved = collapse(re.sub(r"(?<=\w)(?:''|\"\")(?=\w)", "", x.resolved))
             if "|" in x.resolved and (ends := pipeline_ends(strip_comment(x.resolved))):
                 x.pipe_from, x.pipe_to = ends
     return lines, scalars, arrays

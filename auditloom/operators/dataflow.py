@@ -49,7 +49,7 @@ def actions_of(text: str) -> list[tuple[int, str | None, str, str, str]]:
         if any(kind == "fetch" for kind, _ in done) or re.search(r"\b(?:curl|wget2?|aria2c|axel|git\s+clone)\b", body):
             out += [(x.idx, within, "url", u, u.rsplit("/", 1)[-1]) for u in _URL.findall(body)]
         if re.search(r"\b(?:patch|git\s+apply)\b", body):
-            out += [(x.idx, within, "patch", p, p.rsplit("/", 1)[-1]) for p in re.findall(r"[^\s<\"']+\.(?:patch|diff)\b", body)]
+            out += [(x.idx, within, "patch", p, p.rsplit("/", 1)[-1]) for p in re.findall(r"(?<![^\s<\"'])[^\s<\"']+\.(?:patch|diff)\b", body)]
         if m := re.match(r"\s*(?:export\s+)?PATH=(.*)", body):
             dirs = re.findall(r"\$\{?srcdir\}?/([\w.+-]+)(?![\w.+/-])", m.group(1))
             out += [(x.idx, within, "path_dir", p, p) for p in dirs]

