@@ -16,7 +16,7 @@ def watch_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def watch_windows(spark: SparkSession, d: str) -> DataFrame:
-    return cycles.windowed_counts(cycles.read_stream(spark, f"{d}/events.parquet"), "1 day")
+    return cycles.windowed_counts(cycles.read_stream(spark, f"{d}/events.parquet"))
 
 
 def watch_properties(spark: SparkSession, d: str) -> DataFrame:

@@ -56,14 +56,23 @@ def record_cycles(stream: DataFrame, every: str | None = None) -> DataFrame:
     return spark.read.parquet(out).groupBy("cycle", "event_type").agg(F.sum("n").alias("n"))
 
 
-def windowed_counts(stream: DataFrame, late: str = "365 days", every: str | None = None) -> DataFrame:
-    """Event counts per hour and type in event time; rows later than the watermark are left out. Windows come out once they are past it, so the end of the stream is still open."""
+def windowed_counts(stream: DataFrame, every: str | None = None) -> DataFrame:
+    """Event counts per hour and type in event time, of all rows however late: counts of a batch, one folder per batch that a replay overwrites; read back summed over batches.
+
+    stream: ts, event_type. NULL times fall into the hour NULL.
+    """
     spark = stream.sparkSession
     out, checkpoint = _place(spark, "windows")
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    counts = timed.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    _run(counts.select(F.col("window.start").alias("hour"), "event_type", "n").writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint), every)
-    return spark.read.schema("hour timestamp, event_type string, n long").parquet(out)
+    schema = "hour timestamp, event_type string, n long"
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")  # so that a stream without rows can be read back
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        hour = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600)
+        counts = batch.groupBy(hour.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), every)
+    return spark.read.schema(schema).parquet(out).groupBy("hour", "event_type").agg(F.sum("n").alias("n"))
 
 
 def first_alerts(stream: DataFrame, every: str | None = None) -> DataFrame:
