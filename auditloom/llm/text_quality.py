@@ -214,7 +214,7 @@ def _total(df: DataFrame, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarra
         for batch in batches:
             z = np.asarray(batch.column("stats").flatten()).reshape(-1, width)
             for i in range(0, len(z), 1024):
-                part = sums(z[i : i + 4096])
+                part = sums(z[i : i + 1024])
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "sums": [total.tobytes()]})

@@ -68,3 +68,10 @@ def test_expectation_maximization_finds_two_heaps():
         m = Mixture.of(m.sums(z), 2, 1e-3, m)
     assert np.allclose(sorted(m.weights), [0.25, 0.75], atol=0.02) and np.allclose(m.means[np.argmax(m.weights)], 3, atol=0.1)
     assert np.allclose(m.shares(z).sum(axis=1), 1)
+
+
+def test_total_counts_every_block_once(spark):
+    from auditloom.llm.text_quality import _total
+
+    rows = spark.createDataFrame([([0.0] * len(STATISTICS) * 5000,)], "stats array<double>")
+    assert _total(rows, lambda z: np.array([float(len(z))])).tolist() == [5000.0]
