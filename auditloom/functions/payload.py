@@ -59,6 +59,30 @@ def encoded_payload(text: str) -> str | None:
     return None
 
 
+def uuencoded_payload(lines: list[str]) -> tuple[int, str] | None:
+    """Where the first uuencoded block that decodes to a payload begins, and `uuencode:kind`.
+
+    >>> uuencoded_payload(["x", "begin 644 a", binascii.b2a_uu(b"#!/bin/sh").decode().strip(), "`", "end"]), uuencoded_payload(["begin 644 a", "no"])
+    ((1, 'uuencode:script'), None)
+    """
+    start, data = None, b""
+    for i, line in enumerate([*lines, "end"]):
+        own = line.strip()
+        if start is None:
+            start, data = (i, []) if re.match(r"begin(?:-base64)? ", own) else (None, [])
+        elif own.startswith("end") or own == "====":
+            if name := payload_name(b"".join(data)):
+                return start, "uuencode:" + name
+            start = None
+        else:
+            try:
+                data.append(base64.b64decode(own) if lines[start].strip().startswith("begin-") else binascii.a2b_uu(own) if own != "`" else b"")
+            except (binascii.Error, ValueError):
+                start = i if own.startswith("begin ") else None
+                data = []
+    return None
+
+
 @pandas_udf(StringType())
 def payload_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """encoded_payload() of a column; NULL for NULL."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.functions import recipe
+from auditloom.functions import payload, recipe
 from auditloom.sources.work import spread
 
 #: Programs of a project's own build that a recipe may write and run.
@@ -32,6 +32,7 @@ def actions_of(text: str) -> list[tuple[int, str | None, str, str, str]]:
     """(idx, function, kind, path, base) of a diff: its declared sources, then what its added lines do within functions that are run.
 
     function is the enclosing one if a package manager runs it, else the first of its callers that is. Here-document texts do nothing.
+    The kind payload is an executable that any added lines encode, wherever they are; its path is the encoding and the kind.
     """
     lines, scalars, arrays = recipe.read(text)
     out = [(-1, None, "declared", s, source_name(s)) for s in [*arrays.get("source", []), *([scalars["source"]] if scalars.get("source") else [])]]
@@ -59,6 +60,13 @@ def actions_of(text: str) -> list[tuple[int, str | None, str, str, str]]:
                 if len(files) >= 2 and (m := re.search(r"\$\{?pkgdir\}?(/.*)", files[-1])):
                     out.append((x.idx, within, "installed", files[-2], m.group(1)))
     out += [(x.idx, None, "exec_start", m.group(1), m.group(1)) for x in lines if x.side == "+" and (m := re.match(r"\s*ExecStart\w*\s*=\s*[-@+!]*(/[^\s\"']+)", x.body))]
+    added = [x for x in lines if x.side == "+"]
+    for x in added:
+        body = recipe.strip_comment(x.body)
+        if found := payload.encoded_payload(body) or (x.resolved and x.resolved != x.body and payload.encoded_payload(recipe.strip_comment(x.resolved))):
+            out.append((x.idx, x.function, "payload", found, found))
+    if found := payload.uuencoded_payload([x.body for x in added]):
+        out.append((added[found[0]].idx, added[found[0]].function, "payload", found[1], found[1]))
     return out
 
 
@@ -83,7 +91,7 @@ def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = N
     executed; R137 fetched, then executed; R138 a declared source executed; R136 a committed file executed undeclared; W001 (R150 in packaging)
     a file executed that is neither declared, committed nor written; R061 a fetch of an undeclared url; W003 a patch not committed;
     R140 a PATH with a source folder that is neither declared nor committed; R139 a service that starts a file of that kind.
-    R121 before R124 on one execution; executions of what was written are not unread.
+    R120 an encoded executable. R121 before R124 on one execution; executions of what was written are not unread.
     """
     none = actions.where(F.lit(False)).select(id_column, "base").distinct()
     declared = actions.where("kind = 'declared'").select(id_column, "base").distinct().withColumn("declared", F.lit(True))
@@ -119,5 +127,7 @@ def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = N
     started = actions.where("kind = 'exec_start'").select(id_column, "path", "idx").join(put, [id_column, "path"])
     started = started.join(declared, [id_column, "base"], "left_anti").join(committed, [id_column, "base"], "left_anti")
     found = found.unionByName(started.select(id_column, F.lit("R139").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("persistence").alias("category"), "idx", F.col("path").alias("match")))
+    encoded = actions.where("kind = 'payload'")
+    found = found.unionByName(encoded.select(id_column, F.lit("R120").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("execution").alias("category"), "idx", F.col("path").alias("match")))
     best = found.groupBy(id_column, "rule_id").agg(F.min(F.struct("idx", "severity", "category", "match")).alias("_m"))
     return best.select(id_column, "rule_id", "_m.severity", "_m.category", "_m.idx", "_m.match")

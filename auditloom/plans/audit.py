@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.operators import diffs, rules, scoring
+from auditloom.operators import dataflow, diffs, rules, scoring
 from auditloom.operators.rules import Rule
 from auditloom.sources import stage_table, table
 
@@ -177,15 +177,35 @@ def diff_facts(spark: SparkSession, d: str) -> DataFrame:
     return diffs.diff_facts(table(spark, d, "documents"), "doc_id", "text")
 
 
+#: The stages of rules that are no Rule of the catalogue.
+_OTHER_STAGES = {
+    "X009": "delivery", "X016": "delivery", "R129": "delivery", "R080": "delivery", "X023": "execution", "R120": "execution", "R121": "execution", "R124": "execution", "R136": "execution", "R137": "execution", "R138": "execution",
+    "R082": "evasion", "R147": "evasion", "R068": "persistence",
+}
+
+
+def composed(found: DataFrame, id_column: str) -> DataFrame:
+    """Findings that follow from others of a diff: id, rule_id, severity, category. R072 three categories, R089 three stages, X007 two techniques of evasion."""
+    stages = found.sparkSession.createDataFrame([*((r.id, r.stage) for r in rules.RULES if r.stage), *_OTHER_STAGES.items()], "rule_id string, stage string")
+    evasion = found.where("rule_id LIKE 'X%'").groupBy(id_column).agg(F.count_distinct("rule_id").alias("n")).where("n >= 2")
+    made = ((scoring.density(found, id_column), "R072", "INFO", "meta"), (scoring.stage_chain(found, id_column, stages), "R089", "INFO", "meta"), (evasion, "X007", "CRITICAL", "evasion"))
+    first, *rest = (df.select(id_column, F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(c).alias("category")) for df, i, s, c in made)
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
 def audit(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Diffs to scores: line findings and whole-diff findings, united, scored, banded, with what could not be read.
+    """Diffs to scores: findings of lines, whole diffs, flows, payloads and compositions, united, scored, banded, with what could not be read.
 
     Result: the id, score, n_findings, worst, band, rules (sorted), gaps. Diffs without a finding have score 0.
     """
     lines = diffs.diff_lines(docs, id_column, text_column)
     facts = stage_table(diffs.diff_facts(docs, id_column, text_column), "facts")
-    found = rules.findings(lines, id_column).select(id_column, "rule_id", "severity").unionByName(rules.structural(facts, id_column).select(id_column, "rule_id", "severity"))
-    found = stage_table(found, "findings")
+    actions = stage_table(dataflow.diff_actions(docs, id_column, text_column), "actions")
+    own = [f.select(id_column, "rule_id", "severity", "category") for f in (rules.findings(lines, id_column), rules.structural(facts, id_column), dataflow.flow_findings(actions, id_column))]
+    found = stage_table(own[0].unionByName(own[1]).unionByName(own[2]), "findings")
+    found = stage_table(found.unionByName(composed(found, id_column)), "composed")
     # A diff has at most one finding of each rule, so the lists are as long as the catalogue.
     named = found.groupBy(id_column).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
     scored = facts.select(id_column).join(scoring.scores(found, id_column), id_column, "left").join(named, id_column, "left").join(diffs.coverage_gaps(facts, id_column), id_column, "left")

