@@ -98,6 +98,12 @@ def magic_of(head: Column) -> Column:
     return out
 
 
+def is_archive(data: Column) -> Column:
+    """Do BINARY data begin as one of the archives that trailing_bytes() knows."""
+    starts = lambda at, *magic: F.substring(data, at, len(magic[0])).isin(*(F.lit(m) for m in magic))
+    return starts(1, b"\x1f\x8b") | starts(1, b"PK\x03\x04", b"PK\x05\x06") | starts(258, b"ustar")
+
+
 def trailing_bytes(data: bytes) -> int | None:
     """Bytes behind the declared end of a gzip, zip or tar archive; None for anything else or a broken one.
 
@@ -105,17 +111,24 @@ def trailing_bytes(data: bytes) -> int | None:
     (4, 0, None)
     """
     if data[:2] == b"\x1f\x8b":
-        rest = data
+        at = 0
         try:
-            while rest[:2] == b"\x1f\x8b":
+            while data[at : at + 2] == b"\x1f\x8b":
                 d = zlib.decompressobj(31)
-                d.decompress(rest)
+                while not d.eof and at < len(data):  # a piece at a time: only the end matters
+                    piece = data[at : at + 65536]
+                    at += len(piece)
+                    while piece and not d.eof:
+                        d.decompress(piece, 1 << 20)
+                        piece = d.unconsumed_tail
+                while not d.eof and d.decompress(b"", 1 << 20):
+                    pass
                 if not d.eof:
                     return None
-                rest = d.unused_data
+                at -= len(d.unused_data)
         except zlib.error:
             return None
-        return len(rest.rstrip(b"\0"))
+        return len(data[at:].rstrip(b"\0"))
     if data[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
         at = data.rfind(b"PK\x05\x06")
         if at < 0 or len(data) < at + 22:

@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions.payload import is_archive
 from auditloom.operators.indicators import normalised
+from auditloom.operators.trees import is_carrier
 
 INDICATOR = "type string, value string, confidence string, provenance string, campaign string, source string, added string, expires_at string"
 _CONFIDENCE = ("confirmed", "high", "medium")
@@ -48,9 +50,12 @@ def merge_urls(seeds: DataFrame) -> DataFrame:
 
 
 def tree_manifest(spark: SparkSession, folder: str, head: int = 4096) -> DataFrame:
-    """The files below a folder: path, length and the first bytes. Only the bytes that are kept leave the reader's row."""
+    """The files below a folder: path, length, the first bytes, and the whole content of what is read to its end (carriers, archives), NULL for others.
+
+    Only the bytes that are kept leave the reader's row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", F.substring("content", 1, head).alias("head"))
+    return files.select("path", "length", F.substring("content", 1, head).alias("head"), F.when(is_carrier(F.col("path")) | is_archive(F.col("content")), F.col("content")).alias("content"))
 
 
 def changed_members(old: DataFrame, new: DataFrame) -> DataFrame:

