@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import name_key, version_key
@@ -36,3 +38,20 @@ def test_conflicting_rows_compare_as_sets(spark):
 def test_long_values_and_hot_name(spark):
     rows = [(1, 1, "x", "v" * 100_000)] * 500 + [(2, 1, "x", "v" * 100_000)] * 3
     assert run(spark, rows) == []
+
+
+def test_more_snapshots_than_a_word_holds(spark):
+    """Against a plain comparison of sets, over word borders, with the list of snapshots broadcast and joined."""
+    rng = random.Random(5)
+    held = {no: {n: rng.choice("12") for n in "abcde" if rng.random() < 0.8} for no in range(0, 400, 3)}
+    rows = [(no, 1, n, v) for no, own in held.items() for n, v in own.items()]
+    want, numbers = [], sorted(held)
+    for before, no in zip(numbers, numbers[1:]):
+        for n in "abcde":
+            a, b = held[before].get(n), held[no].get(n)
+            if a != b:
+                want.append((no, n, "added" if a is None else "removed" if b is None else "changed"))
+    df = spark.createDataFrame(rows, "snapshot_no int, delivery_no int, name string, version string")
+    for most in (3, 1000):
+        got = snapshot_changes(df, F.col("name"), {"version": F.col("version")}, most).collect()
+        assert sorted((r.snapshot_no, r.name, r.change_kind) for r in got) == sorted(want)
