@@ -1,8 +1,9 @@
 from datetime import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from auditloom.operators.orphan_refs import heavy_keys_of, orphan_counts, orphan_records
+from auditloom.operators.orphan_refs import _groups, _heavy, orphan_counts, orphan_records
 
 REFS = "table_name string, record_id long, ref_key long, at timestamp_ntz, id long, added_at string"
 TARGETS = "id long, added_at timestamp_ntz, removed_at timestamp_ntz, last_checked timestamp_ntz, reason string"
@@ -55,5 +56,5 @@ def test_empty(spark):
 
 def test_hot_key_is_bounded(spark):
     rows = [("a", i, 7, dt(2023, 1, 1)) for i in range(1000)] + [("a", 1000 + i, i + 100, dt(2023, 1, 1)) for i in range(1000)]
-    assert heavy_keys_of(refs(spark, rows), 100) == [7]
+    assert _heavy(_groups(refs(spark, rows).withColumn("period", F.trunc("at", "month"))), 100) == [7]
     assert orphan_records(refs(spark, rows), targets(spark, PACKAGES), 100).count() == 2000
