@@ -1,16 +1,17 @@
 """Full history of changing attributes, kept as checkpoints and patches.
 
-Observations are range-partitioned by entity, property and time, so that one entity with a third of all rows is spread
-over many partitions. Each partition writes, per property, a full version (checkpoint) first and after every
-`checkpoint_every` versions, and in between patches with only the attributes that changed. Validity rows are
-reconstructed by folding patches forward from the nearest checkpoint; one small row per partition (its edges) stitches
-versions that continue across partitions.
+Observations are range-partitioned once, by entity, property, time and arrival, so that one entity or even one moment with a third
+of all rows is spread over many partitions. Each partition reads its rows in that order, of one moment only the last, and writes, per
+property, a full version (checkpoint) first and after every `checkpoint_every` versions, and in between patches with only the
+attributes that changed. Its last moment, which the next partition may go on with, becomes a part of its own. Validity rows are
+reconstructed by folding patches forward from the nearest checkpoint; two small rows per partition (its edges) drop moments
+that are superseded and stitch versions that continue across partitions.
 """
 
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -55,73 +56,96 @@ def _canonical(t: str) -> str:
 
 
 def observations(properties: DataFrame) -> DataFrame:
-    """Rows that count: a value and a time are there; of one moment of one property the highest obs_id holds (NULL is lowest)."""
-    fields = F.struct(*(F.col(c).cast("long" if c == "stable_for_n" else "string").alias(c) for c in ATTRIBUTES))
-    return (
-        properties.where(F.col("value").isNotNull() & F.col("observed_at").isNotNull())
-        .groupBy("package_name", "property_key", "observed_at")
-        .agg(F.max_by(fields, F.struct("obs_id", "value")).alias("s"))
-        .select("package_name", "property_key", "observed_at", *(f"s.{c}" for c in ATTRIBUTES))
-    )
+    """Rows that count: a value and a time are there."""
+    fields = [F.col(c).cast("long" if c == "stable_for_n" else "string").alias(c) for c in ATTRIBUTES]
+    return properties.where(F.col("value").isNotNull() & F.col("observed_at").isNotNull()).select("package_name", "property_key", "observed_at", F.col("obs_id").cast("long").alias("obs_id"), *fields)
+
+
+_SCHEMA = pa.schema(
+    [("part", pa.int32()), ("seq", pa.int64()), ("row_kind", pa.string()), ("segment", pa.int64()), ("package_name", pa.string()), ("property_key", pa.string()),
+     ("digest", pa.string()), ("observed_at", pa.timestamp("us", tz="UTC")), ("changed", pa.list_(pa.string())), ("value", pa.string()), ("stable_for_n", pa.int64()),
+     ("first_seen", pa.string()), ("last_changed", pa.string()), ("tail_package", pa.string()), ("tail_property", pa.string()), ("tail_digest", pa.string()), ("second_changed", pa.string())]
+)
+_MOMENT = ("package_name", "property_key", "observed_at")
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False) if name != "observed_at" else batch.column(name).cast(pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def _differs(values: np.ndarray) -> np.ndarray:
+    """Of each value but the first, whether it differs from the one before; NULLs are alike."""
+    return np.asarray(values[1:] != values[:-1], bool)
+
+
+class _Part:
+    """The storage rows of one part: versions as checkpoints and patches, and its edge."""
+
+    def __init__(self, number: int, every: int):
+        self.number, self.every = number, every
+        self.canon: dict[str, str] = {}
+        self.last = self.kept = self.edge = None
+        self.seq = self.segment = self.in_segment = 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows in order, one per moment."""
+        if not batch.num_rows:
+            return
+        if len(self.canon) > 200_000:
+            self.canon.clear()
+        digests = []
+        for v in batch.column("value").to_pylist():
+            d = self.canon.get(v)
+            if d is None:
+                d = self.canon[v] = canonical_value(v)
+            digests.append(d)
+        columns = [_column(batch, "package_name"), _column(batch, "property_key"), np.array(digests, object)]
+        here = [tuple(c[i] for c in columns) for i in (0, -1)]
+        fresh = [np.concatenate([[self.last is None or self.last[i] != here[0][i]], _differs(c)]) for i, c in enumerate(columns)]
+        self.last = here[1]
+        starts = np.flatnonzero(fresh[0] | fresh[1] | fresh[2])
+        entity = ~(fresh[0] | fresh[1])
+        out = []
+        for i, row in zip(starts, batch.take(pa.array(starts)).to_pylist()):
+            now = {c: row[c] for c in ATTRIBUTES}
+            self.seq += 1
+            if not entity[i] or self.kept is None or self.in_segment >= self.every:
+                self.segment, self.in_segment, kind, changed = self.segment + 1, 1, "checkpoint", list(ATTRIBUTES)
+            else:
+                self.in_segment, kind, changed = self.in_segment + 1, "patch", [c for c in ATTRIBUTES if now[c] != self.kept[c]]
+            self.kept = now
+            owner = {"package_name": row["package_name"], "property_key": row["property_key"]}
+            if self.edge is None:
+                self.edge = {**owner, "digest": digests[i], "observed_at": row["observed_at"], "last_changed": now["last_changed"], "changed": []}
+            elif self.seq == 2 and all(self.edge[k] == v for k, v in owner.items()):
+                self.edge |= {"changed": ["second"], "second_changed": now["last_changed"]}
+            out.append({"part": self.number, "seq": self.seq, "row_kind": kind, "segment": self.segment, **owner, "digest": digests[i], "observed_at": row["observed_at"], "changed": changed, **{c: now[c] for c in changed}})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """The edge: the first version and the moment of its first row, and the last version."""
+        if self.edge is not None:
+            tail = dict(zip(("tail_package", "tail_property", "tail_digest"), self.last))
+            yield pa.RecordBatch.from_pylist([{"part": self.number, "seq": 0, "row_kind": "edge", **self.edge, **tail}], schema=_SCHEMA)
 
 
 def _compress(every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        canon: dict[str, str] = {}
-        last = None  # package, property, digest of the latest row
-        kept = None  # the latest version's attributes
-        head = edge = None
-        seq = segment = in_segment = 0
-        schema = pa.schema(
-            [("part", pa.int32()), ("seq", pa.int64()), ("row_kind", pa.string()), ("segment", pa.int64()), ("package_name", pa.string()), ("property_key", pa.string()),
-             ("digest", pa.string()), ("observed_at", pa.timestamp("us", tz="UTC")), ("changed", pa.list_(pa.string())), ("value", pa.string()), ("stable_for_n", pa.int64()),
-             ("first_seen", pa.string()), ("last_changed", pa.string()), ("tail_package", pa.string()), ("tail_property", pa.string()), ("tail_digest", pa.string()), ("second_changed", pa.string())]
-        )
+        number = 2 * TaskContext.get().partitionId()
+        body, last = _Part(number, every), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if len(canon) > 200_000:
-                canon.clear()
-            names = [batch.column(i).to_pylist() for i in range(2)]
-            digests = []
-            for v in batch.column("value").to_pylist():
-                d = canon.get(v)
-                if d is None:
-                    d = canon[v] = canonical_value(v)
-                digests.append(d)
-            now = pd.DataFrame({"p": names[0], "k": names[1], "d": digests}, dtype=object)
-            same = (now.eq(now.shift(1)) | (now.isna() & now.shift(1).isna())).to_numpy()
-            same[0] = [last is not None and last[i] == (names[0][0], names[1][0], digests[0])[i] for i in range(3)]
-            starts = (~same.all(axis=1)).nonzero()[0]
-            entity = same[:, :2].all(axis=1)
-            last = (names[0][-1], names[1][-1], digests[-1])
-            rows = batch.take(pa.array(starts)).to_pylist()
-            out = []
-            for i, row in zip(starts, rows):
-                here = {c: row[c] for c in ATTRIBUTES}
-                seq += 1
-                if not entity[i] or kept is None or in_segment >= every:
-                    segment, in_segment, kind, changed = segment + 1, 1, "checkpoint", list(ATTRIBUTES)
-                else:
-                    in_segment, kind, changed = in_segment + 1, "patch", [c for c in ATTRIBUTES if here[c] != kept[c]]
-                kept = here
-                if head is None:
-                    head = (names[0][i], names[1][i])
-                    edge = {"package_name": head[0], "property_key": head[1], "digest": digests[i], "last_changed": here["last_changed"], "second": False}
-                elif seq == 2 and (names[0][i], names[1][i]) == head:
-                    edge |= {"second": True, "second_changed": here["last_changed"]}
-                out.append(
-                    {"part": part, "seq": seq, "row_kind": kind, "segment": segment, "package_name": row["package_name"], "property_key": row["property_key"], "digest": digests[i],
-                     "observed_at": row["observed_at"], "changed": changed, **{c: here[c] for c in changed}}
-                )
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if head is not None:
-            second = {"changed": ["second"], "second_changed": edge["second_changed"]} if edge["second"] else {"changed": []}
-            edge = {k: edge[k] for k in ("package_name", "property_key", "digest", "last_changed")} | second
-            tail = dict(zip(("tail_package", "tail_property", "tail_digest"), last))
-            yield pa.RecordBatch.from_pylist([{"part": part, "seq": 0, "row_kind": "edge", **edge, **tail}], schema=schema)
+            rows = pa.Table.from_batches([*([last] if last is not None else []), batch]).combine_chunks().to_batches()[0]
+            moved = np.logical_or.reduce([_differs(_column(rows, c)) for c in _MOMENT])
+            yield from body.add(rows.slice(0, rows.num_rows - 1).filter(pa.array(moved, pa.bool_())))
+            last = rows.slice(rows.num_rows - 1)
+        yield from body.close()
+        if last is not None:
+            pending = _Part(number + 1, every)
+            yield from pending.add(last)
+            yield from pending.close()
 
     return run
 
@@ -129,12 +153,13 @@ def _compress(every: int):
 def store(properties: DataFrame, checkpoint_every: int = 16, parts: int | None = None) -> DataFrame:
     """The checkpoint-delta storage of all properties, written into the shared folder.
 
-    Rows: `checkpoint` (all attributes), `patch` (`changed` names the attributes that it sets) and one `edge` per partition.
+    Rows: `checkpoint` (all attributes), `patch` (`changed` names the attributes that it sets) and one `edge` per part. Partition i
+    writes part 2i and, for its last moment, part 2i+1. Of one moment of one property the highest obs_id holds (NULL is lowest, then the value).
     """
     spark = properties.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ["package_name", "property_key", "observed_at"]
-    spread = observations(properties).repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
+    order = [*_MOMENT, "obs_id", "value"]
+    spread = observations(properties).repartitionByRange(n, *order).sortWithinPartitions(*order)
     return stage_table(spread.mapInArrow(_compress(checkpoint_every), _STORE), "history")
 
 
@@ -143,12 +168,15 @@ def _same(a: str, b: str) -> Column:
 
 
 def stitches(stored: DataFrame) -> DataFrame:
-    """Per partition of the storage: does its first version continue the one before (`merged`), and when does its last version end.
+    """Per part of the storage: does its first version continue the one before (`merged`), and when does its last version end.
 
-    Looks at one edge row per partition only. next_from is a struct, NULL where no later version exists.
+    Looks at the edge rows only, two per partition. next_from is a struct, NULL where no later version exists. A last moment that the
+    next part goes on with has no row here: what it says does not hold.
     """
     edges = stored.where(F.col("row_kind") == "edge")
     line = Window.orderBy("part")
+    edges = edges.withColumns({"after_" + c: F.lead(c).over(line) for c in _MOMENT} | {"has_after": F.lead("part").over(line).isNotNull()})
+    edges = edges.where(~((F.col("part") % 2 == 1) & F.col("has_after") & _same("package_name", "after_package_name") & _same("property_key", "after_property_key") & _same("observed_at", "after_observed_at")))
     edges = edges.withColumns({"before_" + c: F.lag("tail_" + c).over(line) for c in ("package", "property", "digest")} | {"has_before": F.lag("part").over(line).isNotNull()})
     edges = edges.withColumn("merged", F.col("has_before") & _same("package_name", "before_package") & _same("property_key", "before_property") & _same("digest", "before_digest"))
     first = F.when(~F.col("merged"), F.struct(epoch_seconds(F.col("last_changed")).alias("at"))).when(
@@ -170,7 +198,7 @@ def reconstruct(stored: DataFrame) -> DataFrame:
     segment = Window.partitionBy("part", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = stored.where(F.col("row_kind") != "edge").drop("tail_package", "tail_property", "tail_digest", "second_changed").repartition("part")
     folded = rows.withColumns({c: F.last(F.when(F.array_contains("changed", c), F.struct(c)), ignorenulls=True).over(segment)[c] for c in ATTRIBUTES})
-    # At most one row per partition of the storage, whose number the session fixes.
+    # At most two rows per partition of the storage, whose number the session fixes; parts without a row here are superseded.
     versions = folded.join(F.broadcast(stitches(stored)), F.col("part") == F.col("edge_part")).where(~((F.col("seq") == 1) & F.col("merged")))
     versions = versions.withColumn("valid_from", epoch_seconds(F.col("last_changed")))
     entity = Window.partitionBy("part", "package_name", "property_key").orderBy("seq")

@@ -44,6 +44,16 @@ def test_against_brute_force(spark, parts, every):
     assert run(spark, rows, parts=parts, checkpoint_every=every) == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 9])
+def test_one_moment_over_many_partitions(spark, parts):
+    """A third and more of the rows are of one moment: it is spread, and only its last row counts."""
+    rows = [("p", "k", i, dt(2024, 1, 1) + timedelta(hours=i % 3), f"v{i % 3}", i, None, f"2024-01-01T0{i % 3}:00:00") for i in range(6)]
+    rows += [("p", "k", 100 + i, dt(2024, 1, 2), f"w{i % 5}", i, None, f"2024-01-02T00:{i % 60:02}:00") for i in range(900)]
+    rows += [("p", "k", None, dt(2024, 1, 2), "zz", 0, None, "2024-01-02T00:00:00"), ("p", "k", 5000, dt(2024, 1, 3), "w4", 0, None, "2024-01-03T00:00:00"), ("q", "k", 1, dt(2024, 1, 2), "w4", 0, None, "2024-01-02T00:00:00")]
+    got = run(spark, rows, parts=parts, checkpoint_every=2)
+    assert got == brute([r[:2] + ((r[2] if r[2] is not None else -1),) + r[3:] for r in rows])
+
+
 def test_times_and_empty(spark):
     rows = [("p", "k", 1, dt(2024, 1, 1), "a", 0, None, "2024-01-01T00:30:00.75-04:30"), ("p", "k", 2, dt(2024, 1, 2), "b", 0, None, "2024-01-02 00:00:00"), ("p", "k", 3, dt(2024, 1, 3), "c", 0, None, "nonsense")]
     got = [r[2:4] for r in run(spark, rows)]
@@ -55,7 +65,9 @@ def test_times_and_empty(spark):
 def test_storage_holds_patches(spark):
     rows = [("p", "k", i, dt(2024, 1, 1) + timedelta(days=i), str(i), 0, "2024-01-01", "2024-01-01") for i in range(10)]
     kept = store(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA), checkpoint_every=4, parts=1).where("row_kind <> 'edge'").orderBy("seq").collect()
-    assert [r.row_kind for r in kept] == ["checkpoint", "patch", "patch", "patch"] * 2 + ["checkpoint", "patch"]
+    assert [r.row_kind for r in kept if r.part == 0] == ["checkpoint", "patch", "patch", "patch"] * 2 + ["checkpoint"]
+    assert [(r.row_kind, r.value) for r in kept if r.part == 1] == [("checkpoint", "9")]
+    kept = [r for r in kept if r.part == 0]
     assert kept[1].changed == ["value"] and kept[1].first_seen is None
 
 
