@@ -7,6 +7,7 @@ document is natural prose if most of its non-blank characters lie in blocks that
 """
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,6 +39,8 @@ _NAME = regex.compile(r"\p{Ll}[\p{Ll}\d]*(?:[-_.+]\p{Ll}[\p{Ll}\d]*)*(?:[<>=]+[\
 _MARKER = regex.compile(r"\s*(?:[-*•–—+·◦▪‣]\s|\(?(?:\d{1,3}|[a-zA-Z])[.)\]]\s|\[[\dxX ]*\]\s|\p{L}+ \d+:\s)")
 _QUOTE = regex.compile(r"^(?:\s*>)+ ?", regex.M)
 _ENDED = regex.compile(r"[.!?…][\p{Pe}\p{Pf}\"'’]*\s*$")
+_CLOSERS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Pe", "Pf")) + "\"'’"
+_ENDS = tuple(".!?…")
 _SENTENCE_END = regex.compile(r"[.!?…]+[\p{Pe}\p{Pf}\"']*(?=\s|$)")
 _VOWELS = regex.compile(r"[aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüýÿ]", regex.I)
 _FRAME = regex.compile(r"[=(){}\[\]|<>\"\t$@/\\_;─-╿]")
@@ -141,7 +144,7 @@ def statistics(block: str, common: frozenset[str]) -> list[float]:
         symbols / m,
         digits / m,
         sum(_MARKER.match(x) is not None for x in lines) / n_lines,
-        sum(_ENDED.search(x.rstrip()[-40:]) is not None for x in lines) / n_lines,
+        sum(x.rstrip().rstrip(_CLOSERS).endswith(_ENDS) for x in lines) / n_lines,
         math.log1p(words / n_lines),
         math.log1p(words / max(1, ends)),
         _freshness(tokens),
@@ -165,22 +168,26 @@ class Mixture:
         self.stacked = self.factors.reshape(-1, means.shape[1]).T.copy()
         self.shifts = np.einsum("kij,kj->ki", self.factors, means).ravel()
 
-    def shares(self, z: np.ndarray) -> np.ndarray:
-        """Of each row, the probability that it comes from each component."""
+    def weighed(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row, the probability that it comes from each component, and the logarithm of its density (less a constant)."""
         k, d = self.means.shape
         white = z @ self.stacked
         white -= self.shifts
         white *= white
         logs = self.constants - 0.5 * white.reshape(-1, k, d).sum(axis=2)
-        logs -= logs.max(axis=1, keepdims=True)
-        p = np.exp(logs)
-        return p / p.sum(axis=1, keepdims=True)
+        top = logs.max(axis=1, keepdims=True)
+        p = np.exp(logs - top)
+        whole = p.sum(axis=1, keepdims=True)
+        return p / whole, (top + np.log(whole)).ravel()
+
+    def shares(self, z: np.ndarray) -> np.ndarray:
+        return self.weighed(z)[0]
 
-    def sums(self, z: np.ndarray) -> np.ndarray:
-        """Per component the count, the sum and the sum of outer products of its part of the rows, in one vector each."""
-        p = self.shares(z)
+    def sums(self, z: np.ndarray) -> tuple[np.ndarray, float]:
+        """Per component the count, the sum and the sum of outer products of its part of the rows, in one vector each; the rows' log-likelihood."""
+        p, density = self.weighed(z)
         products = (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
-        return np.concatenate([p.sum(axis=0)[:, None], p.T @ z, p.T @ products], axis=1)
+        return np.concatenate([p.sum(axis=0)[:, None], p.T @ z, p.T @ products], axis=1), float(density.sum())
 
     @staticmethod
     def of(sums: np.ndarray, d: int, floor: float, prior: "Mixture") -> "Mixture":
@@ -262,8 +269,11 @@ def block_statistics(docs: DataFrame, common: frozenset[str], id_column: str = "
     return spread(full.select(id_column, F.col(text_column).cast("string").alias("_text"))).mapInArrow(run, schema)
 
 
-def fit(stats: DataFrame, common: frozenset[str], rounds: int = 12, floor: float = 0.02) -> tuple[np.ndarray, np.ndarray, Mixture, list[str]] | None:
-    """Means and widths of the statistics, the mixture fitted to all blocks, and the class of each component. None without blocks."""
+def fit(stats: DataFrame, common: frozenset[str], rounds: int = 60, gain: float = 1e-2, floor: float = 0.02) -> tuple[np.ndarray, np.ndarray, Mixture, list[str]] | None:
+    """Means and widths of the statistics, the mixture fitted to all blocks, and the class of each component. None without blocks.
+
+    Rounds end when one gains less than `gain` of mean log-likelihood per block, at the latest after `rounds`.
+    """
     width = len(STATISTICS)
     moments = _total(stats, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
     if moments is None or not moments[0]:
@@ -272,9 +282,13 @@ def fit(stats: DataFrame, common: frozenset[str], rounds: int = 12, floor: float
     wide = np.sqrt(np.maximum(moments[width + 1 :] / moments[0] - mean**2, 4e-4))
     examples = (np.array([statistics(text, common) for _, _, text in EXAMPLES]) - mean) / wide
     mixture = start(examples, [family for _, family, _ in EXAMPLES])
+    before = -math.inf
     for _ in range(rounds):
-        sums = _total(stats, lambda x, m=mixture: m.sums((x - mean) / wide).ravel())
-        mixture = Mixture.of(sums.reshape(len(mixture.weights), -1), width, floor, mixture)
+        *sums, likelihood = _total(stats, lambda x, m=mixture: np.append(*m.sums((x - mean) / wide)))
+        mixture = Mixture.of(np.reshape(sums, (len(mixture.weights), -1)), width, floor, mixture)
+        if likelihood - before < gain * moments[0]:
+            break
+        before = likelihood
     return mean, wide, mixture, classes_of(mixture, examples, [c for c, _, _ in EXAMPLES])
 
 

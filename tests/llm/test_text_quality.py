@@ -65,7 +65,7 @@ def test_expectation_maximization_finds_two_heaps():
     z = np.concatenate([rng.normal(-3, 1, (500, 2)), rng.normal(3, 0.5, (1500, 2))])
     m = start(np.array([[-1.0, -1], [1.0, 1]]), ["a", "b"])
     for _ in range(20):
-        m = Mixture.of(m.sums(z), 2, 1e-3, m)
+        m = Mixture.of(m.sums(z)[0], 2, 1e-3, m)
     assert np.allclose(sorted(m.weights), [0.25, 0.75], atol=0.02) and np.allclose(m.means[np.argmax(m.weights)], 3, atol=0.1)
     assert np.allclose(m.shares(z).sum(axis=1), 1)
 
@@ -73,5 +73,25 @@ def test_expectation_maximization_finds_two_heaps():
 def test_total_counts_every_block_once(spark):
     from auditloom.llm.text_quality import _total
 
-    rows = spark.createDataFrame([([0.0] * len(STATISTICS) * 5000,)], "stats array<double>")
-    assert _total(rows, lambda z: np.array([float(len(z))])).tolist() == [5000.0]
+    for n in (1, 1024, 1025, 5000):
+        rows = spark.createDataFrame([([0.0] * len(STATISTICS) * n,)], "stats array<double>")
+        assert _total(rows, lambda z: np.array([float(len(z))])).tolist() == [float(n)]
+
+
+def test_partitions_and_batches_change_nothing(spark, frames):
+    from auditloom.llm.text_quality import block_statistics, fit
+
+    common = frozenset(WORDS)
+    rows = block_statistics(frames[0], common).collect()
+    # Every layout holds the same blocks, so the sums differ by rounding only.
+    fits = []
+    for parts, batch in ((1, 10_000), (4, 500), (8, 10_000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            stats = spark.createDataFrame(rows * 8, "doc_id long, sizes array<long>, stats array<double>").repartition(parts)
+            fits.append(fit(stats, common))
+            assert sorted(r.doc_id for r in not_prose(frames[0].repartition(parts), frames[1]).collect()) == sorted(r.doc_id for r in not_prose(*frames).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for other in fits[1:]:
+        assert np.allclose(other[2].means, fits[0][2].means, atol=1e-6) and other[3] == fits[0][3]
