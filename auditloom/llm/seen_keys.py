@@ -4,7 +4,8 @@ Keys travel as 128-bit digests. Rows are first reduced within each input batch:
 others repeat it for sure, which takes a key with a third of all rows apart. Asked rows are hash-partitioned by shard, come in
 order, and each chunk is queried, then inserted. A filter chain grows by levels, each with its own share of the target rate of
 false positives, so nothing has to be counted beforehand and memory stays at some 30 bits per distinct key of one shard.
-Marks that no earlier key explains are then taken back exactly, and known absent keys measure the filters' error.
+The filters decide which keys are in question: only those that they marked are checked, by their digests, and marks that no earlier
+key explains are taken back. Known absent keys measure the filters' error.
 """
 
 import math
@@ -227,33 +228,39 @@ def marks(
     return stage_table(placed.mapInArrow(_filter(rate, keep_state), _MARK), "marks")
 
 
-def wrong_marks(marked: DataFrame) -> DataFrame:
+def wrong_marks(marked: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """source and record_id of the rows that a filter marked although no earlier key is equal.
 
-    Only rows marked by filter bits are in question, and of each key only the earliest; it is right if the key is among the
-    seeds or has a row that was new. Filter state from earlier calls explains marks too, so this holds for calls without it.
+    Only keys with a row that filter bits marked are in question, and of each only the earliest such row: one digest per key. It is
+    right if the key is among the seeds or has a row that was new, which is one row per key too, here or in `earlier`: the marks of all
+    the calls whose state was carried in. All other rows, and every text, stay out of it.
     """
-    asked = marked.where(F.col("verdict").isin(NEW, MARKED, KNOWN))
-    first = F.min(F.when(F.col("verdict") == MARKED, F.struct("at", "record_id", "source")))
-    keys = asked.groupBy("h1", "h2").agg(F.max(F.col("verdict").isin(NEW, KNOWN)).alias("explained"), first.alias("first"))
-    return keys.where(~F.col("explained")).select("first.source", "first.record_id")
+    first = F.min(F.struct("at", "record_id", "source"))
+    keys = marked.where(F.col("verdict") == MARKED).groupBy("h1", "h2").agg(first.alias("first"))
+    held = marked if earlier is None else marked.unionByName(earlier)
+    explained = held.where(F.col("verdict").isin(NEW, KNOWN)).select("h1", "h2")
+    return keys.join(explained, ["h1", "h2"], "left_anti").select("first.source", "first.record_id")
 
 
-def seen_records(records: DataFrame, seeds: DataFrame, sources: list[str], rate: float = 1e-3, shards: int | None = None) -> DataFrame:
+def _seen(marked: DataFrame, sources: list[str], earlier: DataFrame | None) -> DataFrame:
+    seen = marked.where(F.col("verdict").isin(MARKED, SURE)).select("source", "record_id")
+    right = seen.join(wrong_marks(marked, earlier), ["source", "record_id"], "left_anti")
+    return right.select(F.element_at(F.array(*(F.lit(s) for s in sources)), F.col("source") + 1).alias("table_name"), "record_id")
+
+
+def seen_records(records: DataFrame, seeds: DataFrame, sources: list[str], rate: float = 1e-3, shards: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """table_name and record_id of every record whose key is among the seeds or in an earlier record of its table.
 
     Earlier is by (at, record_id). Marks of the filters, less the wrong ones. Repeated rows of one record_id repeat each other.
+    earlier: marks() of an earlier call with keep_state and the same rate and shards; its keys count as seen.
     """
-    marked = marks(records, seeds, sources, rate, shards)
-    seen = marked.where(F.col("verdict").isin(MARKED, SURE)).select("source", "record_id")
-    right = seen.join(wrong_marks(marked), ["source", "record_id"], "left_anti")
-    return right.select(F.element_at(F.array(*(F.lit(s) for s in sources)), F.col("source") + 1).alias("table_name"), "record_id")
+    return _seen(marks(records, seeds, sources, rate, shards, earlier), sources, earlier)
 
 
-def error_rates(records: DataFrame, seeds: DataFrame, sources: list[str], rate: float = 1e-3, shards: int | None = None) -> DataFrame:
-    """Per table: records with a key, marks, wrong marks and their share of the new keys, and the share of absent keys marked."""
-    marked = marks(records, seeds, sources, rate, shards, probes=True)
-    wrong = wrong_marks(marked).groupBy("source").agg(F.count(F.lit(1)).alias("n_wrong"))
+def error_rates(records: DataFrame, seeds: DataFrame, sources: list[str], rate: float = 1e-3, shards: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """Per table: records with a key, marks, wrong marks and their share of the new keys, and the share of absent keys marked. earlier: as for seen_records."""
+    marked = marks(records, seeds, sources, rate, shards, earlier, probes=True)
+    wrong = wrong_marks(marked, earlier).groupBy("source").agg(F.count(F.lit(1)).alias("n_wrong"))
     count = lambda *v: F.count(F.when(F.col("verdict").isin(*v), 1))
     rows = marked.groupBy("source").agg(
         count(NEW, MARKED, SURE).alias("n_records"), count(MARKED, SURE).alias("n_marked"), count(NEW).alias("n_new"), count(PROBE_HIT, PROBE_MISS).alias("n_absent"), count(PROBE_HIT).alias("n_absent_marked")

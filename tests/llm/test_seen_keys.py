@@ -73,6 +73,22 @@ def test_state_carries_over(spark):
     assert set(range(10_000, 11_000)) <= marked and len(marked) < 1020
 
 
+def test_found_is_exact_with_carried_state(spark):
+    """Two deliveries, the second with the filters of the first, at a rate at which many marks are wrong."""
+    at = dt(2024, 1, 1)
+    first = [("s", i, at, f"k{i}") for i in range(3000)]
+    second = [("s", 10_000 + i, at, f"k{2500 + i // 2}") for i in range(3000)] + [("t", 1, at, "k1"), ("t", 2, at, "k1")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        kept = sk.marks(records(spark, first), seeds(spark, [("s", "k2999")]), SOURCES, rate=0.3, shards=2, keep_state=True)
+        got = sk.seen_records(records(spark, second), seeds(spark, []), SOURCES, rate=0.3, shards=2, earlier=kept).collect()
+        rates = {r.table_name: r for r in sk.error_rates(records(spark, second), seeds(spark, []), SOURCES, rate=0.3, shards=2, earlier=kept).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [r for r in brute(first + second, []) if r[1] >= 10_000 or r[0] == "t"]
+    assert rates["s"].n_wrong > 0 and rates["s"].absent_rate <= 0.35
+
+
 @pytest.mark.parametrize("rate", [0.1, 1e-2, 1e-3])
 def test_filter_keeps_its_rate(rate):
     rng = np.random.default_rng(1)
