@@ -83,6 +83,20 @@ class Draw(NamedTuple):
     routed: dict[str, int]
 
 
+def repetitions(cap: int) -> list[tuple[int, int]]:
+    """(cost, times): what the repetitions up to the cap cost, each of the first 16 more than the one before, then groups that double.
+
+    >>> repetitions(3), sum(times for _, times in repetitions(1000)), len(repetitions(10**9)) < 70
+    ([(0, 1), (1, 1), (2, 1)], 1000, True)
+    """
+    out, at = [], 0
+    while at < cap:
+        times = min(cap - at, max(1, at // 16 * 8))
+        out.append((at, times))
+        at += times
+    return out
+
+
 def _route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, Target], quotas: dict[str, int]) -> tuple[int, list[Draw]]:
     names = list(quotas)
     flow = Flow(2 + len(patterns) + len(names))
@@ -90,8 +104,8 @@ def _route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, Targe
     arcs = []
     for i, (members, tokens) in enumerate(patterns):
         cap = min(targets[s].repeats for s in members)
-        for again in range(cap):
-            flow.add(0, 2 + i, tokens, again)
+        for again, times in repetitions(cap):
+            flow.add(0, 2 + i, tokens * times, again)
         arcs.append((cap, {s: flow.add(2 + i, first + names.index(s), tokens * cap) for s in members if s in quotas}))
     for j, s in enumerate(names):
         flow.add(first + j, 1, quotas[s])
@@ -193,10 +207,12 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | Non
     return _selected(texts, wanted, seed, total)[0]
 
 
-def _patterns(texts: DataFrame) -> list[tuple[tuple[str, ...], int]]:
-    """Tokens by membership pattern: fewer rows than 2 to the number of target sources."""
-    rows = texts.groupBy("members").agg(F.sum("n_tokens").alias("n")).orderBy("members").collect()
-    return [(tuple(r.members), r.n) for r in rows]
+def _patterns(texts: DataFrame, most: int = 65_536) -> list[tuple[tuple[str, ...], int]]:
+    """Tokens by membership pattern. They go to the driver, so more than `most` of them are an error: fewer than 2 to the number of target sources."""
+    rows = texts.groupBy("members").agg(F.sum("n_tokens").alias("n")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} combinations of sources: mix fewer sources at once")
+    return sorted((tuple(r.members), r.n) for r in rows)
 
 
 def _selected(texts: DataFrame, wanted: list[Target], seed: int, total: int | None) -> tuple[DataFrame, dict[str, int]]:
@@ -213,20 +229,30 @@ def _selected(texts: DataFrame, wanted: list[Target], seed: int, total: int | No
     plan = spark.createDataFrame(rows, "able array<string>, tokens long, cap int, ends array<struct<until:bigint,mix_source:string>>")
     able = F.filter("members", lambda s: s.isin(list(quotas)) if quotas else F.lit(False))
     spread = _placed(texts.withColumn("members", able).where(F.size("members") > 0), seed).join(plan, F.col("members") == F.col("able"))
-    copies = spread.select("doc_id", "n_tokens", "start", "tokens", "ends", F.explode(F.sequence(F.lit(0), F.col("cap") - 1)).alias("copy"))
+    # A copy is drawn if its middle lies before the end of what is routed, so only as many copies are made as are drawn.
+    end = F.element_at("ends", -1)["until"]
+    n = F.least(F.col("cap"), F.ceil((end - F.col("start") - F.col("n_tokens") / 2) / F.col("tokens")))
+    copies = spread.withColumn("n", n).where("n > 0").select("doc_id", "n_tokens", "start", "tokens", "ends", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
     middle = F.col("copy") * F.col("tokens") + F.col("start") + F.col("n_tokens") / 2
-    drawn = copies.withColumn("to", F.filter("ends", lambda e: middle < e["until"])).where(F.size("to") > 0)
+    drawn = copies.withColumn("to", F.filter("ends", lambda e: middle < e["until"]))
     return drawn.select("doc_id", F.col("to")[0]["mix_source"].alias("mix_source"), (F.col("copy") + 1).cast("int").alias("copy_no"), "n_tokens"), quotas
 
 
 def mix_shares(docs: DataFrame, targets: DataFrame, seed: int = 7, total: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per target source: weight, cap, texts and tokens there, quota, tokens drawn, the share that they are of the mix, and the most copies of one text."""
+    """Per target source: weight, cap, texts and tokens there, quota, tokens drawn, the share that they are of the mix, and the most copies of one text.
+
+    effective_share is the share that the quotas aim at: targets without documents, weight or cap give theirs up to the others.
+    """
     wanted = read_targets(targets)
     texts = distinct_texts(docs, wanted, vocabulary)
     chosen, quotas = _selected(texts, wanted, seed, total)
     there = texts.select(F.explode("members").alias("source"), "n_tokens").groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n_tokens").alias("tokens_there"))
     drawn = chosen.groupBy(F.col("mix_source").alias("source")).agg(F.count(F.lit(1)).alias("n_drawn"), F.sum("n_tokens").alias("tokens_drawn"), F.max("copy_no").alias("most_copies"))
-    named = docs.sparkSession.createDataFrame([(t.source, t.weight, t.repeats, quotas.get(t.source, 0)) for t in wanted], "source string, target_weight double, max_repeats int, quota long")
+    whole = sum(t.weight for t in wanted if t.source in quotas)
+    named = docs.sparkSession.createDataFrame(
+        [(t.source, t.weight, t.repeats, t.weight / whole if t.source in quotas else 0.0, quotas.get(t.source, 0)) for t in wanted],
+        "source string, target_weight double, max_repeats int, effective_share double, quota long",
+    )
     counts = ["n_texts", "tokens_there", "n_drawn", "tokens_drawn", "most_copies"]
     both = named.join(there, "source", "left").join(drawn, "source", "left").fillna(0, counts)
     # A window over one row per target.

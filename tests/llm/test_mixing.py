@@ -2,7 +2,7 @@ import itertools
 
 import pytest
 
-from auditloom.llm.mixing import Flow, Target, _placed, distinct_texts, mix_shares, mixture, plan_mix, read_targets
+from auditloom.llm.mixing import Flow, Target, _patterns, _placed, distinct_texts, mix_shares, mixture, plan_mix, read_targets, repetitions
 
 DOCS = "doc_id long, text string, source string, members string, tokens long"
 TARGETS = "source string, target_weight double, max_repeats int, extra string"
@@ -49,6 +49,7 @@ def test_caps_and_defined_cases(spark):
     assert all(n <= (1 if i < 100 else 3) for i, n in per.items()) and not {200, 201, 202, 203, 204} & set(per)
     assert got == mixture(d, t).collect()
     shares = {r.source: r for r in mix_shares(d, t).collect()}
+    assert shares["ghost"].effective_share == 0 and abs(shares["b"].effective_share - 4 / 9) < 1e-9
     assert shares["ghost"].tokens_drawn == 0 and abs(shares["a"].actual_share - 5 / 9) < 0.15 and abs(sum(s.actual_share for s in shares.values()) - 1) < 1e-9
 
 
@@ -67,3 +68,25 @@ def test_places_are_prefix_sums(spark):
         for r in sorted((r for r in rows if r.members == members), key=lambda r: (r.order_ & (2**64 - 1), r.h1, r.h2)):
             assert r.start == at
             at += r.n_tokens
+
+
+def test_large_caps_need_few_arcs_and_rows(spark):
+    assert repetitions(16) == [(i, 1) for i in range(16)]
+    costs = [c for c, _ in repetitions(10**6)]
+    assert costs == sorted(costs) and sum(n for _, n in repetitions(10**6)) == 10**6
+    d, t = frames(spark, [(i, f"text number {i} of a", "a") for i in range(400)] + [(1000, "one of b", "b")], [("a", 0.5, 1), ("b", 0.5, 10**9)])
+    shares = {r.source: r for r in mix_shares(d, t).collect()}
+    assert shares["a"].n_drawn == 400 and abs(shares["b"].actual_share - 0.5) < 0.01 and shares["b"].most_copies == shares["b"].n_drawn > 400
+
+
+def test_shares_meet_caps_and_quotas(spark, sf):
+    docs, targets = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "mix_targets"))
+    longest = max(r.n_tokens for r in mixture(docs, targets).collect())
+    for r in mix_shares(docs, targets).collect():
+        assert r.most_copies <= r.max_repeats and abs(r.tokens_drawn - r.quota) <= 8 * longest
+
+
+def test_too_many_patterns_are_refused(spark):
+    d, t = frames(spark, [(1, "x", "a"), (2, "y", "b")], [("a", 0.5, 1), ("b", 0.5, 1)])
+    with pytest.raises(ValueError, match="combinations"):
+        _patterns(distinct_texts(d, read_targets(t)), most=1)
