@@ -5,7 +5,6 @@ token-position rows; a recursive query joins neighbouring tokens with the merge
 pair of minimum rank until no pair merges. An ordered aggregation gives the ids of each word back.
 """
 
-import heapq
 import json
 from collections.abc import Iterator
 from itertools import chain
@@ -67,17 +66,44 @@ settled AS (SELECT w, max(n) AS n FROM step GROUP BY w)
 SELECT w, list(tok ORDER BY p) AS ids FROM step JOIN settled USING (w, n) GROUP BY w
 """
 
+#: The same contraction for one long word, at most $steps steps of it. Where every pair with the token that a merge makes ranks behind that merge (`apart`), the
+#: places to the right would be the next in any case, so a step takes all places of the pair of minimum rank from the left; of places that overlap
+#: (one letter again and again) every other one. Else it takes the leftmost. The last step's rows come out, in order, and how many steps there were.
+_CONTRACT_LONG = """
+WITH RECURSIVE step(n, p, tok) AS (
+  SELECT 0, p, tok FROM symbols
+  UNION ALL
+  SELECT n + 1, p, CASE WHEN takes THEN merged ELSE tok END
+  FROM (
+    SELECT *, lag(takes, 1, false) OVER (ORDER BY p) AS taken
+    FROM (
+      SELECT *, hit AND CASE WHEN apart THEN row_number() OVER (PARTITION BY gap, hit ORDER BY p) % 2 = 1 ELSE p = min(CASE WHEN hit THEN p END) OVER () END AS takes
+      FROM (
+        SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS gap
+        FROM (
+          SELECT *, rank IS NOT NULL AND rank = min(rank) OVER () AS hit, count(rank) OVER () AS open
+          FROM (SELECT n, p, tok, lead(tok) OVER (ORDER BY p) AS after FROM step WHERE n < $steps) AS neighbours
+          LEFT JOIN merges ON merges.l = neighbours.tok AND merges.r = neighbours.after))))
+  WHERE open > 0 AND NOT taken)
+SELECT p, tok, n FROM step WHERE n = (SELECT max(n) FROM step) ORDER BY p
+"""
+
 
 class WordEncoder:
-    """Words to ids. Keeps what it has met up to `remember` words; its queries take at most `symbols` token rows at once."""
+    """Words to ids. Keeps what it has met up to `remember` words; its queries keep about `symbols` token rows at once, and one word's at least.
+
+    Words of up to `longest` bytes are contracted many in a query; a longer one has its own, whose steps are as many as the different merges it needs.
+    """
 
     def __init__(self, merges: Merges, remember: int = 300_000, symbols: int = 60_000, longest: int = 256, memory: str = "400MB"):
         self.byte_ids, self.remember, self.symbols, self.longest = merges.byte_ids, remember, symbols, longest
         self.known: dict[str, tuple[int, ...]] = {}
-        self.merges = merges
-        self.ranks: dict[tuple[int, int], int] | None = None
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
-        table = pa.table({"l": merges.left, "r": merges.right, "rank": np.arange(len(merges.left), dtype=np.int32), "merged": merges.merged})
+        rank = np.arange(len(merges.left), dtype=np.int32)
+        earliest = np.full(max(map(int, (merges.left.max(), merges.right.max(), merges.merged.max()))) + 1, len(rank), np.int32)
+        np.minimum.at(earliest, merges.left, rank)
+        np.minimum.at(earliest, merges.right, rank)
+        table = pa.table({"l": merges.left, "r": merges.right, "rank": rank, "merged": merges.merged, "apart": earliest[merges.merged] > rank})
         self.db.register("given", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.db.unregister("given")
@@ -96,27 +122,17 @@ class WordEncoder:
         for w, ids in zip(out.column("w").to_pylist(), out.column("ids").to_pylist()):
             self.known[words[w][0]] = tuple(ids)
 
-    def _long(self, text: bytes) -> tuple[int, ...]:
-        """The same contraction with a heap and linked positions, for single words whose state a query would repeat too often."""
-        if self.ranks is None:
-            self.ranks = {(a, b): i for i, (a, b) in enumerate(zip(self.merges.left.tolist(), self.merges.right.tolist()))}
-        tok = self.byte_ids[np.frombuffer(text, np.uint8)].tolist()
-        n = len(tok)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, tok[i], tok[i + 1]) for i in range(n - 1) if (r := self.ranks.get((tok[i], tok[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if tok[i] != a or j >= n or tok[j] != b:
-                continue
-            tok[i], tok[j], after[i] = int(self.merges.merged[r]), -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (k := self.ranks.get((tok[x], tok[y]))) is not None:
-                    heapq.heappush(heap, (k, x, tok[x], tok[y]))
-        return tuple(t for t in tok if t >= 0)
+    def _contract_long(self, text: bytes) -> tuple[int, ...]:
+        """One long word by the query, some steps at a time, so that what it keeps of all steps stays bounded."""
+        tok = self.byte_ids[np.frombuffer(text, np.uint8)]
+        while True:
+            steps = max(1, self.symbols // len(tok))
+            self.db.register("symbols", pa.table({"p": np.arange(len(tok), dtype=np.int32), "tok": tok}))
+            out = self.db.sql(_CONTRACT_LONG, params={"steps": steps}).to_arrow_table()
+            self.db.unregister("symbols")
+            tok = out.column("tok").to_numpy()
+            if out.column("n")[0].as_py() < steps:
+                return tuple(tok.tolist())
 
     def learn(self, words: set[str]) -> None:
         """Make the ids of all these words known."""
@@ -124,7 +140,7 @@ class WordEncoder:
         chunk: list[tuple[str, bytes]] = []
         for w, b in new:
             if len(b) > self.longest:
-                self.known[w] = self._long(b)
+                self.known[w] = self._contract_long(b)
                 continue
             # Words of one length take about as many steps, each of which keeps all their rows.
             if chunk and (len(chunk) + 1) * len(b) * max(1, len(b) // 8) > self.symbols:

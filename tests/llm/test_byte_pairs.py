@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from auditloom.llm.byte_pairs import VOCABULARY, WordEncoder, encode_corpus, load_merges
+from auditloom.llm.byte_pairs import VOCABULARY, Merges, WordEncoder, encode_corpus, load_merges
 
 
 @pytest.fixture(scope="module")
@@ -30,12 +31,33 @@ def test_long_and_odd(public, encoder, text):
     assert encoder.encode([text]) == [public(text)]
 
 
-def test_long_words_by_query_and_by_heap_agree(encoder):
+def test_long_words_and_many_words_agree(encoder, public):
     rng = random.Random(1)
-    by_query = WordEncoder(load_merges(), longest=10_000, symbols=10**9)
-    for n in (300, 700):
+    together = WordEncoder(load_merges(), longest=10_000, symbols=10**9)
+    stepwise = WordEncoder(load_merges(), longest=1, symbols=700)
+    for n in (1, 2, 40, 300, 700):
         word = "".join(rng.choice("abcdefgh") for _ in range(n))
-        assert by_query.encode([word])[0] == list(encoder._long(word.encode()))
+        assert together.encode([word]) == stepwise.encode([word]) == [public(word)]
+
+
+@pytest.mark.parametrize("text", ["=" * 200_001, "\u6771\u4eac\u90fd" * 7000, " " * 100_000 + "x", "aaab" * 9000])
+def test_very_long_words(encoder, public, text):
+    assert encoder.encode([text]) == [public(text)]
+
+
+def test_a_merge_that_makes_an_earlier_pair_possible():
+    """abc comes of (a, bc) first, of (ab, c) later; (abc, ab) ranks between: only the leftmost (ab, c) may be taken at once."""
+    a, b, c, bc, ab, abc, abcab = 97, 98, 99, 300, 301, 302, 303
+    rows = [(a, b, ab), (b, c, bc), (a, bc, abc), (abc, ab, abcab), (ab, c, abc)]
+    merges = Merges(np.arange(256, dtype=np.int32), *(np.array(x, np.int32) for x in zip(*rows)))
+    for longest in (1, 100):
+        assert WordEncoder(merges, longest=longest).encode(["abcabcabc"]) == [[abcab, c, abc]]
+
+
+def test_long_mixed_letters(encoder, public):
+    rng = random.Random(2)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(20_000))
+    assert encoder.encode([word]) == [public(word)]
 
 
 def test_forgetting_changes_nothing(public):
