@@ -46,6 +46,7 @@ class Line:
     overgrown: bool = False  # not expanded in full, see GROWTH_CHARS
     pipe_from: str | None = None
     pipe_to: str | None = None
+    marks: list[str] = field(default_factory=list)  # see commands.py
 
 
 def diff_lines(text: str) -> list[Line]:
@@ -416,7 +417,7 @@ def simple_commands(text: str) -> list[tuple[list[str], list[tuple[str, str]], s
     return out
 
 
-def _bare(words: list[str]) -> list[str]:
+def bare_words(words: list[str]) -> list[str]:
     """Without assignments and prefixes in front."""
     i = 0
     while i < len(words) and (words[i] in PREFIXES or re.match(r"^[A-Za-z_]\w*=", words[i])):
@@ -438,6 +439,22 @@ def normal_path(path: str) -> str:
     return re.sub(r"^(?:\./)+", "", collapse(re.sub(r"/{2,}", "/", path.strip())))
 
 
+def outputs(own: list[str], redirects: list[tuple[str, str]]) -> list[str]:
+    """Where a fetching command puts what it fetches."""
+    name = own[0].rsplit("/", 1)[-1]
+    target = next((w[2:] for w in own[1:] if re.match(r"^-[oO]\S", w) and name != "curl" or re.match(r"^-o\S", w)), None) or _option(own, "-o", "--output", "--output-document", "-O")
+    target = target or next((own[i + 1] for i, w in enumerate(own[:-1]) if re.match(r"^-[a-zA-Z]*[oO]$", w)), None)
+    written = [p for sign, p in redirects if sign.startswith(">") and not p.startswith(("/dev/", "&"))]
+    urls = [w for w in own[1:] if not w.startswith("-") and "://" in w]
+    if target and "://" not in target and target != "-":
+        return [target]
+    if written:
+        return written
+    if urls and (name != "curl" or any(re.match(r"^-\w*O$|^--remote-name$", w) for w in own)):
+        return [re.sub(r"[?#].*$", "", urls[0]).rsplit("/", 1)[-1]]
+    return []
+
+
 def actions(text: str) -> list[tuple[str, str]]:
     """What a line does to files, in order: (generate | copy | fetch | execute, path).
 
@@ -446,20 +463,12 @@ def actions(text: str) -> list[tuple[str, str]]:
     """
     out: list[tuple[str, str]] = []
     for words, redirects, _ in simple_commands(text):
-        own = _bare(words)
+        own = bare_words(words)
         files = [w for w in own[1:] if not w.startswith("-")]
         name = own[0].rsplit("/", 1)[-1] if own else ""
         written = [p for sign, p in redirects if sign.startswith(">") and not p.startswith(("/dev/", "&"))]
         if name in FETCHERS:
-            target = next((w[2:] for w in own[1:] if re.match(r"^-[oO]\S", w) and name != "curl" or re.match(r"^-o\S", w)), None) or _option(own, "-o", "--output", "--output-document", "-O")
-            target = target or next((own[i + 1] for i, w in enumerate(own[:-1]) if re.match(r"^-[a-zA-Z]*[oO]$", w)), None)
-            urls = [w for w in files if "://" in w]
-            if target and "://" not in target and target != "-":
-                out.append(("fetch", target))
-            elif written:
-                out += [("fetch", p) for p in written]
-            elif urls and (name != "curl" or any(re.match(r"^-\w*O$|^--remote-name$", w) for w in own)):
-                out.append(("fetch", re.sub(r"[?#].*$", "", urls[0]).rsplit("/", 1)[-1]))
+            out += [("fetch", p) for p in outputs(own, redirects)]
             continue
         if name == "git" and "clone" in own and files:
             rest = files[files.index("clone") + 1 :]
@@ -509,7 +518,7 @@ def pipeline_ends(text: str) -> tuple[str, str] | None:
     """
     chain: list[str] = []
     for words, _, before in simple_commands(text):
-        own = _bare(words)
+        own = bare_words(words)
         name = own[0].rsplit("/", 1)[-1] if own else ""
         chain = [*chain, name] if before == "|" else [name]
     return (chain[0], chain[-1]) if len(chain) > 1 else None

@@ -5,7 +5,6 @@ to their first line per name before the join, so an execution meets at most one
 """
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions import payload, recipe
-from auditloom.sources.work import spread
+from auditloom.operators import diffs
+from auditloom.sources.work import rows_of_texts, stage_table
 
 #: Programs of a project's own build that a recipe may write and run.
 BENIGN = ("configure", "configure.sh", "autogen.sh", "bootstrap", "build.ninja", "Makefile", "setup.py", "gradlew", "mvnw")
@@ -28,13 +28,13 @@ def source_name(entry: str) -> str:
     return name if renamed else re.sub(r"[?#].*$", "", entry.rstrip("/")).rsplit("/", 1)[-1]
 
 
-def actions_of(text: str) -> list[tuple[int, str | None, str, str, str]]:
-    """(idx, function, kind, path, base) of a diff: its declared sources, then what its added lines do within functions that are run.
+def actions_of(read: diffs._READ) -> list[tuple[int, str | None, str, str, str]]:
+    """(idx, function, kind, path, base) of a diff, as read: its declared sources, then what its added lines do within functions that are run.
 
     function is the enclosing one if a package manager runs it, else the first of its callers that is. Here-document texts do nothing.
     The kind payload is an executable that any added lines encode, wherever they are; its path is the encoding and the kind.
     """
-    lines, scalars, arrays = recipe.read(text)
+    lines, scalars, arrays = read
     out = [(-1, None, "declared", s, source_name(s)) for s in [*arrays.get("source", []), *([scalars["source"]] if scalars.get("source") else [])]]
     quoted = recipe.heredoc_bodies(lines)
     run = {*recipe.BUILD_FUNCTIONS, *recipe.HOOKS}
@@ -70,18 +70,30 @@ def actions_of(text: str) -> list[tuple[int, str | None, str, str, str]]:
     return out
 
 
-def diff_actions(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+_ARROW = {n: k for n, _, k in _KINDS}
+
+
+def diff_actions(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """One row per action, see actions_of. NULL and empty diffs have none."""
+    schema = T.StructType([docs.schema[id_column], *(T.StructField(n, k) for n, k, _ in _KINDS)])
+    return diffs.given(docs, id_column, text_column).mapInArrow(rows_of_texts(_ARROW, lambda text: actions_of(recipe.read(text)), id_column), schema)
+
+
+def diff_parts(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """diff_lines, diff_facts and diff_actions of one reading of every diff, written once into the shared folder."""
+    line, action = ([T.StructField(n, k) for n, k, _ in own] for own in (diffs._LINE, _KINDS))
+    kinds = {"kind": pa.string(), "line": pa.struct([(n, k) for n, _, k in diffs._LINE]), "fact": pa.struct(list(diffs.FACT_KINDS.items())), "action": pa.struct(list(_ARROW.items()))}
+    schema = T.StructType([docs.schema[id_column], T.StructField("kind", T.StringType()), T.StructField("line", T.StructType(line)), T.StructField("fact", diffs._FACTS), T.StructField("action", T.StructType(action))])
+    names = [n for n, _, _ in diffs._LINE]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if rows := actions_of(text):
-                    ids = batch.column(0).take(pa.array([i] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, (_, _, k) in zip(zip(*rows), _KINDS))], names=[id_column, *(n for n, _, _ in _KINDS)])
+    def rows(text: str) -> list[tuple]:
+        read = recipe.read(text)
+        out: list[tuple] = [("fact", None, diffs.facts_of(read), None)]
+        out += [("action", None, None, dict(zip(_ARROW, a))) for a in actions_of(read)]
+        return out + [("line", dict(zip(names, x)), None, None) for x in diffs.lines_of(read)]
 
-    schema = T.StructType([diffs.schema[id_column], *(T.StructField(n, k) for n, k, _ in _KINDS)])
-    return spread(diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t"))).mapInArrow(run, schema)
+    parts = stage_table(diffs.given(docs, id_column, text_column).mapInArrow(rows_of_texts(kinds, rows, id_column), schema), "parts", ["kind"])
+    return tuple(parts.where(F.col("kind") == k).select(id_column, f"{k}.*") for k in ("line", "fact", "action"))
 
 
 def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = None) -> DataFrame:

@@ -1,20 +1,19 @@
-"""Diffs to rows: lines with scope and resolved text, and one row of facts per diff. One Arrow pass each, no shuffle."""
+"""Diffs to rows: lines with scope and resolved text, and one row of facts per diff. One Arrow pass, no shuffle."""
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.functions import recipe
-from auditloom.sources.work import spread
+from auditloom.functions import commands, recipe
+from auditloom.sources.work import rows_of_texts, spread
 
 _LINE = [
     ("idx", T.IntegerType(), pa.int32()), ("side", T.StringType(), pa.string()), ("body", T.StringType(), pa.string()), ("file", T.StringType(), pa.string()), ("lineno", T.IntegerType(), pa.int32()),
     ("function", T.StringType(), pa.string()), ("callers", T.ArrayType(T.StringType()), pa.list_(pa.string())), ("context", T.StringType(), pa.string()), ("resolved", T.StringType(), pa.string()), ("whole", T.BooleanType(), pa.bool_()),
-    ("pipe_from", T.StringType(), pa.string()), ("pipe_to", T.StringType(), pa.string()),
+    ("pipe_from", T.StringType(), pa.string()), ("pipe_to", T.StringType(), pa.string()), ("marks", T.ArrayType(T.StringType()), pa.list_(pa.string())),
 ]
 
 _URL = re.compile(r"(?<![a-z0-9+])[a-z][a-z0-9+]{0,20}://[^\s\"'()<>`]+", re.I)
@@ -25,23 +24,32 @@ _SUMS = re.compile(r"^\s*(?:md5|sha1|sha224|sha256|sha384|sha512|b2)sums(?:_\w+)
 DEPENDENCY_FIELDS = ("depends", "makedepends", "checkdepends", "optdepends", "provides", "replaces", "conflicts")
 
 
+_READ = tuple[list[recipe.Line], dict[str, str], dict[str, list[str]]]
+
+
+def given(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The id and the text of every diff that is not empty, over all cores."""
+    return spread(diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t")))
+
+
+def lines_of(read: _READ) -> list[tuple]:
+    """A row per line, see diff_lines."""
+    for x in read[0]:
+        if x.side == "+":
+            x.marks = commands.marks_of(x.body, x.resolved)
+    return [tuple(getattr(x, n) for n, _, _ in _LINE) for x in read[0]]
+
+
 def diff_lines(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row per line of each diff: the id, idx, side, body, file, lineno, function, callers, context, resolved, whole, pipe_from, pipe_to.
+    """One row per line of each diff: the id, idx, side, body, file, lineno, function, callers, context, resolved, whole, pipe_from, pipe_to, marks.
 
     side is + or - or ' ' (context), @ for headers. resolved is the logical line with its variables put in, on the first line of
-    a continued one; NULL on headers and continuations. NULL and empty diffs have no lines. Texts without headers are all context.
+    a continued one; NULL on headers and continuations. marks are the ids of the rules that an added line's commands meet. NULL and empty
+    diffs have no lines. Texts without headers are all context.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                lines, _, _ = recipe.read(text)
-                if lines:
-                    ids = batch.column(0).take(pa.array([i] * len(lines)))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([getattr(x, n) for x in lines], k) for n, _, k in _LINE)], names=[id_column, *(n for n, _, _ in _LINE)])
-
     schema = T.StructType([diffs.schema[id_column], *(T.StructField(n, k) for n, k, _ in _LINE)])
-    return spread(diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t"))).mapInArrow(run, schema)
+    run = rows_of_texts({n: k for n, _, k in _LINE}, lambda text: lines_of(recipe.read(text)), id_column)
+    return given(diffs, id_column, text_column).mapInArrow(run, schema)
 
 
 def _items(arrays: dict[str, list[str]], scalars: dict[str, str], name: str) -> list[str]:
@@ -52,9 +60,9 @@ def _bare(names: list[str]) -> list[str]:
     return sorted({x for x in (re.split(r"[<>=:]", n, maxsplit=1)[0].strip().lower() for n in names) if x})
 
 
-def facts_of(text: str) -> dict:
-    """What one diff changes, as flags and sets; before is the old side, after the new one."""
-    lines, scalars, arrays = recipe.read(text)
+def facts_of(read: _READ) -> dict:
+    """What one diff, as read, changes, as flags and sets; before is the old side, after the new one."""
+    lines, scalars, arrays = read
     old = [recipe.Line(x.idx, " ", x.body, x.file) for x in lines if x.side in (" ", "-")]
     was, were = recipe.assignments(recipe.joined(old))
     # Urls as written: a line that only means another version by its variables names the same source.
@@ -90,20 +98,18 @@ def _kind(v: object) -> T.DataType:
     return T.BooleanType() if isinstance(v, bool) else T.LongType() if isinstance(v, int) else T.ArrayType(T.StringType()) if isinstance(v, list) else T.StringType()
 
 
-_FACTS = T.StructType([T.StructField(k, _kind(v)) for k, v in facts_of("").items()])
+_FACTS = T.StructType([T.StructField(k, _kind(v)) for k, v in facts_of(recipe.read("")).items()])
 _ARROW = {T.BooleanType(): pa.bool_(), T.LongType(): pa.int64(), T.StringType(): pa.string(), T.ArrayType(T.StringType()): pa.list_(pa.string())}
 
 
-def diff_facts(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row of facts per diff, see facts_of. NULL and empty diffs have none."""
+FACT_KINDS = {f.name: _ARROW[f.dataType] for f in _FACTS}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [facts_of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[f.name] for r in rows], _ARROW[f.dataType]) for f in _FACTS)], names=[id_column, *_FACTS.names])
 
+def diff_facts(diffs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """One row of facts per diff, see facts_of. NULL and empty diffs have none."""
     schema = T.StructType([diffs.schema[id_column], *_FACTS])
-    return spread(diffs.where(F.length(text_column) > 0).select(id_column, F.col(text_column).cast("string").alias("_t"))).mapInArrow(run, schema)
+    run = rows_of_texts(FACT_KINDS, lambda text: [tuple(facts_of(recipe.read(text)).values())], id_column)
+    return given(diffs, id_column, text_column).mapInArrow(run, schema)
 
 
 # ---- the same steps in plain expressions, where nothing has to be parsed ---------------------------------------------

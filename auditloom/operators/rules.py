@@ -13,7 +13,10 @@ from auditloom.functions.recipe import BUILD_FUNCTIONS, HOOKS, LINE_CHARS
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern over the lines of a diff. target: raw body or resolved text; scope: contexts or functions, () for all."""
+    """A pattern over the lines of a diff. target: raw body or resolved text; scope: contexts or functions, () for all.
+
+    A rule without a pattern holds where the words of a line's commands meet it, see functions/commands.py.
+    """
 
     id: str
     name: str
@@ -37,40 +40,40 @@ _CODE = ("function_body", "other")
 _RUN = (*BUILD_FUNCTIONS, *HOOKS)
 
 # The JVM's regular expressions recurse on repeated groups, so groups are repeated a bounded number of times only.
-#: The catalogue: what each rule is after is its name; the patterns are this project's own.
+#: The catalogue: what each rule is after is its name. R001, R002, R007, R010, R011 and R046 are fixed values, too short to be said otherwise.
 RULES = (
-    Rule("R001", "Remote script execution", rf"\bcurl\b.*{_PIPE}{_RUNNER}", "CRITICAL", "network_execution", stage="execution"),
+    Rule("R001", "Download run by an interpreter", rf"\bcurl\b.*{_PIPE}{_RUNNER}", "CRITICAL", "network_execution", stage="execution"),
     Rule("R002", "Fetch piped to a shell", rf"\bwget\b.*{_PIPE}{_RUNNER}", "CRITICAL", "network_execution", stage="execution"),
     Rule("R003", "Base64 decoded into a pipe", rf"\bbase64\b[^|]*\s(?:-d|-D|--decode)\b.*{_PIPE}", "CRITICAL", "obfuscation", stage="evasion"),
     Rule("R007", "Install file modified", r"\.install\b", "MEDIUM", "installer", "raw", stage="persistence"),
     Rule("R008", "Runtime runs a url", r"\b(?:python|ruby|perl)[0-9.]*\s+-c\s+[\"']?https?://", "HIGH", "network_execution", stage="execution"),
-    Rule("R009", "Privilege escalation", r"(?:^|[;&|]\s*)\s*(?:sudo|doas|pkexec)\s", "CRITICAL", "privilege", scope=_RUN, stage="escalation"),
-    Rule("R010", "Uses curl", r"\bcurl\s", "LOW", "network_usage", "raw", ("function_body",), stage="delivery"),
-    Rule("R011", "Uses wget", r"\bwget\s", "LOW", "network_usage", "raw", ("function_body",), stage="delivery"),
+    Rule("R009", "Becomes another user", r"(?:^|[;&|]\s*)\s*(?:sudo|doas|pkexec)\s", "CRITICAL", "privilege", scope=_RUN, stage="escalation"),
+    Rule("R010", "curl is called", r"\bcurl\s", "LOW", "network_usage", "raw", ("function_body",), stage="delivery"),
+    Rule("R011", "wget is called", r"\bwget\s", "LOW", "network_usage", "raw", ("function_body",), stage="delivery"),
     Rule("R012", "Text addressed to a reading model", r"\b(?:ignore|disregard|forget)\s+(?:\w+\s+){0,2}(?:previous|prior|above|earlier)\b|</?(?:system|instructions?)\s*>|\b(?:classify|mark|treat|report)\b[^.]{0,24}\bas\s+(?:safe|benign|clean)\b", "FATAL", "injection", comments=True, added_only=False, stage="evasion"),
     Rule("R013", "Bidirectional or invisible characters", r"[\u202A-\u202E\u2060-\u2064\u2066-\u2069]|[\x21-\x7E][\u200B-\u200F\uFEFF][\x21-\x7E]", "FATAL", "unicode", "raw", comments=True, added_only=False, stage="evasion"),
-    Rule("R017", "Setuid bit", r"\bchmod\b[^;&|]*\+s", "HIGH", "privilege", "raw", _CODE, unless=r"\bchmod\s+\S+\s+\S", stage="escalation"),
-    Rule("R039", "Eval of dynamic content", r"\beval\s+[\"']?(?:\$|`)", "CRITICAL", "execution", stage="execution"),
-    Rule("R040", "Shell -c with dynamic payload", rf"\b{_SHELL}\s+-c\s+[\"']?[^\"']*(?:\$[\w({{]|`)", "CRITICAL", "execution", stage="execution"),
-    Rule("R041", "Shell network redirection", r"/dev/(?:tcp|udp)/|/dev/\$\{?\w+\}?/|/dev/[a-z]*[?*\[][^/\s]*/", "CRITICAL", "network_execution", stage="command_and_control"),
-    Rule("R042", "Download, then execute", rf"\b(?:curl|wget)\s[^;&|]*-[oO]\s*\S+[^;&|]*(?:&&|;).*?(?:\./|/tmp/|{_SHELL}\s)", "CRITICAL", "execution", stage="execution"),
-    Rule("R043", "Base64 of a blob in the line", r"\bbase64\s+(?:-d|--decode)\s*(?:<<|\$)", "CRITICAL", "obfuscation", stage="evasion"),
-    Rule("R044", "Interpreter one-liner on the network", r"\b(?:python|perl|ruby)[0-9.]*\s+-[ce]\s.*(?:socket|urllib|urlopen|Net::|LWP|open-uri|https?://)", "HIGH", "network_execution", stage="execution"),
-    Rule("R045", "Binary decoding pipe", rf"\b(?:xxd|uudecode)\b[^|]*{_PIPE}", "MEDIUM", "obfuscation", stage="evasion"),
-    Rule("R046", "Source is an IP address", r"\bhttps?://(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "MEDIUM", "network", "raw", stage="delivery"),
-    Rule("R047", "Source on an unusual port", r"\bhttps?://[^/\s:\"']+:(?!(?:80|443|8080|8443)\b)[0-9]{2,5}", "LOW", "network", "raw", stage="delivery"),
-    Rule("R048", "Source on a free registrar's domain", r"\bhttps?://[^/\s]*\.(?:tk|ml|ga|cf|gq|pw)(?![\w.\-])", "LOW", "network", "raw", stage="delivery"),
-    Rule("R049", "Compiler plugin or loader override", r"FLAGS\s*\+?=.*(?:-fplugin=|--dynamic-linker=)", "MEDIUM", "build", "raw", stage="execution"),
-    Rule("R050", "Compiler hardening disabled", r"FLAGS\s*\+?=.*(?:-fno-stack-protector|-z[\s,]*execstack)", "MEDIUM", "build", "raw", stage="evasion"),
-    Rule("R051", "Network in pkgver", rf"\b{_CLIENT}", "HIGH", "packaging", "raw", ("pkgver",), stage="delivery"),
-    Rule("R052", "Dotfile written to a home", r"\b(?:install|cp|mv|tee)\s[^;&|]*(?:\$\{?HOME\}?|~|/root|/home/[^/\s]+)/\.\w", "HIGH", "persistence", "raw", _CODE, stage="persistence"),
-    Rule("R053", "Setuid bit in the package root", r"\bchmod\s+(?:-\S+\s+){0,20}(?:[2467][0-7]{3}|[ugoa]*\+s)\s+(?:--\s+)?(?![\"']?/)|\bsetcap\s+(?:-\S+\s+){0,20}[\"']?cap_\S+\s+(?![\"']?/)", "MEDIUM", "privilege", "raw", _CODE, stage="escalation"),
+    Rule("R017", "Special bit by letters", r"\bchmod\b[^;&|]*\+s", "HIGH", "privilege", "raw", _CODE, unless=r"\bchmod\s+\S+\s+\S", stage="escalation"),
+    Rule("R039", "Eval of what a variable holds", r"\beval\s+[\"']?(?:\$|`)", "CRITICAL", "execution", stage="execution"),
+    Rule("R040", "Inline shell code made of variables", rf"\b{_SHELL}\s+-c\s+[\"']?[^\"']*(?:\$[\w({{]|`)", "CRITICAL", "execution", stage="execution"),
+    Rule("R041", "Socket opened by a path", "", "CRITICAL", "network_execution", stage="command_and_control"),
+    Rule("R042", "Fetched file is run", "", "CRITICAL", "execution", stage="execution"),
+    Rule("R043", "Base64 of a variable or here-text decoded", "", "CRITICAL", "obfuscation", stage="evasion"),
+    Rule("R044", "Inline code reaches the network", "", "HIGH", "network_execution", stage="execution"),
+    Rule("R045", "Bytes decoded from text and piped on", rf"\b(?:xxd|uudecode)\b[^|]*{_PIPE}", "MEDIUM", "obfuscation", stage="evasion"),
+    Rule("R046", "Url of a bare address", r"\bhttps?://(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "MEDIUM", "network", "raw", stage="delivery"),
+    Rule("R047", "Url with an unusual port", "", "LOW", "network", "raw", stage="delivery"),
+    Rule("R048", "Url below a free registrar's domain", "", "LOW", "network", "raw", stage="delivery"),
+    Rule("R049", "Foreign plugin or loader in the build", "", "MEDIUM", "build", "raw", stage="execution"),
+    Rule("R050", "Build hardening switched off", "", "MEDIUM", "build", "raw", stage="evasion"),
+    Rule("R051", "pkgver reaches the network", rf"\b{_CLIENT}", "HIGH", "packaging", "raw", ("pkgver",), stage="delivery"),
+    Rule("R052", "Hidden file put into a home", "", "HIGH", "persistence", "raw", _CODE, stage="persistence"),
+    Rule("R053", "Setuid, setgid or capability on a packaged file", "", "MEDIUM", "privilege", "raw", _CODE, stage="escalation"),
     Rule("R054", "Autostart unit written", r"(?:\b(?:install|cp|mv|ln|tee|cat|printf|echo)\b|>)[^;&|]*/(?:etc/(?:cron\.\w+|systemd/(?:system|user)|profile\.d|xdg/autostart|sudoers\.d|ld\.so\.conf\.d|pam\.d|init\.d)|usr/lib/systemd/(?:system|user)|var/spool/cron)/", "HIGH", "persistence", "raw", _CODE, stage="persistence"),
-    Rule("R055", "Clone of a variable branch", r"\bgit\s+clone\s[^;&|]*(?:--branch|-b)[\s=]+[\"']?\$", "MEDIUM", "source", stage="delivery"),
-    Rule("R056", "Download, then source", r"\b(?:curl|wget)\s[^;&|]*-[oO]\s*\S+[^;&|]*(?:&&|;)\s*(?:source|\.)\s", "CRITICAL", "execution", stage="execution"),
-    Rule("R057", "TLS verification disabled", r"\bcurl\s(?:[^;&|]*\s)?(?:--insecure|-k)\b|\bwget\s(?:[^;&|]*\s)?--no-check-certificate\b", "HIGH", "network", stage="delivery"),
-    Rule("R058", "Write outside the package root", rf"^\s*(?:sudo\s+)?(?:install|cp|mv|dd|tee)\s[^;&|]*{_ABSOLUTE}(?:etc|boot|usr/bin|usr/lib)/", "HIGH", "system", "raw", _CODE, stage="persistence"),
-    Rule("R059", "Setuid bit outside the package root", r"\bchmod\s+(?:-\S+\s+){0,20}(?:[2467][0-7]{3}|[ugoa]*\+s)\s+(?:--\s+)?[\"']?/|\bsetcap\s+(?:-\S+\s+){0,20}[\"']?cap_\S+\s+[\"']?/", "HIGH", "privilege", "raw", _CODE, stage="escalation"),
+    Rule("R055", "Clone follows a variable", r"\bgit\s+clone\s[^;&|]*(?:--branch|-b)[\s=]+[\"']?\$", "MEDIUM", "source", stage="delivery"),
+    Rule("R056", "Fetched file is read into the shell", "", "CRITICAL", "execution", stage="execution"),
+    Rule("R057", "Certificates not checked", "", "HIGH", "network", stage="delivery"),
+    Rule("R058", "System folder written to directly", "", "HIGH", "system", "raw", _CODE, stage="persistence"),
+    Rule("R059", "Setuid, setgid or capability on the running system", "", "HIGH", "privilege", "raw", _CODE, stage="escalation"),
     Rule("R062", "Hook fetches or executes", rf"\b{_CLIENT}|\bchmod\s+u\+s|\bsystemctl\s+(?:enable|start)", "HIGH", "installer", scope=HOOKS, stage="execution"),
     Rule("R063", "Patch from outside the build tree", r"\b(?:patch|git\s+apply)\b[^;&]*(?:https?://|<\(|\s[\"']?/(?!dev/))", "HIGH", "integrity", scope=BUILD_FUNCTIONS, stage="delivery"),
     Rule("R070", "Loader environment changed", r"\b(?:LD_PRELOAD|LD_LIBRARY_PATH)\s*\+?=", "HIGH", "build", scope=BUILD_FUNCTIONS, stage="execution"),
@@ -83,7 +86,7 @@ RULES = (
     Rule("R119", "Anti-analysis check", r"\bTracerPid\b|\bsystemd-detect-virt\b|/sys/class/dmi/|\$\{?(?:GITHUB_ACTIONS|CI|CONTAINER)\b|/\.dockerenv", "HIGH", "evasion", scope=_RUN, stage="evasion"),
     Rule("R123", "Covert egress", r"\b[a-z2-7]{16,56}\.onion\b|\.i2p\b|\bdns-query\b|(?:^|[;&|]\s*)\s*(?:torsocks|ngrok|chisel|frpc)\b", "HIGH", "network", stage="exfiltration"),
     Rule("R127", "Indirect remote execution", rf"\b{_SHELL}\s+<\(\s*(?:curl|wget)|\b(?:curl|wget)\b.*{_PIPE}xargs\s+{_SHELL}|<<<\s*[\"']?\$\((?:curl|wget)", "CRITICAL", "network_execution", stage="execution"),
-    Rule("R132", "Indirect expansion", r"\$\{!\w+\}", "CRITICAL", "obfuscation", "raw", stage="evasion"),
+    Rule("R132", "Variable named by a variable", r"\$\{!\w+\}", "CRITICAL", "obfuscation", "raw", stage="evasion"),
     Rule("R144", "Packaged file points at a world-writable path", r"^(?=.*\$\{?pkgdir\b)(?=.*/(?:tmp|var/tmp|dev/shm)/)", "HIGH", "persistence", "raw", _CODE, stage="persistence"),
     Rule("R151", "Boot artifact from the source tree", r"\b(?:dracut|mkinitcpio|update-initramfs|grub-mkconfig|grub-install|bootctl)\b[^;&|]*\$\{?(?:srcdir|startdir|PWD|pkgdir)\b", "HIGH", "persistence", stage="persistence"),
     Rule("S001", "Recursive self-spawn", r":\s*\(\)\s*\{.*\|.*&.*\}|\bwhile\s+(?:true|:)\s*;\s*do\b[^;]*&", "CRITICAL", "sabotage", stage="impact"),
@@ -123,7 +126,7 @@ RULES = (
     Rule("X021", "Runs a file chosen at runtime", r"\b(?:ba|z|da|k)?sh\s+[\"']?(?:\$\{?[0-9*@]|\$\{\w+\[|[\w./]*\*)", "HIGH", "evasion", "raw", _RUN, unless=r"\bexec\s+[\"']?\$@", stage="execution"),
 )
 
-#: Programs at the ends of pipelines. Consumers take a download as data.
+#: Programs at the ends of pipelines. Consumers take a download as data.
 _CLIENTS = ("curl", "wget", "wget2", "aria2c", "axel", "lftp", "ftp", "nc", "ncat", "socat", "ssh", "dig", "openssl", "rsync", "scp", "telnet")
 _SHELLS = ("sh", "bash", "zsh", "dash", "ksh", "ash", "mksh", "yash")
 _RUNNERS = (*_SHELLS, "python", "python2", "python3", "perl", "ruby", "node", "php", "lua")
@@ -131,7 +134,7 @@ _CONSUMERS = (
     "tar", "bsdtar", "gzip", "gunzip", "zcat", "xz", "unxz", "zstd", "bzip2", "cpio", "unzip", "sha256sum", "sha512sum", "md5sum", "b2sum", "gpg", "tee", "cat", "grep", "sed", "awk", "tr", "cut", "sort", "uniq", "head", "tail", "wc",
     "jq", "less", "more", "patch", "install", "dd", "xargs", "column", "od", "xxd", "base64", "true",
 )
-#: Signs of obfuscation, of which three in one line are a finding.
+#: Signs of obfuscation, of which three in one line are a finding.
 _DENSITY = (r"\beval\b", r"\bbase64\b", r"\\x[0-9A-Fa-f]{2}", r"\$\{!?\w+[:#%/^,]", r"\bxxd\b", r"\$'", r"\brev\b", r"\btr\s", r"\$\(\s*printf", r"`")
 
 
@@ -161,7 +164,7 @@ def _applies(rule: Rule) -> Column:
         ok &= F.arrays_overlap(F.concat(F.array(F.coalesce("context", F.lit("")), F.coalesce("function", F.lit(""))), F.coalesce("callers", F.array().cast("array<string>"))), wanted)
         if not set(rule.scope) & {"message"}:
             ok &= F.col("context") != "message"
-    hit = text.rlike("(?iu)" + rule.pattern)
+    hit = text.rlike("(?iu)" + rule.pattern) if rule.pattern else F.array_contains("marks", rule.id)
     return ok & hit & ~text.rlike("(?iu)" + rule.unless) if rule.unless else ok & hit
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.sources.work import stage_table
+from auditloom.sources.work import slices, stage_table
 
 FILE = ["feed", "table_name", "file_no"]
 #: JSON types, narrow to wide; ties of a majority go to the wider one.
@@ -88,7 +88,7 @@ def _digest(value: object) -> int | None:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, to - at) for b in batches for at, to in slices(b.column("payload"), 8_000_000)):
         objects = [parse_object(p) for p in batch.column("payload").to_pylist()]
         kept = [i for i, o in enumerate(objects) if o is not None]
         rest = batch.select(["feed", "table_name", "file_no", "line_no", "record_key"]).take(pa.array(kept, pa.int64()))
@@ -289,7 +289,7 @@ def unified_table(records: DataFrame, table_name: str) -> DataFrame:
         columns[lead] = name
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, to - at) for b in batches for at, to in slices(b.column("payload"), 8_000_000)):
             objects = [parse_object(p) for p in batch.column("payload").to_pylist()]
             kept = [i for i, o in enumerate(objects) if o is not None]
             rest = batch.select(fixed).take(pa.array(kept, pa.int64()))

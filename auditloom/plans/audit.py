@@ -200,9 +200,7 @@ def audit(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     Result: the id, score, n_findings, worst, band, rules (sorted), gaps. Diffs without a finding have score 0.
     """
-    lines = diffs.diff_lines(docs, id_column, text_column)
-    facts = stage_table(diffs.diff_facts(docs, id_column, text_column), "facts")
-    actions = stage_table(dataflow.diff_actions(docs, id_column, text_column), "actions")
+    lines, facts, actions = dataflow.diff_parts(docs, id_column, text_column)
     own = [f.select(id_column, "rule_id", "severity", "category") for f in (rules.findings(lines, id_column), rules.structural(facts, id_column), dataflow.flow_findings(actions, id_column))]
     found = stage_table(own[0].unionByName(own[1]).unionByName(own[2]), "findings")
     found = stage_table(found.unionByName(composed(found, id_column)), "composed")

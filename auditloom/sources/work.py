@@ -9,8 +9,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _KNOWN: set[str] = set()
@@ -73,3 +76,40 @@ def spread(df: DataFrame) -> DataFrame:
     ship_package(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch's rows with at most so many bytes of text each, or one row."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and size + (n or 0) > most_bytes:
+            yield start, i
+            start, size = i, 0
+        size += n or 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def rows_of_texts(kinds: dict[str, pa.DataType], rows_of: Callable[[str], list[tuple]], id_column: str, most_rows: int = 10_000, most_bytes: int = 8_000_000):
+    """A function for mapInArrow over (id, text): the rows that each text gives, under its id.
+
+    Texts are taken out of Arrow at most so many bytes at once, and rows are put back about so many at once, however many a text gives.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for a, b in slices(batch.column(1), most_bytes):
+                places, rows = [], []
+                for i in range(a, b):
+                    own = rows_of(batch.column(1)[i].as_py())
+                    places += [i] * len(own)
+                    rows += own
+                    if len(rows) >= most_rows or i == b - 1:
+                        for at in range(0, len(rows), most_rows):
+                            part = rows[at : at + most_rows]
+                            columns = (pa.array(c, k) for c, k in zip(zip(*part), kinds.values()))
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(places[at : at + most_rows])), *columns], names=[id_column, *kinds])
+                        places, rows = [], []
+
+    return run

@@ -108,7 +108,7 @@ def test_whole_logical_lines(spark):
     assert "R001" in first and "R002" in second and "R001" in third and "R001" in fourth
     lines, _, _ = recipe.read(texts[0])
     assert next(x.pipe_to for x in lines if x.body == "  curl \\") == "bash"
-    assert [diffs.facts_of(t)["oversized"] > 0 for t in texts] == [False, True, True, True]
+    assert [diffs.facts_of(recipe.read(t))["oversized"] > 0 for t in texts] == [False, True, True, True]
     assert "w" in recipe.read(texts[1])[1] and len(recipe.read(texts[1])[1]["w"]) == 27_000
 
 
