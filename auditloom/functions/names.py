@@ -141,8 +141,21 @@ def compare_versions(a: str, b: str) -> int:
     return first or (_compare_part(ra, rb) if ra is not None and rb is not None else 0)
 
 
-@pandas_udf(IntegerType())
-def version_order(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """compare_versions() of two columns; NULL for NULLs."""
-    for a, b in batches:
-        yield pd.Series([None if x is None or y is None else compare_versions(x, y) for x, y in zip(a, b)], dtype="Int32")
+def _ranked(v: Column) -> Column:
+    """A part of a version as an array of text that sorts as compare_versions() orders: letters before the end, the end before numbers, numbers by value."""
+    runs = F.regexp_extract_all(v, F.lit("[0-9]+|[A-Za-z]+"), F.lit(0))
+
+    def one(x: Column) -> Column:
+        number = F.ltrim(x, F.lit("0"))
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lit("2"), F.lpad(F.length(number).cast("string"), 9, "0"), number)).otherwise(F.concat(F.lit("0"), x))
+
+    return F.concat(F.transform(runs, one), F.array(F.lit("1")))
+
+
+def version_order(a: Column | str, b: Column | str) -> Column:
+    """compare_versions() of two columns, in plain expressions; NULL for NULLs."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = version_parts(a), version_parts(b)
+    step = lambda p, q: F.when(p < q, -1).when(p > q, 1)
+    first = F.coalesce(step(_ranked(x["epoch"]), _ranked(y["epoch"])), step(_ranked(x["pkgver"]), _ranked(y["pkgver"])), step(_ranked(x["pkgrel"]), _ranked(y["pkgrel"])), F.lit(0))
+    return F.when(a.isNotNull() & b.isNotNull(), first)

@@ -5,6 +5,7 @@ to their first line per name before the join, so an execution meets at most one
 """
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,32 @@ def source_name(entry: str) -> str:
     return name if renamed else re.sub(r"[?#].*$", "", entry.rstrip("/")).rsplit("/", 1)[-1]
 
 
+_BUILD_ONLY = re.compile(r"\$\{?(?:srcdir|startdir|pkgdir|BUILDDIR|PWD)\b")
+#: Programs that take a file as data or are judged elsewhere when they are given one.
+_HANDLERS = {*recipe.INTERPRETERS, *recipe.COPIERS, *recipe.COMPILERS, *recipe.FETCHERS, "tee", "cat", "echo", "printf", "rm", "mkdir", "cd", "chmod", "chown", "touch", "sed", "grep", "test", "[", "make", "gmake", "ninja"}
+#: Targets that every build of that kind has.
+_USUAL_TARGETS = frozenset({"all", "build", "install", "check", "test", "tests", "clean", "distclean", "dist", "docs", "doc", "html", "man", "release", "default", "install-strip"})
+
+
+def _targets(text: str) -> list[str]:
+    """The unusual targets that a line gives to make or ninja."""
+    out = []
+    for words, _, _ in recipe.simple_commands(text):
+        own = recipe.bare_words(words)
+        if own and own[0] in ("make", "gmake", "ninja"):
+            plain = [w for before, w in zip(own, own[1:]) if not w.startswith("-") and "=" not in w and not w.isdigit() and before not in ("-C", "-f", "-j", "-l", "-o", "-I", "--directory", "--file", "--makefile")]
+            out += [w for w in plain if w not in _USUAL_TARGETS and not re.search(r"[$/]", w)]
+    return out
+
+
+def _text_below(lines: list[recipe.Line], x: recipe.Line, quoted: set[int]) -> Iterator[str]:
+    """The here-document's lines that follow a line. idx is a line's place in the diff."""
+    for y in lines[x.idx + 1 :]:
+        if y.idx not in quoted:
+            return
+        yield y.body
+
+
 def actions_of(read: diffs._READ) -> list[tuple[int, str | None, str, str, str]]:
     """(idx, function, kind, path, base) of a diff, as read: its declared sources, then what its added lines do within functions that are run.
 
@@ -38,6 +65,7 @@ def actions_of(read: diffs._READ) -> list[tuple[int, str | None, str, str, str]]
     out = [(-1, None, "declared", s, source_name(s)) for s in [*arrays.get("source", []), *([scalars["source"]] if scalars.get("source") else [])]]
     quoted = recipe.heredoc_bodies(lines)
     run = {*recipe.BUILD_FUNCTIONS, *recipe.HOOKS}
+    configs: dict[tuple[str, str], int] = {}
     for x in lines:
         if x.side != "+" or x.resolved is None or x.idx in quoted or x.context == "message":
             continue
@@ -49,6 +77,13 @@ def actions_of(read: diffs._READ) -> list[tuple[int, str | None, str, str, str]]
         out += [(x.idx, within, kind, path, path.rsplit("/", 1)[-1]) for kind, path in done]
         if any(kind == "fetch" for kind, _ in done) or re.search(r"\b(?:curl|wget2?|aria2c|axel|git\s+clone)\b", body):
             out += [(x.idx, within, "url", u, u.rsplit("/", 1)[-1]) for u in _URL.findall(body)]
+        out += [(x.idx, within, "target", t, "Makefile") for t in _targets(body)]
+        for words, _, _ in recipe.simple_commands(body):
+            own = recipe.bare_words(words)
+            used = {recipe.normal_path(v) for w in own[1:] for v in (w, w.rpartition("=")[2])} if own and own[0].rsplit("/", 1)[-1] not in _HANDLERS else set()
+            out += [(x.idx, within, "handed", p, p.rsplit("/", 1)[-1]) for (f, p), at in configs.items() if f == within and at < x.idx and (p in used or ("/" in p and p.rpartition("/")[0] in used))]
+        if _BUILD_ONLY.search(body) or ("<<" in body and any(_BUILD_ONLY.search(b) for b in _text_below(lines, x, quoted))):
+            configs |= {(within, path): x.idx for kind, path in done if kind == "generate"}
         if re.search(r"\b(?:patch|git\s+apply)\b", body):
             out += [(x.idx, within, "patch", p, p.rsplit("/", 1)[-1]) for p in re.findall(r"(?<![^\s<\"'])[^\s<\"']+\.(?:patch|diff)\b", body)]
         if m := re.match(r"\s*(?:export\s+)?PATH=(.*)", body):
@@ -103,7 +138,7 @@ def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = N
     executed; R137 fetched, then executed; R138 a declared source executed; R136 a committed file executed undeclared; W001 (R150 in packaging)
     a file executed that is neither declared, committed nor written; R061 a fetch of an undeclared url; W003 a patch not committed;
     R140 a PATH with a source folder that is neither declared nor committed; R139 a service that starts a file of that kind.
-    R120 an encoded executable. R121 before R124 on one execution; executions of what was written are not unread.
+    R120 an encoded executable; W005 a target of a build whose Makefile is not committed; X022 a file that names a build-only path, handed to a tool. R121 before R124 on one execution; executions of what was written are not unread.
     """
     none = actions.where(F.lit(False)).select(id_column, "base").distinct()
     declared = actions.where("kind = 'declared'").select(id_column, "base").distinct().withColumn("declared", F.lit(True))
@@ -139,6 +174,10 @@ def flow_findings(actions: DataFrame, id_column: str, tree: DataFrame | None = N
     started = actions.where("kind = 'exec_start'").select(id_column, "path", "idx").join(put, [id_column, "path"])
     started = started.join(declared, [id_column, "base"], "left_anti").join(committed, [id_column, "base"], "left_anti")
     found = found.unionByName(started.select(id_column, F.lit("R139").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("persistence").alias("category"), "idx", F.col("path").alias("match")))
+    goals = actions.where("kind = 'target'").join(committed, [id_column, "base"], "left_anti")
+    found = found.unionByName(goals.select(id_column, F.lit("W005").alias("rule_id"), F.lit("INFO").alias("severity"), F.lit("unverifiable").alias("category"), "idx", F.col("path").alias("match")))
+    handed = actions.where("kind = 'handed'")
+    found = found.unionByName(handed.select(id_column, F.lit("X022").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("evasion").alias("category"), "idx", F.col("path").alias("match")))
     encoded = actions.where("kind = 'payload'")
     found = found.unionByName(encoded.select(id_column, F.lit("R120").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("execution").alias("category"), "idx", F.col("path").alias("match")))
     best = found.groupBy(id_column, "rule_id").agg(F.min(F.struct("idx", "severity", "category", "match")).alias("_m"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import names
+from auditloom.operators.rules import structural
 
 
 def novel(added: DataFrame, known: DataFrame) -> DataFrame:
@@ -71,3 +72,36 @@ def hijacks(provided: DataFrame, established: DataFrame) -> DataFrame:
     hit = provided.join(established.select("name").distinct(), "name", "left_semi")
     related = lambda a, b: a.contains(b) | b.contains(a)
     return hit.where(~related(names.stem(F.col("subject")), names.stem(F.col("name")))).select("subject", "name").distinct()
+
+
+def scope_expansion(provided: DataFrame, established: DataFrame, observed: DataFrame, widely: int = 25) -> DataFrame:
+    """The first newly provided or replaced name (subject, name) of each subject that is an unrelated established package (HIGH) or observed (name, n) widely (MEDIUM): subject, severity, name."""
+    high = hijacks(provided, established).select("subject", F.lit("HIGH").alias("severity"), "name")
+    medium = provided.select("subject", "name").distinct().join(observed.where(F.col("n") >= widely).select("name").distinct(), "name", "left_semi").select("subject", F.lit("MEDIUM").alias("severity"), "name")
+    best = high.unionByName(medium).groupBy("subject").agg(F.min(F.struct("severity", "name")).alias("_m"))
+    return best.select("subject", "_m.severity", "_m.name")
+
+
+def adoption_findings(states: DataFrame, facts: DataFrame, id_column: str) -> DataFrame:
+    """id, rule_id, severity, category: R141 a package that was orphaned and has a maintainer, R143 one whose recipe is then rewritten (R142) with unpinned build dependencies.
+
+    states: id, was_orphaned (1, 0, -1 unknown), maintainer. facts: as diff_facts gives them; a package without a diff can have R141.
+    """
+    adopted = states.where((F.col("was_orphaned") == 1) & (F.coalesce(F.trim("maintainer"), F.lit("")) != "")).select(id_column).distinct()
+    risky = structural(facts, id_column).where("rule_id = 'R142'").select(id_column).join(facts.where(F.size("registry_installs") > 0).select(id_column), id_column, "left_semi")
+    named = lambda df, i, s: df.select(id_column, F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit("takeover").alias("category"))
+    return named(adopted, "R141", "MEDIUM").unionByName(named(adopted.join(risky, id_column, "left_semi").distinct(), "R143", "HIGH"))
+
+
+#: Severity and category of the rules over a registry.
+REGISTRY_RULES = {
+    "D001": ("MEDIUM", "dependency"), "D002": ("HIGH", "dependency"), "D004": ("HIGH", "dependency"), "R065": ("INFO", "temporal"), "R066": ("INFO", "temporal"), "R067": ("MEDIUM", "temporal"), "R073": ("INFO", "temporal"), "R074": ("HIGH", "naming"),
+    "R075": ("MEDIUM", "dependency"), "R093": ("MEDIUM", "graph"), "R100": ("HIGH", "corpus"), "R101": ("MEDIUM", "naming"), "R106": ("FATAL", "indicator"), "R107": ("INFO", "graph"), "R110": ("MEDIUM", "naming"), "R111": ("INFO", "graph"), "R112": ("INFO", "graph"),
+    "R116": ("HIGH", "dependency"), "R148": ("HIGH", "integrity"),
+}
+
+
+def as_findings(subjects: DataFrame, subject: str, rule_id: str) -> DataFrame:
+    """The subjects that a detector found, as findings: subject (text), rule_id, severity, category; one per subject."""
+    severity, category = REGISTRY_RULES[rule_id]
+    return subjects.where(F.col(subject).isNotNull()).select(F.col(subject).cast("string").alias("subject"), F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(category).alias("category")).distinct()

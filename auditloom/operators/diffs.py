@@ -60,6 +60,17 @@ def _bare(names: list[str]) -> list[str]:
     return sorted({x for x in (re.split(r"[<>=:]", n, maxsplit=1)[0].strip().lower() for n in names) if x})
 
 
+#: Programs that take dependencies from a registry, and the words by which they do.
+_REGISTRIES = {**dict.fromkeys(("npm", "pnpm", "yarn", "bun"), ("install", "i", "add", "ci")), **dict.fromkeys(("pip", "pip3"), ("install",)), "gem": ("install",), "bundle": ("install",), "composer": ("install", "require"), "cargo": ("install", "fetch"), "go": ("get", "install")}
+_PINNED = ("--locked", "--frozen", "--frozen-lockfile", "--no-index", "--offline", "--require-hashes", "ci")
+
+
+def _registry(text: str) -> list[str]:
+    """The programs of a line that resolve dependencies from a registry without being held to a lock."""
+    own = [recipe.bare_words(w) for w, _, _ in recipe.simple_commands(recipe.strip_comment(text))]
+    return [w[0] for w in own if len(w) > 1 and w[1] in _REGISTRIES.get(w[0], ()) and not set(w) & set(_PINNED)]
+
+
 def facts_of(read: _READ) -> dict:
     """What one diff, as read, changes, as flags and sets; before is the old side, after the new one."""
     lines, scalars, arrays = read
@@ -83,9 +94,13 @@ def facts_of(read: _READ) -> dict:
         "files": sorted({x.file for x in lines if x.file}), "added_urls": added, "removed_urls": removed,
         "pkgver_before": version["pkgver"][0], "pkgver_after": version["pkgver"][1], "version_changed": any(a != b for a, b in version.values()), "epoch_added": not was.get("epoch") and bool(scalars.get("epoch")),
         "sums_changed": now != then and bool(now), "sums_removed": bool(then) and not now, "sums_skipped": "SKIP" in now and "SKIP" not in then and any(_DIGEST.match(x) for x in then),
+        "sums_emptied": any(x.side == "+" and (m := re.match(r"\s*(\w+)=\(\s*\)", x.body)) and _SUMS.match(m[1] + "=") and not arrays.get(m[1], [""]) for x in lines),
         "sums_short": 0 < len(now) < n_sources, "digests": sorted({x.lower() for x in now if _DIGEST.match(x)}),
         "keys_added": sorted(keys - keys_before), "keys_removed": sorted(keys_before - keys),
         "functions_changed": sorted({x.function for x in lines if x.side in "+-" and x.function and x.body.strip()}),
+        "parse_time": sum(x.side == "+" and x.function is None and x.file is not None and bool(re.match(r"\s*\w+\+?=.*(?:\$\((?!\()|`)", recipe.strip_comment(x.body))) for x in lines),
+        "registry_installs": sorted({n for x in lines if x.side == "+" and x.resolved and x.function for n in _registry(x.resolved)}),
+        "scriptlet_unread": any(x.side == "+" and re.match(r"\s*install=", x.body) for x in lines) and not any((x.file or "").endswith(".install") for x in lines),
         "unresolved": sum(1 for x in lines if x.side == "+" and x.resolved is not None and not x.whole and "://" in x.resolved), "oversized": sum(len(x.body) > recipe.LINE_CHARS or x.overgrown for x in lines),
     }
     for name in DEPENDENCY_FIELDS:
@@ -163,13 +178,29 @@ def delta(old: DataFrame, new: DataFrame, by: list[str], value: str) -> DataFram
     return both.where("s <> 0").select(*by, value, F.when(F.col("s") > 0, "added").otherwise("removed").alias("change"))
 
 
-def coverage_gaps(facts: DataFrame, id_column: str) -> DataFrame:
-    """id, gaps: what of a diff could not be read, in a fixed order; only diffs with a gap."""
+#: The names of what an audit may not have read, in their order.
+GAPS = (
+    "diff_truncated", "scan_truncated", "line_truncated", "tree_not_analyzed", "companion_truncated", "unresolved_source", "unresolved_parse_time", "snapshot_refused", "unpinned_build_deps", "unpinned_source_ref",
+    "ruleset_drifted", "deps_not_scanned", "stage_degraded",
+)
+
+
+def coverage_gaps(facts: DataFrame, id_column: str, notes: DataFrame | None = None) -> DataFrame:
+    """id, gaps: what of a diff could not be read, in the order of GAPS; only diffs with a gap.
+
+    The diff itself tells of long lines, unread scriptlets and what only a run would resolve. notes: id, gap; what its source, the
+    scan of its tree, its dependencies' scan or a failed stage tells of it; names that are not among GAPS are left out.
+    """
     named: dict[str, Column] = {
-        "oversized_line": F.col("oversized") > 0,
+        "line_truncated": F.col("oversized") > 0,
+        "tree_not_analyzed": F.col("scriptlet_unread"),
         "unresolved_source": (F.col("unresolved") > 0) | F.col("computed_sources"),
-        "unpinned_source": F.exists("added_urls", lambda u: u.rlike(r"^git\+") & ~u.rlike("#(?:commit|tag)=")),
-        "install_script": F.exists("files", lambda f: f.endswith(".install")),
+        "unresolved_parse_time": F.col("parse_time") > 0,
+        "unpinned_build_deps": F.size("registry_installs") > 0,
+        "unpinned_source_ref": F.exists("added_urls", lambda u: u.rlike(r"^git\+") & ~u.rlike("#(?:commit|tag)=")),
     }
-    gaps = F.filter(F.array(*(F.when(c, k) for k, c in named.items())), lambda g: g.isNotNull())
-    return facts.select(id_column, gaps.alias("gaps")).where(F.size("gaps") > 0)
+    rows = facts.select(id_column, F.explode(F.array(*(F.when(c, k) for k, c in named.items()))).alias("gap")).where("gap IS NOT NULL")
+    rows = rows if notes is None else rows.unionByName(notes.join(facts.select(id_column), id_column, "left_semi").select(id_column, "gap").where(F.col("gap").isin(*GAPS)))
+    # As many members as there are names.
+    own = rows.groupBy(id_column).agg(F.collect_set("gap").alias("_g"))
+    return own.select(id_column, F.filter(F.array(*(F.lit(g) for g in GAPS)), lambda g: F.array_contains("_g", g)).alias("gaps"))

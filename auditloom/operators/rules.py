@@ -210,6 +210,7 @@ def structural(facts: DataFrame, id_column: str) -> DataFrame:
         ("R076", "MEDIUM", "network", F.col("odd_version"), F.col("pkgver_after")),
         ("R079", "HIGH", "integrity", F.exists("added_urls", lambda u: u.rlike("#(?:tag|branch|commit)=") & F.exists("removed_urls", lambda v: (F.substring_index(u, "#", 1) == F.substring_index(v, "#", 1)) & v.contains("#commit="))) & ~F.col("version_changed"), show("added_urls")),
         ("R004", "HIGH", "integrity", F.col("sums_skipped"), F.lit("SKIP")),
+        ("R005", "HIGH", "integrity", F.col("sums_emptied"), F.lit("()")),
         ("R006", "LOW", "network", F.exists("added_urls", lambda u: u.startswith("http://")) & ~F.col("sums_changed"), show("added_urls")),
         ("R060", "INFO", "build", F.arrays_overlap("functions_changed", F.array(*(F.lit(f) for f in BUILD_FUNCTIONS))), show("functions_changed")),
         ("R064", "MEDIUM", "network", F.exists("added_urls", lambda u: u.startswith("http://") & F.array_contains(F.col("removed_urls"), F.concat(F.lit("https"), F.substring(u, F.lit(5), F.length(u))))), show("added_urls")),

@@ -49,7 +49,8 @@ def dependency_expansion(spark: SparkSession, d: str) -> DataFrame:
     return dependencies.expansion(*_dependencies(spark, d), gate=0.05)
 
 
-@query()
+@query(_ADDED + f""", given AS (SELECT DISTINCT name, 0 AS n, 10 AS ratio, {relational._STEM} AS stem FROM added WHERE name NOT IN (SELECT name FROM known) AND EXISTS (SELECT 1 FROM known)),
+  popular AS (SELECT name, n, {relational._STEM} AS stem FROM known)""" + relational._NEAR)
 def dependency_typosquat(spark: SparkSession, d: str) -> DataFrame:
     """New dependency names that nothing knew, close to a known one."""
     added, known = _dependencies(spark, d)
@@ -111,7 +112,10 @@ def payload_scan(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", "idx", payload.payload_of("body").alias("payload")).where("payload IS NOT NULL")
 
 
-@query()
+_MIXED = r"""len(list_filter(string_split(host, '.'), lambda x: regexp_matches(x, '\p{Latin}') AND regexp_matches(x, '[\p{Cyrillic}\p{Greek}\p{Armenian}\p{Cherokee}]') OR regexp_matches(x, '^[аеорсухіјѕԁһ0-9-]*[аеорсухіјѕԁһ][аеорсухіјѕԁһ0-9-]*$'))) > 0"""
+
+
+@query(f"SELECT DISTINCT host, {_MIXED} AS mixed FROM (SELECT {relational._HOST} AS host FROM source_urls)")
 def homograph_hosts(spark: SparkSession, d: str) -> DataFrame:
     """Each host of the source urls, and whether it passes for another."""
     hosts = table(spark, d, "source_urls").select(urls.host_of(F.trim("url")).alias("host")).distinct()

@@ -332,18 +332,43 @@ def name_stem(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "packages").select("name", names.stem(F.col("name")).alias("stem")).distinct()
 
 
-@query()
+_NEAR = """, pairs AS (
+  SELECT g.name, p.name AS target, p.n AS target_n, damerau_levenshtein(g.name, p.name) AS distance FROM given g JOIN popular p
+    ON p.n >= ratio * g.n AND g.stem <> p.stem AND abs(length(g.name) - length(p.name)) <= 2 AND length(g.name) >= 4
+  WHERE damerau_levenshtein(g.name, p.name) BETWEEN 1 AND CASE WHEN length(g.name) < 8 THEN 1 ELSE 2 END)
+SELECT name, target, CAST(distance AS INTEGER) AS distance FROM pairs QUALIFY row_number() OVER (PARTITION BY name ORDER BY distance, target_n DESC, target) = 1"""
+_STEM = r"regexp_replace(name, '^(.+?)(?:-git|-bin|-svn|-hg|-bzr|-nightly|-beta|-dev|-lts|-dkms|-static)+$', '\1')"
+
+
+@query(f"""WITH seen AS (SELECT lower(trim(name, {_WS})) AS name, count(*) AS n, 2 AS ratio FROM package_snapshots WHERE name IS NOT NULL GROUP BY 1),
+  given AS (SELECT *, {_STEM} AS stem FROM seen), popular AS (SELECT name, n, stem FROM given)""" + _NEAR)
 def typosquat(spark: SparkSession, d: str) -> DataFrame:
     """Package names one or two edits from another name that is seen twice as often: name, target, distance."""
     seen = table(spark, d, "package_snapshots").where("name IS NOT NULL").groupBy(name_key(F.col("name")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return dependencies.near_names(seen, seen, 2)
 
 
-@query()
+#: A part of a version as a list that sorts as versions do: letters before the end, the end before numbers, numbers by value.
+_RANK = """list_append(list_transform(regexp_extract_all({0}, '[0-9]+|[A-Za-z]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '2' || lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 9, '0') || ltrim(x, '0') ELSE '0' || x END), '1')"""
+
+
+def _ranks(v: str) -> str:
+    rest = rf"regexp_replace({v}, '^\d+:', '')"
+    epoch = rf"CASE WHEN regexp_matches({v}, '^\d+:') THEN split_part({v}, ':', 1) ELSE '0' END"
+    return ", ".join(f"{_RANK.format(part)} AS {name}" for part, name in ((epoch, "e"), (f"regexp_replace({rest}, '-[^-]*$', '')", "p"), (f"regexp_extract({rest}, '-([^-]*)$', 1)", "r"))) + rf", regexp_matches({rest}, '-[^-]+$') AS has_r"
+
+
+@query(_HELD + f""", log AS (
+    SELECT lower(trim(name, {_WS})) AS name, trim(current_version) AS latest FROM packages WHERE id > 0 AND removed_at IS NULL AND name IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY lower(trim(name, {_WS})) ORDER BY last_checked DESC NULLS LAST, added_at DESC NULLS LAST, id DESC, trim(current_version) DESC NULLS LAST) = 1),
+  both_ AS (SELECT name, version, latest FROM held JOIN log USING (name) WHERE next_no IS NULL),
+  a AS (SELECT name, version, latest, {_ranks("version")} FROM both_), b AS (SELECT name, {_ranks("latest")} FROM both_)
+  SELECT name, version, latest FROM a JOIN b USING (name) WHERE a.e < b.e OR a.e = b.e AND (a.p < b.p OR a.p = b.p AND a.has_r AND b.has_r AND a.r < b.r)""")
 def outdated(spark: SparkSession, d: str) -> DataFrame:
-    """Packages whose version in a snapshot is before that of the log."""
+    """Packages whose version in the newest snapshot is before that of the log's row that holds: of all rows of the name the one checked last."""
     held = _held(spark, d).where("next_no IS NULL").select("name", "version")
-    log = _packages(spark, d).where("removed_at IS NULL").select(name_key(F.col("name")).alias("name"), F.trim("current_version").alias("latest")).groupBy("name").agg(F.max("latest").alias("latest"))
+    log = _packages(spark, d).where("removed_at IS NULL AND name IS NOT NULL").select(name_key(F.col("name")).alias("name"), F.trim("current_version").alias("latest"), "last_checked", "added_at", "id")
+    log = log.groupBy("name").agg(F.max_by("latest", F.struct("last_checked", "added_at", "id", "latest")).alias("latest"))
     return held.join(log, "name").where(names.version_order("version", "latest") < 0)
 
 

@@ -53,3 +53,14 @@ def test_edit_distance_against_its_definition():
         assert osa(a, b, 20) == _plain(a, b) and osa(a, b, 2) == min(3, _plain(a, b))
     long = "".join(rng.choice("ab") for _ in range(200))
     assert osa(long, long[1:] + "a", 300) == _plain(long, long[1:] + "a")
+
+
+def test_version_order_in_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from auditloom.functions.names import compare_versions, version_order
+
+    all_ = ["1.9", "1.10", "1.0a", "1.0rc1", "1.0", "1.0-1", "1.0-2", "01.0", "1.0.0", "2:0.1-1", "1:0.9", "", "r12.abc", "r9.abc", "1..0", "1.0_1", "20240101", "1-", "x:1", "1.00000000000000000000000001", None]
+    df = spark.createDataFrame([(a, b) for a in all_ for b in all_], "a string, b string")
+    for r in df.select("a", "b", version_order("a", F.col("b")).alias("o")).collect():
+        assert r.o == (None if r.a is None or r.b is None else compare_versions(r.a, r.b)), r

@@ -2,11 +2,11 @@
 
 import pytest
 
-from auditloom.plans import audit, cycle, detectors, problems, relational, streams
+from auditloom.plans import audit, catalogue, cycle, detectors, problems, relational, streams
 from tests.sqlcheck import assert_same
 
-_QUERIES = {n: f for m in (relational, audit, cycle, detectors, streams, problems) for n, f in m.QUERIES.items()}
-_SQL = {n: s for m in (relational, audit, cycle, detectors, streams, problems) for n, s in m.SQL.items()}
+_QUERIES = {n: f for m in (relational, audit, catalogue, cycle, detectors, streams, problems) for n, f in m.QUERIES.items()}
+_SQL = {n: s for m in (relational, audit, catalogue, cycle, detectors, streams, problems) for n, s in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(_QUERIES))

