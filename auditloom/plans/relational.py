@@ -361,7 +361,7 @@ def _ranks(v: str) -> str:
 @query(_HELD + f""", log AS (
     SELECT lower(trim(name, {_WS})) AS name, trim(current_version) AS latest FROM packages WHERE id > 0 AND removed_at IS NULL AND name IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY lower(trim(name, {_WS})) ORDER BY last_checked DESC NULLS LAST, added_at DESC NULLS LAST, id DESC, trim(current_version) DESC NULLS LAST) = 1),
-  both_ AS (SELECT name, version, latest FROM held JOIN log USING (name) WHERE next_no IS NULL),
+  both_ AS (SELECT name, version, latest FROM held JOIN log USING (name) WHERE next_no IS NULL AND version IS NOT NULL AND latest IS NOT NULL),
   a AS (SELECT name, version, latest, {_ranks("version")} FROM both_), b AS (SELECT name, {_ranks("latest")} FROM both_)
   SELECT name, version, latest FROM a JOIN b USING (name) WHERE a.e < b.e OR a.e = b.e AND (a.p < b.p OR a.p = b.p AND a.has_r AND b.has_r AND a.r < b.r)""")
 def outdated(spark: SparkSession, d: str) -> DataFrame:
