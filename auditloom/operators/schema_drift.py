@@ -113,38 +113,51 @@ def parsed_records(records: DataFrame) -> DataFrame:
     return stage_table(source.where(F.col("feed").isNotNull() & F.col("table_name").isNotNull() & F.col("file_no").isNotNull()).mapInArrow(_parse, _PARSED), "parsed")
 
 
-def _before(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 512) -> DataFrame:
-    """The latest non-NULL value at an earlier order within keys, in two levels.
-
-    First within blocks of consecutive orders, then over one row per block, so that no window holds a group's rows whole.
-    """
-    df = df.withColumn("_b", F.floor(F.col(order) / block))
-    inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    per_block = df.where(F.col(value).isNotNull()).groupBy(*keys, "_b").agg(F.max_by(value, order).alias("_v"))
-    outer = Window.partitionBy(*keys).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
-    every = df.select(*keys, "_b").distinct().join(per_block, [*keys, "_b"], "left").withColumn("_o", F.last("_v", ignorenulls=True).over(outer)).drop("_v")
-    joined = df.withColumn("_i", F.last(value, ignorenulls=True).over(inner)).join(every, [*keys, "_b"], "left")
-    return joined.withColumn(out, F.coalesce("_i", "_o")).drop("_b", "_i", "_o")
+_AREA = ["feed", "table_name", "block"]
+_HELD = "array<struct<name:string,own:string,inner:string>>"
 
 
-def file_schemas(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The files with the file before, and the fields that belong to each file.
+def file_schemas(parsed: DataFrame, block: int = 512) -> DataFrame:
+    """One row per file, in the shared folder: feed, table_name, file_no, fields, prior_no and prior_fields of the file before (NULL for the first).
 
-    Files: feed, table_name, file_no, prior_no. Fields: feed, table_name, file_no, field_name, type. A field belongs to a file
-    if at least half its records hold the key; its type is that of most non-null values, else the type it had earlier.
+    fields: name to type, a map of what belongs to the file: a field that at least half its records hold; its type is that of most
+    non-null values, else the type it had earlier. What a file owes to earlier ones is found in two levels, within blocks of consecutive
+    numbers and then over what each block leaves behind, so that no window holds all files of a feed.
     """
-    files = parsed.groupBy(*FILE).agg(F.count(F.lit(1)).alias("n_records"))
-    cells = parsed.select(*FILE, F.explode(F.arrays_zip("fields", "types")).alias("c")).select(*FILE, F.col("c.fields").alias("field_name"), F.col("c.types").alias("t"))
-    counts = cells.groupBy(*FILE, "field_name").agg(
-        F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("t") == t, 1)).alias(t) for t in JSON_TYPES)
-    )
+    # The file itself is counted as the field NULL, beside its fields.
+    both = F.concat(F.arrays_zip("fields", "types"), F.array(F.struct(F.lit(None).cast("string").alias("fields"), F.lit(None).cast("string").alias("types"))))
+    cells = parsed.select(*FILE, F.explode(both).alias("c")).select(*FILE, F.col("c.fields").alias("field"), F.col("c.types").alias("t"))
+    counts = cells.groupBy(*FILE, "field").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("t") == t, 1)).alias(t) for t in JSON_TYPES))
     most = F.array_max(F.array(*(F.struct(F.col(t).alias("n"), F.lit(i).alias("rank"), F.lit(t).alias("t")) for i, t in enumerate(JSON_TYPES))))
-    owned = counts.join(files, FILE).where(2 * F.col("n") >= F.col("n_records"))
-    owned = owned.select(*FILE, "field_name", F.when(most["n"] > 0, most["t"]).alias("own"))
-    owned = _before(owned, ["feed", "table_name", "field_name"], "file_no", "own", "earlier")
-    listed = _before(files.withColumn("_no", F.col("file_no")), ["feed", "table_name"], "file_no", "_no", "prior_no").select(*FILE, "prior_no")
-    # A row per file and a row per field of a file, which several branches read: written once.
-    return stage_table(listed, "files"), stage_table(owned.select(*FILE, "field_name", F.coalesce("own", "earlier").alias("type")), "fields")
+    # From here to the blocks' edges all stays where the block is.
+    rows = counts.select(*FILE, F.floor(F.col("file_no") / block).alias("block"), "field", "n", F.when(most["n"] > 0, most["t"]).alias("own")).repartition(*_AREA)
+    file = Window.partitionBy(*_AREA, "file_no")
+    rows = rows.withColumn("records", F.max(F.when(F.col("field").isNull(), F.col("n"))).over(file)).where(F.col("field").isNull() | (2 * F.col("n") >= F.col("records")))
+    line = Window.partitionBy(*_AREA, "field").orderBy("file_no")
+    rows = rows.withColumn("inner", F.last("own", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    # A file has at most twice as many fields as its records have on average.
+    held = F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct(F.col("field").alias("name"), "own", "inner"))))
+    files = rows.groupBy(*_AREA, "file_no").agg(held.alias("held"))
+    files = files.withColumn("before", F.lag(F.struct("file_no", "held")).over(Window.partitionBy(*_AREA).orderBy("file_no")))
+    # What a block leaves: the last type of each field, and its last file under the field NULL.
+    none = F.lit(None)
+    left = rows.where("field IS NOT NULL").groupBy(*_AREA, "field").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("file_no"))).alias("type")).withColumn("last", none.cast(f"struct<file_no:int,held:{_HELD}>"))
+    last = files.groupBy(*_AREA).agg(F.max_by(F.struct("file_no", "held"), "file_no").alias("last")).select(*_AREA, none.cast("string").alias("field"), none.cast("string").alias("type"), "last")
+    over = Window.partitionBy("feed", "table_name", "field").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.unionByName(last).select(*_AREA, "field", F.last("type", ignorenulls=True).over(over).alias("type"), F.last("last", ignorenulls=True).over(over).alias("last"))
+    entries = F.collect_list(F.when(F.col("field").isNotNull() & F.col("type").isNotNull(), F.struct("field", "type")))
+    carried = carried.groupBy(*_AREA).agg(F.map_from_entries(entries).alias("outer"), F.max_by("last", F.when(F.col("field").isNull(), F.lit(1))).alias("last"))
+    named = lambda c: F.map_from_arrays(F.transform(c, lambda x: x["name"]), F.transform(c, lambda x: F.coalesce(x["own"], x["inner"], F.try_element_at(F.col("outer"), x["name"]))))
+    whole = files.join(carried, _AREA).withColumn("before", F.coalesce("before", "last"))
+    return stage_table(whole.select(*FILE, named(F.col("held")).alias("fields"), F.col("before.file_no").alias("prior_no"), F.when(F.col("before").isNotNull(), named(F.col("before.held"))).alias("prior_fields")), "files")
+
+
+def file_fields(files: DataFrame) -> DataFrame:
+    """feed, table_name, file_no, field_name, type: one row per field of a file."""
+    return files.select(*FILE, F.explode("fields").alias("field_name", "type"))
+
+
+_AT = ["feed", "table_name", "file_no"]
 
 
 def field_changes(parsed: DataFrame) -> DataFrame:
@@ -154,60 +167,57 @@ def field_changes(parsed: DataFrame) -> DataFrame:
     ('' unless renamed). A file without any whole record is no file. A field whose type was never seen is not retyped. Where
     several renames compete, the one with the largest share of equal values wins, then the first by name.
     """
-    files, fields = file_schemas(parsed)
-    at = ["feed", "table_name", "compare_no"]
-    linked = files.where(F.col("prior_no").isNotNull())
-    new_side = fields.join(linked, FILE).select("feed", "table_name", F.col("file_no").alias("compare_no"), "prior_no", "field_name", F.col("type").alias("new_type"), F.lit(True).alias("in_new"))
-    back = linked.select("feed", "table_name", F.col("file_no").alias("compare_no"), F.col("prior_no").alias("file_no"))
-    old_side = fields.join(back, FILE).select("feed", "table_name", "compare_no", F.col("file_no").alias("prior_no"), "field_name", F.col("type").alias("old_type"), F.lit(True).alias("in_old"))
-    both = (
-        new_side.unionByName(old_side, allowMissingColumns=True)
-        .groupBy(*at, "prior_no", "field_name")
-        .agg(F.max("new_type").alias("new_type"), F.max("old_type").alias("old_type"), F.coalesce(F.max("in_new"), F.lit(False)).alias("in_new"), F.coalesce(F.max("in_old"), F.lit(False)).alias("in_old"))
-    )
-    retyped = both.where(F.col("in_new") & F.col("in_old") & (F.col("new_type") != F.col("old_type"))).select(*at, F.lit("retyped").alias("change_kind"), "field_name", F.lit("").alias("new_name"))
-    moved = stage_table(both.where(F.col("in_new") != F.col("in_old")).select(*at, "prior_no", "field_name", "in_new"), "moved")
-    renamed = stage_table(renames(parsed, moved), "renamed")
-    gone = moved.join(renamed.select(*at, F.col("field_name"), F.lit(False).alias("in_new")), [*at, "field_name", "in_new"], "left_anti")
-    gone = gone.join(renamed.select(*at, F.col("new_name").alias("field_name"), F.lit(True).alias("in_new")), [*at, "field_name", "in_new"], "left_anti")
-    plain = gone.select(*at, F.when(F.col("in_new"), "added").otherwise("removed").alias("change_kind"), "field_name", F.lit("").alias("new_name"))
-    log = retyped.unionByName(plain).unionByName(renamed.select(*at, F.lit("renamed").alias("change_kind"), "field_name", "new_name"))
-    return log.withColumnRenamed("compare_no", "file_no")
+    return _logged(parsed, file_schemas(parsed))
 
 
-def renames(parsed: DataFrame, moved: DataFrame) -> DataFrame:
-    """Pairs of a gone and a new field that hold the same value in more than half of the shared record keys.
-
-    moved: feed, table_name, compare_no, prior_no, field_name, in_new. Only fields of transitions with both a gone and a new field
-    are compared, record by record; the pairs of one record are as many as its gone fields times its new ones.
-    """
-    at = ["feed", "table_name", "compare_no"]
-    open_ = moved.groupBy(*at).agg(F.max("in_new").alias("a"), F.min("in_new").alias("b")).where(F.col("a") & ~F.col("b")).select(*at)
-    wanted = moved.join(open_, at).withColumn("file_no", F.when(F.col("in_new"), F.col("compare_no")).otherwise(F.col("prior_no")))
-    cells = (
-        parsed.where(F.col("record_key").isNotNull())
-        .select(*FILE, "line_no", "record_key", F.explode(F.arrays_zip("fields", "digests")).alias("c"))
-        .select(*FILE, "line_no", "record_key", F.col("c.fields").alias("field_name"), F.col("c.digests").alias("digest"))
-        .where(F.col("digest").isNotNull())
-    )
-    cells = cells.join(wanted.select(*at, "file_no", "field_name", "in_new"), [*FILE, "field_name"])
-    # A record that a file repeats counts once, with its last line.
-    cells = cells.groupBy(*at, "record_key", "field_name", "in_new").agg(F.max_by("digest", F.struct("line_no", "digest")).alias("digest"))
-    old = cells.where(~F.col("in_new")).select(*at, "record_key", "field_name", "digest")
-    new = cells.where("in_new").select(*at, "record_key", F.col("field_name").alias("new_name"), F.col("digest").alias("new_digest"))
-    pairs = (
-        old.join(new, [*at, "record_key"])
-        .groupBy(*at, "field_name", "new_name")
-        .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("digest") == F.col("new_digest"), 1)).alias("same"))
-        .where(2 * F.col("same") > F.col("n"))
-        .select(*at, F.struct((-F.col("same") / F.col("n")).alias("worse"), "field_name", "new_name").alias("p"))
+def _logged(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    now, then = F.map_keys("fields"), F.map_keys("prior_fields")
+    other = lambda f: F.element_at("fields", f) != F.element_at("prior_fields", f)
+    steps = files.where(F.col("prior_no").isNotNull()).select(
+        *_AT, "prior_no", F.array_except(then, now).alias("gone"), F.array_except(now, then).alias("fresh"), F.filter(F.array_intersect(now, then), lambda f: F.coalesce(other(f), F.lit(False))).alias("retyped")
     )
-    # The best pair first, each name once: a fold over the few pairs of one transition.
+    steps = steps.where((F.size("gone") > 0) | (F.size("fresh") > 0) | (F.size("retyped") > 0))
+    pair = "struct<worse:double,field_name:string,new_name:string>"
+    rows = steps.select(*_AT, "gone", "fresh", "retyped", F.lit(None).cast(pair).alias("p")).unionByName(rename_pairs(parsed, steps).select(*_AT, *(F.lit(None).cast("array<string>").alias(c) for c in ("gone", "fresh", "retyped")), "p"))
+    # The best pair first, each name once: a fold over the few pairs of one step.
     taken: Callable[[Column, Column], Column] = lambda acc, x: F.exists(acc, lambda y: (y["field_name"] == x["field_name"]) | (y["new_name"] == x["new_name"]))
-    chosen = F.aggregate(
-        F.array_sort(F.collect_list("p")), F.array().cast("array<struct<worse:double,field_name:string,new_name:string>>"), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x)))
-    )
-    return pairs.groupBy(*at).agg(chosen.alias("c")).select(*at, F.explode("c").alias("c")).select(*at, "c.field_name", "c.new_name")
+    chosen = F.aggregate(F.array_sort("pairs"), F.array().cast(f"array<{pair}>"), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    own = rows.groupBy(*_AT).agg(*(F.max(c).alias(c) for c in ("gone", "fresh", "retyped")), F.collect_list("p").alias("pairs")).withColumn("renamed", chosen)
+    change = lambda kind, f, new=None: F.struct(F.lit(kind).alias("change_kind"), f.alias("field_name"), (F.lit("") if new is None else new).alias("new_name"))
+    lost, made = F.col("renamed.field_name"), F.col("renamed.new_name")
+    log = F.concat(
+        F.transform("renamed", lambda x: change("renamed", x["field_name"], x["new_name"])), F.transform(F.array_except("gone", lost), lambda f: change("removed", f)),
+        F.transform(F.array_except("fresh", made), lambda f: change("added", f)), F.transform("retyped", lambda f: change("retyped", f)),
+    )
+    return own.select(*_AT, F.explode(log).alias("c")).select(*_AT, "c.*")
+
+
+def rename_pairs(parsed: DataFrame, steps: DataFrame) -> DataFrame:
+    """Pairs of a gone and a new field that hold the same value in more than half of the shared record keys: feed, table_name, file_no, p.
+
+    steps: feed, table_name, file_no, prior_no, gone, fresh. Only fields of steps with both a gone and a new one are compared, record
+    by record; the pairs of one record are as many as its gone fields times its new ones.
+    """
+    at = ["feed", "table_name", "step"]
+    sides = F.array(F.struct("file_no", F.col("fresh").alias("names"), F.lit(True).alias("in_new")), F.struct(F.col("prior_no").alias("file_no"), F.col("gone").alias("names"), F.lit(False).alias("in_new")))
+    wanted = steps.where((F.size("gone") > 0) & (F.size("fresh") > 0)).select("feed", "table_name", F.col("file_no").alias("step"), F.explode(sides).alias("s")).select(*at, "s.*")
+    rows = parsed.where(F.col("record_key").isNotNull()).join(wanted, FILE)
+    cells = rows.select(*at, "record_key", "in_new", "line_no", F.explode(F.filter(F.arrays_zip("fields", "digests"), lambda c: c["digests"].isNotNull() & F.array_contains("names", c["fields"]))).alias("c"))
+    # A record that a file repeats counts once, with its last line.
+    cells = cells.groupBy(*at, "record_key", "in_new", F.col("c.fields").alias("field")).agg(F.max_by("c.digests", F.struct("line_no", "c.digests")).alias("digest"))
+    # As many members as a step has gone and new fields.
+    sided = lambda new: F.collect_list(F.when(F.col("in_new") == new, F.struct("field", "digest")))
+    records = cells.groupBy(*at, "record_key").agg(sided(False).alias("old"), sided(True).alias("new"))
+    crossed = F.flatten(F.transform("old", lambda a: F.transform("new", lambda b: F.struct(a["field"].alias("field_name"), b["field"].alias("new_name"), (a["digest"] == b["digest"]).alias("same")))))
+    pairs = records.select(*at, F.explode(crossed).alias("c")).groupBy(*at, "c.field_name", "c.new_name").agg(F.count(F.lit(1)).alias("n"), F.count_if("c.same").alias("same")).where(2 * F.col("same") > F.col("n"))
+    return pairs.select("feed", "table_name", F.col("step").alias("file_no"), F.struct((-F.col("same") / F.col("n")).alias("worse"), "field_name", "new_name").alias("p"))
+
+
+def promoted(types: Column) -> Column:
+    """promote() folded over an array of types; text where none was seen."""
+    table = F.create_map(*(F.lit(x) for a in JSON_TYPES for b in JSON_TYPES for x in (f"{a} {b}", promote(a, b))))
+    step = lambda acc, x: F.when(acc.isNull(), x).otherwise(F.element_at(table, F.concat(acc, F.lit(" "), x)))
+    return F.coalesce(F.aggregate(types, F.lit(None).cast("string"), step), F.lit("string"))
 
 
 def union_schema(parsed: DataFrame) -> DataFrame:
@@ -215,23 +225,24 @@ def union_schema(parsed: DataFrame) -> DataFrame:
 
     Types are folded through promote() over the distinct types of a field, at most as many as there are JSON types.
     """
-    _, fields = file_schemas(parsed)
-    types = F.array_sort(F.collect_set("type"))
-    wide = F.when(F.size(types) <= 1, F.element_at(F.concat(types, F.array(F.lit("string"))), 1)).when(F.array_except(types, F.array(F.lit("integer"), F.lit("double"))) == F.array().cast("array<string>"), "double").otherwise("string")
-    return fields.groupBy("table_name", "field_name").agg(wide.alias("type"), F.count_distinct("feed").alias("n_feeds"), F.count(F.lit(1)).alias("n_files"), F.min("file_no").alias("first_file_no"))
+    fields = file_fields(file_schemas(parsed))
+    return fields.groupBy("table_name", "field_name").agg(
+        promoted(F.array_sort(F.collect_set("type"))).alias("type"), F.count_distinct("feed").alias("n_feeds"), F.count(F.lit(1)).alias("n_files"), F.min("file_no").alias("first_file_no")
+    )
 
 
-def canonical_fields(parsed: DataFrame, changes: DataFrame, table_name: str) -> tuple[dict[str, str], dict[str, str | None]]:
+def canonical_fields(files: DataFrame, changes: DataFrame) -> tuple[dict[str, str], dict[str, str | None]]:
     """For the unified table: field name to column name, and column name to promoted type.
 
     Names that renames connect become one column, called by the name that most files use, unless the two ever belong to one
-    file. Reads the union schema and the distinct renames only: as many rows as there are field names, not records.
+    file. Reads field names with their types, the distinct renames, and which of the renamed names meet in a file: rows by names, not by records.
     """
-    _, fields = file_schemas(parsed.where(F.col("table_name") == table_name))
+    fields = file_fields(files)
     spread = {r.field_name: (r.n, r.types) for r in fields.groupBy("field_name").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("type")).alias("types")).collect()}
-    steps = changes.where((F.col("change_kind") == "renamed") & (F.col("table_name") == table_name)).groupBy("field_name", "new_name").count().collect()
-    sets = fields.groupBy(*FILE).agg(F.array_sort(F.collect_set("field_name")).alias("s")).select("s").distinct()
-    together = {(r.a, r.b) for r in sets.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b").distinct().collect()}
+    steps = changes.where(F.col("change_kind") == "renamed").groupBy("field_name", "new_name").count().collect()
+    asked = sorted({n for r in steps for n in (r.field_name, r.new_name)})
+    met = files.select(F.array_sort(F.array_intersect(F.map_keys("fields"), F.array(*(F.lit(n) for n in asked)).cast("array<string>"))).alias("s")).where(F.size("s") > 1).distinct()
+    together = {(r.a, r.b) for r in met.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b").distinct().collect()} if asked else set()
     group = {f: {f} for f in spread}
     for r in sorted(steps, key=lambda r: (-r["count"], r.field_name, r.new_name)):
         a, b = group.get(r.field_name), group.get(r.new_name)
@@ -276,7 +287,8 @@ def unified_table(records: DataFrame, table_name: str) -> DataFrame:
     """
     own = records.where(F.col("table_name") == table_name)
     parsed = parsed_records(own)
-    names, types = canonical_fields(parsed, field_changes(parsed), table_name)
+    files = file_schemas(parsed)
+    names, types = canonical_fields(files, _logged(parsed, files))
     fixed = ["record_id", "feed", "file_no", "line_no", "record_key", "delivered_at"]
     used = {c.lower() for c in [*fixed, "strays"]}
     columns: dict[str, str] = {}

@@ -42,12 +42,18 @@ def test_case_matters_and_empty(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_carry_over_blocks(spark, seed):
+    """Types of all-null files and the file before, over block borders, against a plain scan."""
     rng = random.Random(seed)
-    rows = [(rng.choice("ab"), n, rng.choice([None, n])) for n in rng.sample(range(100), 60)]
-    df = spark.createDataFrame(rows, "k string, no int, v int")
-    got = {(r.k, r.no): r.w for r in sd._before(df, ["k"], "no", "v", "w", block=8).collect()}
-    for k, n, _ in rows:
-        assert got[(k, n)] == max((v for k2, n2, v in rows if k2 == k and n2 < n and v is not None), default=None)
+    rows = [(n, k, {"id": k} | ({"v": rng.choice([None, 1, "x", 2.5])} if rng.random() < 0.7 else {})) for n in rng.sample(range(60), 40) for k in range(1)]
+    got = {r.file_no: (r.prior_no, r.fields, r.prior_fields) for r in sd.file_schemas(sd.parsed_records(frame(spark, rows)), block=4).collect()}
+    before, seen = None, {}
+    for n, _, o in sorted(rows, key=lambda r: r[0]):
+        seen |= {k: sd.json_type(v) for k, v in o.items() if v is not None}
+        own = {k: seen.get(k) for k in o}
+        prior = got[n][2]
+        assert got[n][:2] == (before[0] if before else None, own)
+        assert prior is None if before is None else {k: v for k, v in prior.items() if k in own} == {k: v for k, v in before[1].items() if k in own} and set(prior) == set(before[1])
+        before = (n, own)
 
 
 def test_records_of_no_file(spark):
@@ -121,6 +127,15 @@ def test_odd_json(spark):
     assert doctest.testmod(sd).failed == 0
 
 
+def test_promotion_in_expressions(spark):
+    from functools import reduce
+    from itertools import combinations
+
+    sets = [list(c) for k in range(4) for c in combinations(sorted(sd.JSON_TYPES), k)]
+    for r in spark.createDataFrame([(c,) for c in sets], "t array<string>").select("t", sd.promoted(F.col("t")).alias("w")).collect():
+        assert r.w == (reduce(sd.promote, r.t, None) or "string")
+
+
 def test_promotion():
     for a in (None, *sd.JSON_TYPES):
         for b in (None, *sd.JSON_TYPES):
