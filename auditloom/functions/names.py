@@ -44,13 +44,16 @@ def version_parts(v: Column) -> Column:
     )
 
 
+#: The ranges of line counts.
+LINE_EDGES, LINE_BEYOND = ((5, "0-5"), (15, "6-15"), (40, "16-40"), (100, "41-100"), (300, "101-300"), (1000, "301-1000")), "1001+"
+
+
 def line_bucket(n: Column) -> Column:
     """A line count as one of seven coarse ranges."""
-    edges = ((5, "0-5"), (15, "6-15"), (40, "16-40"), (100, "41-100"), (300, "101-300"), (1000, "301-1000"))
     out = F.when(n < 0, "unknown")
-    for most, name in edges:
+    for most, name in LINE_EDGES:
         out = out.when(n <= most, name)
-    return F.when(n.isNull(), "unknown").otherwise(out.otherwise("1001+"))
+    return F.when(n.isNull(), "unknown").otherwise(out.otherwise(LINE_BEYOND))
 
 
 def description_tokens(c: Column) -> Column:

@@ -351,6 +351,42 @@ def assignments(logical: list[tuple[Line, str]]) -> tuple[dict[str, str], dict[s
     return scalars, {k: [room.expand(w, scalars, {})[0] for w in own] for k, own in arrays.items()}
 
 
+def aliases(logical: list[tuple[Line, str]]) -> dict[str, str]:
+    """The aliases that a diff's new side sets."""
+    own: dict[str, str] = {}
+    for x, text in logical:
+        if x.side in ("+", " ") and "alias" in text:
+            for words, _, _ in simple_commands(strip_comment(text)):
+                if words[:1] == ["alias"]:
+                    own |= {n: v for n, given, v in (w.partition("=") for w in words[1:]) if given and re.fullmatch(r"[\w.+-]+", n)}
+    return own
+
+
+def expand_aliases(text: str, known: dict[str, str]) -> str:
+    """The text with aliases put in where a command stands, each at most once in its own expansion.
+
+    >>> expand_aliases("get x | run; echo get", {"get": "curl -s", "run": "get y", "echo": "echo"})
+    'curl -s x | curl -s y; echo get'
+    """
+    for _ in range(len(known)):
+        out, at, fresh = [], 0, True
+        for m in _TOKEN.finditer(text):
+            word = m.group(1)
+            if word in _SEPARATORS:
+                fresh = True
+            elif fresh:
+                if word in known and not known[word].startswith(word):
+                    out += [text[at : m.start(1)], known[word]]
+                    at = m.end(1)
+                fresh = False
+        if not out:
+            break
+        text = "".join([*out, text[at:]])
+        if len(text) > GROWTH_CHARS:
+            break
+    return text
+
+
 def collapse(path: str) -> str:
     """`a/b/../c` as `a/c`."""
     while True:
@@ -366,9 +402,10 @@ def read(text: str) -> tuple[list[Line], dict[str, str], dict[str, list[str]]]:
     scope(lines)
     logical = joined(lines)
     scalars, arrays = assignments(logical)
-    room = Room()
+    room, called = Room(), aliases(logical)
     for x, own in logical:
         if x.side in ("+", " ", "-"):
+            own = expand_aliases(own, called) if called else own
             x.resolved, x.whole, x.overgrown = room.expand(decode_ansi(own), scalars, arrays)
             x.resolved = collapse(re.sub(r"(?<=\w)(?:''|\"\")(?=\w)", "", x.resolved))
             if "|" in x.resolved and (ends := pipeline_ends(strip_comment(x.resolved))):

@@ -162,6 +162,28 @@ def continued(lines: DataFrame, id_column: str) -> DataFrame:
     return grouped.groupBy(id_column, "_g").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("n_lines")).drop("_g")
 
 
+def compacted(lines: DataFrame, id_column: str) -> DataFrame:
+    """id, idx, body: logical lines without outer white space, empty ones left out, numbered anew from 0."""
+    w = Window.partitionBy(id_column).orderBy("idx")
+    open_ = F.length(F.regexp_extract("body", r"\\+$", 0)) % 2 == 1
+    grouped = lines.withColumns({"_o": open_, "_s": F.coalesce(~F.lag(open_).over(w), F.lit(True)).cast("int")}).withColumn("_g", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = F.when(F.col("_o"), F.concat(F.regexp_replace("body", r"\\$", ""), F.lit(" "))).otherwise(F.col("body"))
+    # A group is one logical line.
+    whole = grouped.groupBy(id_column, "_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", part.alias("t")))), lambda x: x["t"]), "").alias("body"))
+    kept = whole.withColumn("body", F.btrim("body", F.lit(" \t\x0b\x0c\r"))).where("body <> ''")
+    return kept.select(id_column, (F.row_number().over(Window.partitionBy(id_column).orderBy("_g")) - 1).alias("idx"), "body")
+
+
+def is_trivial() -> Column:
+    """Of facts: does a diff change nothing but version and checksums, and sources only with the version."""
+    lists = ("depends_added", "depends_removed", "makedepends_added", "makedepends_removed", "functions_changed", "keys_added", "keys_removed", "registry_installs")
+    still = ~(F.col("sums_removed") | F.col("sums_skipped") | F.col("sums_emptied") | F.col("epoch_added") | F.col("computed_sources") | F.col("hook_declared"))
+    for c in lists:
+        still &= F.size(c) == 0
+    host = lambda side: F.array_distinct(F.transform(f"{side}_urls", lambda u: F.regexp_extract(u, "://([^/?#]+)", 1)))
+    return F.col("version_changed") & still & (F.size(F.array_except(host("added"), host("removed"))) == 0)
+
+
 def srcinfo(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, key, place, value: the distinct values of each key of a `key = value` text, in their order."""
     pair = text_lines(docs, id_column, text_column).select(

@@ -50,3 +50,21 @@ def walk(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
         front = stage_table(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("level"), "parent"), "level")
         seen = seen.unionByName(front)
     return seen
+
+
+def chain_order(commits: DataFrame, sha: str, parent: str) -> DataFrame:
+    """commits with `place`: how many ancestors each has along its parents, so that parents come before children.
+
+    By pointer doubling: every round each row jumps twice as far, so a chain of n commits takes log2(n) joins. A parent that is not
+    among the commits, or NULL, ends a chain; rows of a cycle have NULL.
+    """
+    known = commits.select(F.col(sha).alias("s"), F.col(parent).alias("p")).where("s IS NOT NULL").dropDuplicates(["s"])
+    there = known.select(F.col("s").alias("p"), F.lit(True).alias("known"))
+    rows = stage_table(known.join(there, "p", "left").select("s", F.when(F.col("known"), F.col("p")).alias("jump"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("place")), "chain")
+    longest = rows.count()
+    reach = 1
+    while reach <= longest and rows.where("jump IS NOT NULL").limit(1).count():
+        ahead = rows.select(F.col("s").alias("jump"), F.col("jump").alias("further"), F.col("place").alias("more"))
+        rows = stage_table(rows.join(ahead, "jump", "left").select("s", F.col("further").alias("jump"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")), "chain")
+        reach *= 2
+    return commits.join(rows.select(F.col("s").alias(sha), F.when(F.col("jump").isNull(), F.col("place")).alias("place")), sha, "left")

@@ -39,6 +39,28 @@ def scores(findings: DataFrame, subject: str) -> DataFrame:
     return out.select(subject, score.alias("score"), "n_findings", F.col("_worst.severity").alias("worst"))
 
 
+def weighted_scores(findings: DataFrame, subject: str, overrides: dict[str, int] | None = None, modifiers: DataFrame | None = None, novelty: DataFrame | None = None) -> DataFrame:
+    """Per subject of any of the inputs: score, n_findings, worst.
+
+    The sum of the findings' weights (by severity, or a rule's own where `overrides` names it), the largest positive modifier (subject,
+    modifier), and of each novelty (subject, weight, n) the whole part of weight times maturity(n); between 0 and 100. FATAL is 100 at once.
+    """
+    weight = severity_weight(F.col("severity"))
+    for rule, own in (overrides or {}).items():
+        weight = F.when(F.col("rule_id") == rule, own).otherwise(weight)
+    rank = F.array_position(F.array(*(F.lit(s) for s in ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL", "FATAL"))), F.col("severity"))
+    none = F.lit(None)
+    rows = findings.select(subject, weight.cast("long").alias("w"), F.struct(rank, "severity").alias("s"), none.cast("int").alias("m"))
+    empty = none.cast(rows.schema["s"].dataType)
+    if modifiers is not None:
+        rows = rows.unionByName(modifiers.where("modifier > 0").select(subject, none.cast("long").alias("w"), empty.alias("s"), F.col("modifier").cast("int").alias("m")))
+    if novelty is not None:
+        rows = rows.unionByName(novelty.select(subject, F.floor(F.col("weight") * maturity(F.col("n"))).cast("long").alias("w"), empty.alias("s"), none.cast("int").alias("m")))
+    out = rows.groupBy(subject).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.coalesce(F.max("m"), F.lit(0)).alias("m"), F.max("s").alias("s"), F.count("s").alias("n_findings"))
+    score = F.when(F.col("s.severity") == "FATAL", 100).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), F.col("w") + F.col("m"))))
+    return out.select(subject, score.cast("int").alias("score"), "n_findings", F.coalesce("s.severity", F.lit("INFO")).alias("worst"))
+
+
 def density(findings: DataFrame, subject: str, least: int = 3) -> DataFrame:
     """Subjects whose findings span at least `least` categories: subject, n_categories."""
     return findings.groupBy(subject).agg(F.count_distinct("category").alias("n_categories")).where(F.col("n_categories") >= least)

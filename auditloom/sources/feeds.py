@@ -95,11 +95,32 @@ def write_artifact(rows: DataFrame, folder: str, key: str) -> str:
     """
     lines = rows.select(F.col(key).alias("_k"), canonical_json(F.struct(*sorted(rows.columns))).alias("value"))
     lines.repartitionByRange("_k").sortWithinPartitions("_k", "value").select("value").write.mode("overwrite").text(folder)
+    return _lines_hash(lines)
+
+
+def _lines_hash(lines: DataFrame) -> str:
     parts = [F.conv(F.substring(F.sha2("value", 256), 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
     sums = lines.agg(*(F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"s{i}") for i, p in enumerate(parts)), F.count(F.lit(1)).alias("n")).first()
     return hashlib.sha256(json.dumps([*sums], default=str).encode()).hexdigest()
 
 
+def read_artifact(spark: SparkSession, folder: str, schema: str, expected: str) -> DataFrame:
+    """The rows of an artifact that write_artifact() wrote; a ValueError if its lines do not give the expected hash."""
+    lines = spark.read.text(folder)
+    if _lines_hash(lines) != expected:
+        raise ValueError(f"{folder} is not the artifact that was expected")
+    kind = spark.createDataFrame([], schema).schema
+    return lines.select(F.from_json("value", kind).alias("r")).select("r.*")
+
+
+METADATA = "Name string, PackageBase string, Maintainer string, Version string, LastModified long, FirstSubmitted long, URL string, Depends array<string>, MakeDepends array<string>, CheckDepends array<string>, OptDepends array<string>, Provides array<string>, Replaces array<string>"
+
+
+def read_metadata_dump(spark: SparkSession, path: str) -> DataFrame:
+    """A registry dump: files of one JSON array of packages each, plain or compressed by gzip; entries without a name are left out. A file is read by one task, so a large dump should come in several."""
+    return spark.read.schema(METADATA).option("multiLine", "true").json(path).where("Name IS NOT NULL")
+
+
 def bounded_bytes(text: Column, limit: int) -> Column:
     """Is the text longer than so many bytes: such a diff is flagged, not cut."""
     return F.octet_length(text) > limit

@@ -153,3 +153,32 @@ def test_summary_lists_all(spark):
     names = [f"dep{i}" for i in range(9)]
     df = spark.createDataFrame([(1, "--- a/PKGBUILD\n+++ b/PKGBUILD\n@@ -1 +1,2 @@\n pkgname=x\n+depends=(" + " ".join(names) + ")\n")], "id long, text string")
     assert reports.summary(diffs.diff_facts(df, "id", "text"), "id").first().changes == "adds dependency " + ", ".join(names)
+
+
+def test_artifact_comes_back(spark, tmp_path):
+    from auditloom.sources.feeds import read_artifact, write_artifact
+
+    rows = spark.createDataFrame([("a", 1, None), ("b", None, ["x"])], "k string, n long, l array<string>")
+    own = write_artifact(rows, f"{tmp_path}/art", "k")
+    back = read_artifact(spark, f"{tmp_path}/art", "k string, n long, l array<string>", own)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(ValueError):
+        read_artifact(spark, f"{tmp_path}/art", "k string", "0" * 64)
+
+
+def test_metadata_dump(spark, tmp_path):
+    import gzip
+    import json
+
+    from auditloom.sources.feeds import read_metadata_dump
+
+    (tmp_path / "dump.json.gz").write_bytes(gzip.compress(json.dumps([{"Name": "a", "Version": "1-1", "Depends": ["b"], "Other": 1}, {"Version": "2"}]).encode()))
+    assert [(r.Name, r.Version, r.Depends, r.Maintainer) for r in read_metadata_dump(spark, str(tmp_path)).collect()] == [("a", "1-1", ["b"], None)]
+
+
+def test_chains_without_an_end(spark):
+    from auditloom.operators.graph import chain_order
+
+    rows = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone"), (None, "a")], "sha string, parent string")
+    assert {r.sha: r.place for r in chain_order(rows, "sha", "parent").collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": 0, None: None}
+    assert chain_order(rows.limit(0), "sha", "parent").count() == 0
