@@ -13,13 +13,12 @@ from typing import NamedTuple
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.sources.work import spread
+from auditloom.sources.work import slices, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pattern that splits text before the merges, as published with the vocabulary; white space by Unicode's property.
@@ -159,18 +158,6 @@ class WordEncoder:
         return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
 
 
-def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch's rows with at most so many bytes of text each, or one row."""
-    start = size = 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        if i > start and size + (n or 0) > most_bytes:
-            yield start, i
-            start, size = i, 0
-        size += n or 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_corpus(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per document with the ids of its text, without special tokens.
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions.text import name_key
-from auditloom.llm.byte_pairs import VOCABULARY, WordEncoder, load_merges, slices
-from auditloom.sources.work import spread, stage_table
+from auditloom.llm.byte_pairs import VOCABULARY, WordEncoder, load_merges
+from auditloom.sources.work import slices, spread, stage_table
 
 
 class Flow:

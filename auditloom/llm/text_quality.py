@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions.text import trimmed
-from auditloom.llm.byte_pairs import slices
 from auditloom.llm.quality_examples import EXAMPLES
-from auditloom.sources.work import spread, stage_table
+from auditloom.sources.work import slices, spread, stage_table
 
 CLASSES = ("prose", "list", "table", "junk")
 STATISTICS = (
