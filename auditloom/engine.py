@@ -73,13 +73,20 @@ class Engine:
         return self._read("snapshots", "name string, version string, maintainer string, snapshot_time long")
 
     def refresh_corpus(self, packages: DataFrame, snapshot_time: int, **thresholds: float) -> DataFrame:
-        """Take in a registry snapshot (name, version, maintainer) and give the findings of the sweep against the one before."""
+        """Take in a registry snapshot (name, version, maintainer) and give the findings of the sweep against the one before.
+
+        Snapshots come in the order of their times. Two are read; of the others only the counts that were kept when they came in.
+        """
         rows = packages.select(name_key(F.col("name")).alias("name"), F.col("version"), F.coalesce(name_key(F.col("maintainer")), F.lit("")).alias("maintainer")).where("name IS NOT NULL")
         feeds.write_snapshot(rows, f"{self.store}/snapshots", snapshot_time)
-        every = self._snapshots().where(F.col("snapshot_time") <= snapshot_time)
-        raw = every.select(F.col("snapshot_time").alias("snapshot_no"), F.lit(1).alias("delivery_no"), "name", F.col("version").alias("current_version"), F.col("maintainer").alias("current_maintainer"))
-        found = sweep.corpus_findings(corpus.held_snapshots(raw), **thresholds)
-        return found.where(F.col("snapshot_no") == snapshot_time)
+        every = self._snapshots()
+        before = every.where(F.col("snapshot_time") < snapshot_time).agg(F.max("snapshot_time")).first()[0]
+        two = every.where(F.col("snapshot_time").isin([snapshot_time] + ([before] if before is not None else [])))
+        raw = two.select(F.col("snapshot_time").alias("snapshot_no"), F.lit(1).alias("delivery_no"), "name", F.col("version").alias("current_version"), F.col("maintainer").alias("current_maintainer"))
+        held = corpus.held_snapshots(raw)
+        sweep.cycle_counts(held).drop("snapshot_no").write.mode("overwrite").parquet(f"{self.store}/counts/snapshot_no={snapshot_time}")
+        past = self._read("counts", "maintainer string, k long, snapshot_no long").where(F.col("snapshot_no") < snapshot_time)
+        return sweep.corpus_findings(held, past=past, **thresholds).where(F.col("snapshot_no") == snapshot_time)
 
     def watch(self, folder: str, every: str | None = None) -> None:
         """Take in the snapshots that arrive in a folder (with a column snapshot_time), one file at a time, and keep their findings."""

@@ -79,6 +79,8 @@ def strip_comment(line: str) -> str:
     >>> strip_comment("make # all"), strip_comment("echo '#1' a#b")
     ('make ', "echo '#1' a#b")
     """
+    if "#" not in line:
+        return line
     quote = ""
     for i, c in enumerate(line):
         if quote:

@@ -25,20 +25,31 @@ def _found(rows: DataFrame, rule: str, severity: str, subject: str, n: Column) -
     return rows.select("snapshot_no", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.col(subject).cast("string").alias("subject"), n.cast("long").alias("n"))
 
 
-def corpus_findings(held: DataFrame, adoption: int = 10, burst: int = 5, activity: int = 3, history: int = 3, far: float = 3.0, near: float = 2.0) -> DataFrame:
+def cycle_counts(held: DataFrame) -> DataFrame:
+    """snapshot_no, maintainer, k: per snapshot the packages added (maintainer NULL) and those added or modified by each maintainer."""
+    changes = cycle_changes(held).where("status <> 'removed'")
+    n = F.count(F.lit(1)).alias("k")
+    added = changes.where("status = 'added'").groupBy("snapshot_no").agg(n).select("snapshot_no", F.lit(None).cast("string").alias("maintainer"), "k")
+    return added.unionByName(changes.where("maintainer <> ''").groupBy("snapshot_no", "maintainer").agg(n))
+
+
+def corpus_findings(held: DataFrame, adoption: int = 10, burst: int = 5, activity: int = 3, history: int = 3, far: float = 3.0, near: float = 2.0, past: DataFrame | None = None) -> DataFrame:
     """snapshot_no, rule_id, severity, subject, n: every detector over the changes between snapshots.
 
     R090 another maintainer, R071 one who had no package before, R126 changed hands and version at once (per new maintainer), R092
     `adoption` packages added by one maintainer, R105 `burst` modified by one, R125 packages added far off all snapshots before, R108 a
     maintainer's activity off their own. Deviations need `history` earlier snapshots. Removed packages count for none of them.
+    past: cycle_counts() of earlier snapshots than those held, so that two snapshots are enough to judge the newest.
     """
     changes = cycle_changes(held).where("status <> 'removed'")
     moves = corpus.transitions(held).where("new_maintainer <> ''")
     one = F.lit(1)
     by = lambda rows: rows.where("maintainer <> ''").groupBy("snapshot_no", "maintainer").agg(F.count(F.lit(1)).alias("k"))
     added, modified = changes.where("status = 'added'"), changes.where("status = 'modified'")
-    introduced = corpus.period_deviation(added.groupBy("snapshot_no").agg(F.count(F.lit(1)).alias("k")), [], "snapshot_no", "k", history)
-    active = corpus.period_deviation(by(changes), ["maintainer"], "snapshot_no", "k", history)
+    counts = cycle_counts(held)
+    counts = counts if past is None else counts.unionByName(past.select(*counts.columns))
+    introduced = corpus.period_deviation(counts.where("maintainer IS NULL").drop("maintainer"), [], "snapshot_no", "k", history)
+    active = corpus.period_deviation(counts.where("maintainer IS NOT NULL"), ["maintainer"], "snapshot_no", "k", history)
     parts = [
         _found(moves, "R090", "MEDIUM", "name", one),
         _found(corpus.takeovers(held), "R071", "HIGH", "name", one),

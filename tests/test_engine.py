@@ -37,3 +37,19 @@ def test_watch(spark, tmp_path):
     assert {r.rule_id for r in engine.history().collect()} == {"R071", "R090"}
     engine.watch(str(tmp_path / "in"))
     assert engine.history().count() == 2
+
+
+def test_counts_of_earlier_snapshots_are_kept(spark, tmp_path):
+    """Each refresh reads two snapshots and finds what a sweep over all of them does."""
+    from auditloom.operators import corpus, sweep
+
+    engine = Engine(spark, str(tmp_path / "store"))
+    rows, found = [], []
+    for at in range(1, 7):
+        n = 3 * at if at < 6 else 60
+        own = [(f"p{i}", "1", "ann") for i in range(n)]
+        rows += [(at, 1, *r) for r in own]
+        found += [(r.snapshot_no, r.rule_id, r.subject, r.n) for r in engine.refresh_corpus(spark.createDataFrame(own, "name string, version string, maintainer string"), at, adoption=50).collect()]
+    raw = spark.createDataFrame(rows, "snapshot_no long, delivery_no int, name string, current_version string, current_maintainer string")
+    whole = [(r.snapshot_no, r.rule_id, r.subject, r.n) for r in sweep.corpus_findings(corpus.held_snapshots(raw), adoption=50).collect()]
+    assert sorted(found) == sorted(whole) and {"R125", "R108"} <= {r[1] for r in found}
