@@ -1,9 +1,11 @@
 """Queries of the line engine: lines, rules, findings, scores, coverage."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.operators import dataflow, diffs, rules, scoring
+from auditloom.operators import dataflow, diffs, rules, scoring, trees
 from auditloom.operators.rules import Rule
 from auditloom.sources import stage_table, table
 
@@ -220,18 +222,24 @@ def composed(found: DataFrame, id_column: str) -> DataFrame:
     return first
 
 
-def audit(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Diffs to scores: findings of lines, whole diffs, flows, payloads and compositions, united, scored, banded, with what could not be read.
+def audit(docs: DataFrame, id_column: str, text_column: str, tree: DataFrame | None = None, others: DataFrame | None = None, notes: DataFrame | None = None, rule_set: tuple[Rule, ...] = rules.RULES) -> DataFrame:
+    """Diffs to scores: findings of lines, whole diffs, flows, payloads, trees, the registry and compositions, united, scored, banded, with what could not be read.
 
-    Result: the id, score, n_findings, worst, band, rules (sorted), gaps. Diffs without a finding have score 0.
+    tree: id, path and, if there, head and content of the files committed beside each diff. others: id, rule_id, severity, category; what
+    further detectors found of the same ids (registry, graph, adoption, indicators). notes: id, gap, see coverage_gaps. Result: the id,
+    score, n_findings, worst, band, rules (sorted), gaps. Diffs without a finding have score 0; findings and notes of other ids are left out.
     """
     lines, facts, actions = dataflow.diff_parts(docs, id_column, text_column)
-    own = [f.select(id_column, "rule_id", "severity", "category") for f in (rules.findings(lines, id_column), rules.structural(facts, id_column), dataflow.flow_findings(actions, id_column))]
-    found = stage_table(own[0].unionByName(own[1]).unionByName(own[2]), "findings")
+    own = [rules.findings(lines, id_column, rule_set), rules.structural(facts, id_column), dataflow.flow_findings(actions, id_column, tree)]
+    if tree is not None and "head" in tree.columns:
+        own.append(trees.tree_findings(tree, id_column, actions.where("kind = 'declared'")))
+    if others is not None:
+        own.append(others.join(facts.select(id_column), id_column, "left_semi"))
+    found = stage_table(reduce(DataFrame.unionByName, (f.select(id_column, "rule_id", "severity", "category") for f in own)).distinct(), "findings")
     found = stage_table(found.unionByName(composed(found, id_column)), "composed")
     # A diff has at most one finding of each rule, so the lists are as long as the catalogue.
     named = found.groupBy(id_column).agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
-    scored = facts.select(id_column).join(scoring.scores(found, id_column), id_column, "left").join(named, id_column, "left").join(diffs.coverage_gaps(facts, id_column), id_column, "left")
+    scored = facts.select(id_column).join(scoring.scores(found, id_column), id_column, "left").join(named, id_column, "left").join(diffs.coverage_gaps(facts, id_column, notes), id_column, "left")
     filled = scored.select(
         id_column, F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"), F.coalesce("worst", F.lit("INFO")).alias("worst"), F.coalesce("rules", F.lit("")).alias("rules"),
         F.coalesce(F.array_join("gaps", ","), F.lit("")).alias("gaps"),

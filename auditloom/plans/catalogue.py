@@ -230,3 +230,13 @@ def alias_hits(spark: SparkSession, d: str) -> DataFrame:
     """An alias is put in where a command stands."""
     docs = spark.createDataFrame([(i, planted.diff(*own)) for i, own, _ in _ALIASED], "id int, text string")
     return rules.findings(diffs.diff_lines(docs, "id", "text"), "id").where("rule_id = 'R001'").select("id", "rule_id")
+
+
+@_query("SELECT * FROM (VALUES (1, 80, 'HIGH', 'High', 'D001,R060,R072,R118,R136,R141', 'stage_degraded'), (2, 0, 'INFO', 'Inconclusive', 'R060,W001', 'deps_not_scanned')) AS v(id, score, worst, band, rules, gaps)")
+def audit_in_context(spark: SparkSession, d: str) -> DataFrame:
+    """Diffs with their trees, what the registry's detectors found, and what others could not read."""
+    docs = spark.createDataFrame([(i, planted.diff("build() {", "  sh kept.sh", "}")) for i in (1, 2)], "id int, text string")
+    tree = spark.createDataFrame([(1, "sub/kept.sh", bytearray(b"#!/bin/sh")), (1, "bin/tool", bytearray(b"\x7fELF12"))], "id int, path string, head binary")
+    others = spark.createDataFrame([(1, "D001", "MEDIUM", "dependency"), (1, "R141", "MEDIUM", "takeover"), (9, "D001", "MEDIUM", "dependency")], "id int, rule_id string, severity string, category string")
+    notes = spark.createDataFrame([(1, "stage_degraded"), (1, "no such gap"), (2, "deps_not_scanned"), (9, "diff_truncated")], "id int, gap string")
+    return audit(docs, "id", "text", tree, others, notes).select("id", "score", "worst", "band", "rules", "gaps")
