@@ -154,12 +154,13 @@ def store(properties: DataFrame, checkpoint_every: int = 16, parts: int | None =
     """The checkpoint-delta storage of all properties, written into the shared folder.
 
     Rows: `checkpoint` (all attributes), `patch` (`changed` names the attributes that it sets) and one `edge` per part. Partition i
-    writes part 2i and, for its last moment, part 2i+1. Of one moment of one property the highest obs_id holds (NULL is lowest, then the value).
+    writes part 2i and, for its last moment, part 2i+1. Of one moment of one property the highest obs_id holds (NULL is lowest; of rows with one obs_id the value of the highest digest).
     """
     spark = properties.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*_MOMENT, "obs_id", "value"]
-    spread = observations(properties).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # The bounds of ranges go to the driver, so they hold a digest of the value, however long it is.
+    order = [*map(F.col, _MOMENT), F.col("obs_id"), F.xxhash64("value")]
+    spread = observations(properties).repartitionByRange(n, *order).sortWithinPartitions(*order, "value")
     return stage_table(spread.mapInArrow(_compress(checkpoint_every), _STORE), "history")
 
 
