@@ -1,6 +1,6 @@
 """Bounded graph operators: edges, closures, exposure. Every hop is an equi-join; nodes keep their least distance only."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.sources.work import stage_table
@@ -32,10 +32,75 @@ def closure(edges: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
+def _ranked(lists: DataFrame) -> DataFrame:
+    """node, member, and the place (from 1) of each member among its node's, by name."""
+    return lists.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("member")))
+
+
+def _firsts(wanted: DataFrame, edges: DataFrame, ranked: DataFrame) -> DataFrame:
+    """node, member: of each target of a wanted node (node, k) the first k members. Each row that comes out is one that was asked for by its place."""
+    sizes = ranked.groupBy(F.col("node").alias("dst")).agg(F.max("place").alias("size"))
+    asked = wanted.join(edges.select(F.col("src").alias("node"), "dst"), "node").join(sizes, "dst")
+    asked = asked.select("node", "dst", F.explode(F.expr("sequence(1, cast(least(k, size) as int))")).alias("place"))
+    return asked.join(ranked.select(F.col("node").alias("dst"), "member", "place"), ["dst", "place"]).select("node", "member").distinct()
+
+
+def _lists(wanted: DataFrame, edges: DataFrame, direct: DataFrame, steps: int) -> DataFrame:
+    """node, member, place: the first k marked nodes that each wanted node (node, k) reaches by a path of so many steps. direct has those of one step."""
+    if steps == 1:
+        return direct
+    asked = wanted.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("k").alias("k"))
+    ranked = _ranked(_firsts(wanted, edges, _lists(asked, edges, direct, steps - 1)))
+    return ranked.join(wanted, "node").where("place <= k").select("node", "member", "place")
+
+
+def _walked(starts: DataFrame, edges: DataFrame, ends: DataFrame, steps: int) -> DataFrame:
+    """src, dst: each start (column `node`) and each end (column `node`) to which a path of so many steps leads."""
+    front = edges.join(starts.select(F.col("node").alias("src")), "src", "left_semi")
+    for k in range(2, steps + 1):
+        step = edges.join(ends.select(F.col("node").alias("dst")), "dst", "left_semi") if k == steps else edges
+        front = front.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
+    return front
+
+
+#: Sources with more nearer marked nodes than this walk forward: what they ask for would make long lists for all nodes on their way.
+_FEW = 8
+
+
 def exposure(edges: DataFrame, marked: DataFrame, hops: int, least: int = 2) -> DataFrame:
-    """src, via, distance: of each source the nearest marked node (column `node`) at least `least` hops away, the first by name among equals."""
-    near = closure(edges, hops).where(F.col("distance") >= least).join(marked.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
-    return near.groupBy("src").agg(F.min(F.struct("distance", "dst")).alias("m")).select("src", F.col("m.dst").alias("via"), F.col("m.distance").alias("distance"))
+    """src, via, distance: of each source the nearest marked node (column `node`) at least `least` hops away, the first by name among equals.
+
+    No closure: a source with x marked nodes nearer than `least` (itself among them) needs of each target's sorted marked nodes
+    only the first x+1, of which one at least is new if any is. A source that finds one is done; for the others the same x stay excluded.
+    Beyond two hops such lists are passed on from node to node only for sources of small x; the few others find the last node but one first.
+    """
+    edges = stage_table(edges.select("src", "dst"), "edges")
+    marks = marked.where("node IS NOT NULL").select(F.col("node").alias("dst")).distinct()
+    lists = edges.join(marks, "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("member")).distinct()
+    direct = stage_table(_ranked(lists), "marked")
+    lists = direct.select("node", "member")
+    near = edges.select("src").distinct().select(F.col("src").alias("node"), F.col("src").alias("member"))
+    for k in range(1, least):
+        lists = lists if k == 1 else edges.select(F.col("src").alias("node"), "dst").join(lists.select(F.col("node").alias("dst"), "member"), "dst").select("node", "member").distinct()
+        near = near.unionByName(lists)
+    near = stage_table(near.distinct(), "near") if least > 1 else near
+    open_ = near.groupBy("node").agg((F.count(F.lit(1)) + 1).alias("k"))
+    out = near.where(F.lit(False)).select(F.col("node").alias("src"), F.col("member").alias("via"), F.lit(0).alias("distance"))
+    for k in range(least, hops + 1):
+        if k == 1:
+            found = direct.select("node", "member")
+        elif k == 2:
+            found = _firsts(open_, edges, direct)
+        else:
+            few, many = open_.where(F.col("k") <= _FEW), open_.where(F.col("k") > _FEW)
+            asked = few.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("k").alias("k"))
+            forward = _walked(many, edges, direct.select("node").distinct(), k - 1)
+            found = _firsts(few, edges, _lists(asked, edges, direct, k - 1)).unionByName(_firsts(many, forward, direct))
+        best = found.join(near, ["node", "member"], "left_anti").groupBy("node").agg(F.min("member").alias("via"))
+        best = stage_table(best.join(open_.select("node"), "node", "left_semi").select(F.col("node").alias("src"), "via", F.lit(k).alias("distance")), "exposed")
+        out = out.unionByName(best)
+        open_ = open_.join(best.select(F.col("src").alias("node")), "node", "left_anti")
+    return out
 
 
 def walk(edges: DataFrame, roots: DataFrame, levels: int) -> DataFrame:
