@@ -47,3 +47,15 @@ def test_exposure_over_a_hub_stages_no_pairs(spark, monkeypatch):
     got = graph.exposure(spark.createDataFrame(edges, "src string, dst string"), marked, 3).collect()
     assert {(r.src, r.via, r.distance) for r in got} == {(f"s{i:03}", "t000", 2) for i in range(300)}
     assert max(counts) <= 1200
+
+
+def test_exposure_of_a_source_with_many_marked_neighbours_stages_no_pairs(spark, monkeypatch):
+    """A library leads to 300 users, most of them marked, these to a second library and that to 300 more: only the third hop leads to a new marked node."""
+    counts: list[int] = []
+    _staged_rows(monkeypatch, counts)
+    near, far = [f"u{i:03}" for i in range(300)], [f"w{i:03}" for i in range(300)]
+    edges = [("lib", u) for u in near] + [(u, "other") for u in near] + [("other", w) for w in far]
+    marked = near[:280] + far
+    got = graph.exposure(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(x,) for x in marked], "node string"), 3).collect()
+    assert {(r.src, r.via, r.distance) for r in got} == {("lib", "w000", 3)} | {(u, "w000", 2) for u in near}
+    assert max(counts) <= 1800
