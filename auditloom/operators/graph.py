@@ -1,5 +1,11 @@
-"""Bounded graph operators: edges, closures, exposure. Every hop is an equi-join; nodes keep their least distance only."""
+"""Bounded graph operators: edges, closures, exposure. Nodes keep their least distance only."""
 
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +23,84 @@ def in_degree(edges: DataFrame, least: int) -> DataFrame:
     return edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+#: A graph of more edges than this is not handed to single tasks as a whole.
+_MOST_EDGES = 4_000_000
+#: Targets in one row on their way from Python.
+_TARGETS = 4096
+
+
 def closure(edges: DataFrame, hops: int) -> DataFrame:
     """src, dst, distance: the least number of hops, up to `hops`, from each source to all it reaches. A source doesn't reach itself.
 
-    Each round joins only the pairs that the last round found first, and its result is written before the next.
+    The pairs may be the square of the nodes, so they are neither shuffled nor written in between. Blocks of sources each get the whole graph,
+    number its nodes and spread 64 sources at once over it, one bit of a word each. What is shuffled is the edges times the blocks. A graph too large for
+    one task is joined hop by hop instead.
     """
+    edges = stage_table(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "edges")
+    if edges.count() > _MOST_EDGES:
+        return _joined(edges, hops)
+    blocks = max(1, min(edges.select("src").distinct().count() // 256, 2 * edges.sparkSession.sparkContext.defaultParallelism))
+    copies = edges.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartitionById(blocks, F.col("block"))
+    found = copies.mapInArrow(_reach(hops, blocks), "src string, distance int, found array<string>")
+    return found.select("src", F.explode("found").alias("dst"), "distance")
+
+
+def _reach(hops: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow over (src, dst, block): src, distance and up to some thousands of what it reaches first at that distance, for the sources of the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, kept = set(), []
+        for batch in batches:
+            block = batch.column(2)
+            own.update(pc.unique(block).to_pylist())
+            kept.append(batch.filter(pc.equal(block, min(own))) if len(own) > 1 else batch)
+        if not own:
+            return
+        # A partition with several blocks has the edges several times; those of its least block are all of them.
+        table = pa.Table.from_batches(kept)
+        table = table.filter(pc.equal(table.column(2), min(own)))
+        m = table.num_rows
+        coded = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes[m:], kind="stable")
+        a, b = codes[:m][order], codes[m:][order]
+        targets, starts = np.unique(b, return_index=True)
+        # By name, as numbers differ between tasks.
+        mine = [s for s in np.unique(a) if zlib.crc32(names[int(s)].as_py().encode()) % blocks in own]
+        rows: list[tuple[int, int, np.ndarray]] = []
+        for i in range(0, len(mine), 64):
+            # Bit j of a node's word: is it reached from the j-th of these sources.
+            word = np.zeros(len(names), np.uint64)
+            for j, s in enumerate(mine[i : i + 64]):
+                word[s] |= np.uint64(1 << j)
+            seen = word.copy()
+            for k in range(1, hops + 1):
+                new = np.zeros(len(names), np.uint64)
+                new[targets] = np.bitwise_or.reduceat(word[a], starts)
+                word = new & ~seen
+                seen |= word
+                some = np.flatnonzero(word)
+                bits = word[some]
+                for j, s in enumerate(mine[i : i + 64]):
+                    found = some[(bits >> np.uint64(j)) & np.uint64(1) != 0]
+                    rows += [(s, k, found[x : x + _TARGETS]) for x in range(0, len(found), _TARGETS)]
+                    if sum(len(r[2]) for r in rows) >= 64 * _TARGETS:
+                        yield _pairs(names, rows)
+                        rows = []
+        if rows:
+            yield _pairs(names, rows)
+
+    return run
+
+
+def _pairs(names: pa.Array, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *(len(r[2]) for r in rows)])
+    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(np.concatenate([r[2] for r in rows]))))
+    return pa.RecordBatch.from_arrays([names.take(pa.array([int(r[0]) for r in rows])), pa.array([r[1] for r in rows], pa.int32()), found], names=["src", "distance", "found"])
+
+
+def _joined(edges: DataFrame, hops: int) -> DataFrame:
+    """The closure by joins. Each round joins only the pairs that the last round found first, and its result is written before the next."""
     reached = edges.select("src", "dst", F.lit(1).alias("distance"))
     front = reached
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))

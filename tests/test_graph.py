@@ -59,3 +59,22 @@ def test_exposure_of_a_source_with_many_marked_neighbours_stages_no_pairs(spark,
     got = graph.exposure(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(x,) for x in marked], "node string"), 3).collect()
     assert {(r.src, r.via, r.distance) for r in got} == {("lib", "w000", 3)} | {(u, "w000", 2) for u in near}
     assert max(counts) <= 1800
+
+
+def test_closure_over_a_hub_stages_no_pairs(spark, monkeypatch):
+    counts: list[int] = []
+    _staged_rows(monkeypatch, counts)
+    edges = [(f"s{i:03}", "hub") for i in range(300)] + [("hub", f"t{i:03}") for i in range(300)]
+    got = graph.closure(spark.createDataFrame(edges, "src string, dst string"), 3)
+    assert {tuple(r) for r in got.select("src", "dst", "distance").collect()} == {(a, b, 1) for a, b in edges} | {(f"s{i:03}", f"t{j:03}", 2) for i in range(300) for j in range(300)}
+    assert max(counts) <= 600
+
+
+def test_closure_by_bits_equals_joins(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = {(a, b) for a, b in ((f"n{rng.randrange(600):03}", f"n{rng.randrange(600):03}") for _ in range(1200)) if a != b}
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    bits = graph.closure(df, 3).select("src", "dst", "distance").collect()
+    monkeypatch.setattr(graph, "_MOST_EDGES", 10)
+    joins = graph.closure(df, 3).select("src", "dst", "distance").collect()
+    assert len(bits) == len(set(bits)) and set(bits) == set(joins)
