@@ -42,15 +42,35 @@ def undeclared_hosts(metadata: DataFrame, recipe: DataFrame, subject: str) -> Da
     return metadata.select(subject, "host").distinct().join(recipe.select(subject, "host").distinct(), [subject, "host"], "left_anti")
 
 
-def near_names(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
-    """Names one (below 8 characters) or two edits from a popular name, a swap of neighbours being one: name, target, distance.
+#: Names of more characters than this are compared by their pieces, which are long then; shorter ones by what deletions leave of them, n(n+1)/2+1 texts each.
+_SHORT = 24
 
-    given and popular: name, n. A target is seen at least `ratio` times as often as the name and is no variant of it (-git, -bin and so on); names of
-    fewer than four characters have none. The nearest target comes out, then the most popular, then the first by name.
-    Candidates share a piece: of a name cut into 2k+1 pieces, k edits leave one as it is, moved by k places at most (a swap may spoil
-    two). So it is an equi-join on (length, place, piece), not a comparison of all pairs.
+
+def _without(name: str, most: Column) -> Column:
+    """Hashes of what is left of a name without up to `most` (1 or 2) of its characters, each once."""
+    one = f"transform(sequence(1, length({name})), i -> xxhash64(concat(substring({name}, 1, i - 1), substring({name}, i + 1))))"
+    two = (
+        f"flatten(transform(sequence(1, length({name}) - 1), i -> transform(sequence(i + 1, length({name})), "
+        f"j -> xxhash64(concat(substring({name}, 1, i - 1), substring({name}, i + 1, j - i - 1), substring({name}, j + 1))))))"
+    )
+    less = F.concat(F.array(F.xxhash64(name)), F.expr(one))
+    return F.array_distinct(F.when((most < 2) | (F.length(name) < 2), less).otherwise(F.concat(less, F.expr(two))))
+
+
+def candidates(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
+    """name, k, target, target_n: pairs that may be k edits apart, each once; all that are, and few that aren't.
+
+    k edits, a swap being one, leave two names with a text in common that lacks at most k characters of either: short names meet by such texts.
+    Of a longer name cut into 2k+1 pieces, k edits leave one as it is, moved by k places at most (a swap may spoil two): those meet by (length, place, piece).
     """
     rows = given.where(F.length("name") >= 4).select("name", "n", names.stem(F.col("name")).alias("stem"), F.when(F.length("name") < 8, 1).otherwise(2).alias("k"))
+    targets = popular.select(F.col("name").alias("target"), F.col("n").alias("target_n"), F.length("name").alias("len"), names.stem(F.col("name")).alias("target_stem"))
+    differ = (F.col("target_n") >= ratio * F.col("n")) & (F.col("target_stem") != F.col("stem"))
+    left = rows.where(F.length("name") <= _SHORT).withColumn("rest", F.explode(_without("name", F.col("k"))))
+    # A target of up to 5 characters is compared with names of one edit only.
+    right = targets.where((F.col("len") >= 3) & (F.col("len") <= _SHORT + 2)).withColumn("rest", F.explode(_without("target", F.when(F.col("len") < 6, 1).otherwise(2))))
+    close = left.join(right, "rest").where(differ & (F.col("name") != F.col("target")) & (F.abs(F.length("name") - F.col("len")) <= F.col("k"))).select("name", "k", "target", "target_n")
+    rows = rows.where(F.length("name") > _SHORT)
     rows = rows.withColumn("parts", 2 * F.col("k") + 1)
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")).withColumn("at", F.expr("cast(floor(length(name) * i / parts) as int)"))
     pieces = pieces.withColumn("piece", F.expr("substring(name, at + 1, cast(floor(length(name) * (i + 1) / parts) as int) - at)")).withColumn("size", F.length("piece")).where("size > 0")
@@ -59,10 +79,19 @@ def near_names(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
     # Which pieces of which targets can be asked for: depends on lengths only, so it is a small table.
     asked = pieces.select(F.length("name").alias("own"), "k", "size", "at").distinct()
     asked = asked.select("size", F.explode(F.expr("sequence(greatest(0, at - k), at + k)")).alias("at"), F.expr("sequence(own - k, own + k)").alias("lens")).withColumn("len", F.explode("lens")).drop("lens").distinct()
-    targets = popular.select(F.col("name").alias("target"), F.col("n").alias("target_n"), F.length("name").alias("len"), names.stem(F.col("name")).alias("target_stem"))
     targets = targets.join(asked, "len").withColumn("piece", F.expr("substring(target, at + 1, size)")).drop("size")
-    pairs = wide.join(targets, ["len", "at", "piece"]).where((F.col("target_n") >= ratio * F.col("n")) & (F.col("target_stem") != F.col("stem")))
-    pairs = pairs.select("name", "k", "target", "target_n").distinct().withColumn("distance", names.osa_distance("name", "target", "k")).where("distance <= k AND distance > 0")
+    pairs = wide.join(targets, ["len", "at", "piece"]).where(differ).select("name", "k", "target", "target_n")
+    return close.unionByName(pairs).distinct()
+
+
+def near_names(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
+    """Names one (below 8 characters) or two edits from a popular name, a swap of neighbours being one: name, target, distance.
+
+    given and popular: name, n. A target is seen at least `ratio` times as often as the name and is no variant of it (-git, -bin and so on); names of
+    fewer than four characters have none. The nearest target comes out, then the most popular, then the first by name.
+    Candidates come of equi-joins (`candidates`), not of a comparison of all pairs.
+    """
+    pairs = candidates(given, popular, ratio).withColumn("distance", names.osa_distance("name", "target", "k")).where("distance <= k AND distance > 0")
     best = pairs.groupBy("name").agg(F.min(F.struct("distance", (-F.col("target_n")).alias("r"), "target")).alias("_b"))
     return best.select("name", F.col("_b.target").alias("target"), F.col("_b.distance").alias("distance"))
 
