@@ -10,6 +10,7 @@ from auditloom.functions import payload
 from auditloom.operators import corpus, dataflow, dependencies, diffs, graph, properties, rule_sets, rules, trees
 from auditloom.plans import cycle, detectors, planted, relational
 from auditloom.plans.audit import audit
+from auditloom.sources.work import stage_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,8 +138,18 @@ def _listed(rule: str, module, name: str, subject: str, condition: str) -> str:
 
 @_query(" UNION ALL ".join(f"SELECT * FROM ({_listed(*r)})" for r in _REGISTRY))
 def registry_findings(spark: SparkSession, d: str) -> DataFrame:
-    """What the detectors over the registry find, as findings of one form that unite with those of diffs and corpus."""
-    return reduce(DataFrame.unionByName, (dependencies.as_findings(m.QUERIES[name](spark, d).where(condition), subject, rule) for rule, m, name, subject, condition in _REGISTRY))
+    """What the detectors over the registry find, as findings of one form that unite with those of diffs and corpus.
+
+    Each detector runs once, on its own, and its findings are written: one plan of all would be too large for the driver.
+    """
+    parts = []
+    for name in dict.fromkeys(r[2] for r in _REGISTRY):
+        own = [r for r in _REGISTRY if r[2] == name]
+        rows = own[0][1].QUERIES[name](spark, d)
+        rows = stage_table(rows, "detected") if len(own) > 1 else rows
+        found = (dependencies.as_findings(rows.where(condition), subject, rule) for rule, _, _, subject, condition in own)
+        parts.append(stage_table(reduce(DataFrame.unionByName, found), "findings"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @_query(relational._EDGES + f""", {relational._HELD.replace('WITH d AS', 'd AS', 1).strip()},
