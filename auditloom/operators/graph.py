@@ -62,23 +62,12 @@ def _reach(hops: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         m = table.num_rows
         coded = pa.chunked_array([*table.column(0).chunks, *table.column(1).chunks]).combine_chunks().dictionary_encode()
         names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(codes[m:], kind="stable")
-        a, b = codes[:m][order], codes[m:][order]
-        targets, starts = np.unique(b, return_index=True)
+        step = _step(codes[:m], codes[m:], len(names))
         # By name, as numbers differ between tasks.
-        mine = [s for s in np.unique(a) if zlib.crc32(names[int(s)].as_py().encode()) % blocks in own]
+        mine = [s for s in np.unique(codes[:m]) if zlib.crc32(names[int(s)].as_py().encode()) % blocks in own]
         rows: list[tuple[int, int, np.ndarray]] = []
         for i in range(0, len(mine), 64):
-            # Bit j of a node's word: is it reached from the j-th of these sources.
-            word = np.zeros(len(names), np.uint64)
-            for j, s in enumerate(mine[i : i + 64]):
-                word[s] |= np.uint64(1 << j)
-            seen = word.copy()
-            for k in range(1, hops + 1):
-                new = np.zeros(len(names), np.uint64)
-                new[targets] = np.bitwise_or.reduceat(word[a], starts)
-                word = new & ~seen
-                seen |= word
+            for k, word in _levels(mine[i : i + 64], len(names), step, hops):
                 some = np.flatnonzero(word)
                 bits = word[some]
                 for j, s in enumerate(mine[i : i + 64]):
@@ -93,6 +82,33 @@ def _reach(hops: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
+def _step(a: np.ndarray, b: np.ndarray, nodes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that moves the bits of all nodes' words over the edges from a to b."""
+    order = np.argsort(b, kind="stable")
+    a = a[order]
+    targets, starts = np.unique(b[order], return_index=True)
+
+    def step(word: np.ndarray) -> np.ndarray:
+        new = np.zeros(nodes, np.uint64)
+        if len(a):
+            new[targets] = np.bitwise_or.reduceat(word[a], starts)
+        return new
+
+    return step
+
+
+def _levels(sources: list[int], nodes: int, step: Callable[[np.ndarray], np.ndarray], hops: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distance with a word for each node; bit j says that the j-th of up to 64 sources first reaches the node at that distance."""
+    word = np.zeros(nodes, np.uint64)
+    for j, s in enumerate(sources):
+        word[s] |= np.uint64(1 << j)
+    seen = word.copy()
+    for k in range(1, hops + 1):
+        word = step(word) & ~seen
+        seen |= word
+        yield k, word
+
+
 def _pairs(names: pa.Array, rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     ends = np.cumsum([0, *(len(r[2]) for r in rows)])
     found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(np.concatenate([r[2] for r in rows]))))
@@ -142,7 +158,67 @@ def _walked(starts: DataFrame, edges: DataFrame, ends: DataFrame, steps: int) ->
     return front
 
 
-#: Sources with more nearer marked nodes than this walk forward: what they ask for would make long lists for all nodes on their way.
+def _searched(sources: DataFrame, count: int, edges: DataFrame, marks: DataFrame, hops: int, least: int) -> DataFrame:
+    """src, via, distance of those of so many sources (column `node`) that are exposed to a marked node (column `node`).
+
+    As for closure(), blocks of sources each get the whole graph; a task keeps only the first marked node of each of its sources.
+    """
+    blocks = max(1, min(count // 256, 2 * edges.sparkSession.sparkContext.defaultParallelism))
+    none = F.lit(None).cast("string")
+    # A marked node is a row without dst, a source one without src in its own block.
+    graph = edges.select("src", "dst").unionByName(marks.select(F.col("node").alias("src"), none.alias("dst")))
+    graph = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own = sources.select(none.alias("src"), F.col("node").alias("dst"), F.pmod(F.hash("node"), F.lit(blocks)).alias("block"))
+    return graph.unionByName(own).repartitionById(blocks, F.col("block")).mapInArrow(_nearest(hops, least), "src string, via string, distance int")
+
+
+def _nearest(hops: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow over the rows of _searched: src, via, distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, kept, sources = None, [], []
+        for batch in batches:
+            start, block = batch.column(0), batch.column(2)
+            sources.append(batch.column(1).filter(pc.is_null(start)))
+            # As in _reach: the graph comes once for each block of the partition, the least block's is kept.
+            rest, block = batch.filter(pc.is_valid(start)), block.filter(pc.is_valid(start))
+            if rest.num_rows:
+                first = min(first, pc.min(block).as_py()) if first is not None else pc.min(block).as_py()
+                kept.append(rest.filter(pc.equal(block, first)))
+        if not kept:
+            return
+        table = pa.Table.from_batches(kept)
+        table = table.filter(pc.equal(table.column(2), first))
+        edge = pc.is_valid(table.column(1))
+        edges, marks = table.filter(edge), table.filter(pc.invert(edge)).column(0)
+        # Marked nodes are numbered first and by name, so that the least number is the first name.
+        marks = marks.take(pc.sort_indices(marks))
+        coded = pa.chunked_array([*marks.chunks, *sources, *edges.column(0).chunks, *edges.column(1).chunks], pa.string()).combine_chunks().dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        n, m = len(marks), edges.num_rows
+        mine = codes[n : len(codes) - 2 * m]
+        step = _step(codes[len(codes) - 2 * m : len(codes) - m], codes[len(codes) - m :], len(names))
+        for i in range(0, len(mine), 64):
+            part, found = mine[i : i + 64], []
+            open_ = np.uint64((1 << len(part)) - 1)
+            for k, word in _levels(part, len(names), step, hops):
+                if k < least:
+                    continue
+                reached = np.flatnonzero(word[:n] & open_)
+                words = word[reached]
+                for j in np.flatnonzero((np.bitwise_or.reduce(words) & open_) >> np.arange(64, dtype=np.uint64) & np.uint64(1)):
+                    found.append((int(part[j]), int(reached[np.argmax(words >> np.uint64(j) & np.uint64(1))]), k))
+                    open_ &= ~np.uint64(1 << int(j))
+                if not open_:
+                    break
+            if found:
+                s, via, k = zip(*found)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(s)), names.take(pa.array(via)), pa.array(k, pa.int32())], names=["src", "via", "distance"])
+
+    return run
+
+
+#: Sources with more nearer marked nodes than this are searched from: what they ask for would make long lists for all nodes on their way.
 _FEW = 8
 
 
@@ -151,7 +227,8 @@ def exposure(edges: DataFrame, marked: DataFrame, hops: int, least: int = 2) ->
 
     No closure: a source with x marked nodes nearer than `least` (itself among them) needs of each target's sorted marked nodes
     only the first x+1, of which one at least is new if any is. A source that finds one is done; for the others the same x stay excluded.
-    Beyond two hops such lists are passed on from node to node only for sources of small x; the few others find the last node but one first.
+    Beyond two hops such lists are passed on from node to node. Only sources of small x ask so, which bounds what is shuffled by some rows an edge.
+    From the others, as many as they may be, the graph is searched within tasks; a graph too large for one task lets them find the last node but one first.
     """
     edges = stage_table(edges.select("src", "dst"), "edges")
     marks = marked.where("node IS NOT NULL").select(F.col("node").alias("dst")).distinct()
@@ -165,16 +242,24 @@ def exposure(edges: DataFrame, marked: DataFrame, hops: int, least: int = 2) ->
     near = stage_table(near.distinct(), "near") if least > 1 else near
     open_ = near.groupBy("node").agg((F.count(F.lit(1)) + 1).alias("k"))
     out = near.where(F.lit(False)).select(F.col("node").alias("src"), F.col("member").alias("via"), F.lit(0).alias("distance"))
+    many = open_.where(F.col("k") > _FEW)
+    count = many.count()
+    large = edges.count() > _MOST_EDGES
+    if count and not large:
+        out = out.unionByName(_searched(many, count, edges, direct.select(F.col("member").alias("node")).distinct(), hops, least))
+        open_ = open_.where(F.col("k") <= _FEW)
     for k in range(least, hops + 1):
         if k == 1:
             found = direct.select("node", "member")
         elif k == 2:
             found = _firsts(open_, edges, direct)
         else:
-            few, many = open_.where(F.col("k") <= _FEW), open_.where(F.col("k") > _FEW)
+            few = open_.where(F.col("k") <= _FEW)
             asked = few.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("k").alias("k"))
-            forward = _walked(many, edges, direct.select("node").distinct(), k - 1)
-            found = _firsts(few, edges, _lists(asked, edges, direct, k - 1)).unionByName(_firsts(many, forward, direct))
+            found = _firsts(few, edges, _lists(asked, edges, direct, k - 1))
+            if count and large:
+                many = open_.where(F.col("k") > _FEW)
+                found = found.unionByName(_firsts(many, _walked(many, edges, direct.select("node").distinct(), k - 1), direct))
         best = found.join(near, ["node", "member"], "left_anti").groupBy("node").agg(F.min("member").alias("via"))
         best = stage_table(best.join(open_.select("node"), "node", "left_semi").select(F.col("node").alias("src"), "via", F.lit(k).alias("distance")), "exposed")
         out = out.unionByName(best)
