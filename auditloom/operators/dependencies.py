@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import names
 from auditloom.operators.rules import structural
+from auditloom.sources.work import stage_table
 
 
 def novel(added: DataFrame, known: DataFrame) -> DataFrame:
@@ -89,8 +90,12 @@ def near_names(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
 
     given and popular: name, n. A target is seen at least `ratio` times as often as the name and is no variant of it (-git, -bin and so on); names of
     fewer than four characters have none. The nearest target comes out, then the most popular, then the first by name.
-    Candidates come of equi-joins (`candidates`), not of a comparison of all pairs.
+    Candidates come of equi-joins (`candidates`), not of a comparison of all pairs. What they read several times is written first: it is evaluated once,
+    and planned once.
     """
+    same = popular is given
+    given = stage_table(given, "given")
+    popular = given if same else stage_table(popular, "popular")
     pairs = candidates(given, popular, ratio).withColumn("distance", names.osa_distance("name", "target", "k")).where("distance <= k AND distance > 0")
     best = pairs.groupBy("name").agg(F.min(F.struct("distance", (-F.col("target_n")).alias("r"), "target")).alias("_b"))
     return best.select("name", F.col("_b.target").alias("target"), F.col("_b.distance").alias("distance"))

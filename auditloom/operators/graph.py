@@ -140,13 +140,15 @@ def _firsts(wanted: DataFrame, edges: DataFrame, ranked: DataFrame) -> DataFrame
     return asked.join(ranked.select(F.col("node").alias("dst"), "member", "place"), ["dst", "place"]).select("node", "member").distinct()
 
 
+def _asked(wanted: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, k: the targets of wanted nodes (node, k), each with the most that one of these wants. Written, as are lists, for each is read several times."""
+    return stage_table(wanted.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("k").alias("k")), "asked")
+
+
 def _lists(wanted: DataFrame, edges: DataFrame, direct: DataFrame, steps: int) -> DataFrame:
-    """node, member, place: the first k marked nodes that each wanted node (node, k) reaches by a path of so many steps. direct has those of one step."""
-    if steps == 1:
-        return direct
-    asked = wanted.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("k").alias("k"))
-    ranked = _ranked(_firsts(wanted, edges, _lists(asked, edges, direct, steps - 1)))
-    return ranked.join(wanted, "node").where("place <= k").select("node", "member", "place")
+    """node, member, place: the first k marked nodes that each wanted node (node, k) reaches by a path of so many steps, two at least. direct has those of one step."""
+    ranked = _ranked(_firsts(wanted, edges, _lists(_asked(wanted, edges), edges, direct, steps - 1) if steps > 2 else direct))
+    return stage_table(ranked.join(wanted, "node").where("place <= k").select("node", "member", "place"), "lists")
 
 
 def _walked(starts: DataFrame, edges: DataFrame, ends: DataFrame, steps: int) -> DataFrame:
@@ -240,7 +242,7 @@ def exposure(edges: DataFrame, marked: DataFrame, hops: int, least: int = 2) ->
         lists = lists if k == 1 else edges.select(F.col("src").alias("node"), "dst").join(lists.select(F.col("node").alias("dst"), "member"), "dst").select("node", "member").distinct()
         near = near.unionByName(lists)
     near = stage_table(near.distinct(), "near") if least > 1 else near
-    open_ = near.groupBy("node").agg((F.count(F.lit(1)) + 1).alias("k"))
+    open_ = stage_table(near.groupBy("node").agg((F.count(F.lit(1)) + 1).alias("k")), "open")
     out = near.where(F.lit(False)).select(F.col("node").alias("src"), F.col("member").alias("via"), F.lit(0).alias("distance"))
     many = open_.where(F.col("k") > _FEW)
     count = many.count()
@@ -255,15 +257,14 @@ def exposure(edges: DataFrame, marked: DataFrame, hops: int, least: int = 2) ->
             found = _firsts(open_, edges, direct)
         else:
             few = open_.where(F.col("k") <= _FEW)
-            asked = few.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy(F.col("dst").alias("node")).agg(F.max("k").alias("k"))
-            found = _firsts(few, edges, _lists(asked, edges, direct, k - 1))
+            found = _firsts(few, edges, _lists(_asked(few, edges), edges, direct, k - 1))
             if count and large:
                 many = open_.where(F.col("k") > _FEW)
                 found = found.unionByName(_firsts(many, _walked(many, edges, direct.select("node").distinct(), k - 1), direct))
         best = found.join(near, ["node", "member"], "left_anti").groupBy("node").agg(F.min("member").alias("via"))
         best = stage_table(best.join(open_.select("node"), "node", "left_semi").select(F.col("node").alias("src"), "via", F.lit(k).alias("distance")), "exposed")
         out = out.unionByName(best)
-        open_ = open_.join(best.select(F.col("src").alias("node")), "node", "left_anti")
+        open_ = stage_table(open_.join(best.select(F.col("src").alias("node")), "node", "left_anti"), "open") if k < hops else open_
     return out
 
 

@@ -10,7 +10,7 @@ from auditloom.functions import payload
 from auditloom.operators import corpus, dataflow, dependencies, diffs, graph, properties, rule_sets, rules, trees
 from auditloom.plans import cycle, detectors, planted, relational
 from auditloom.plans.audit import audit
-from auditloom.sources.work import stage_table
+from auditloom.sources.work import release, stage_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -140,18 +140,29 @@ def _listed(rule: str, module, name: str, subject: str, condition: str) -> str:
 def registry_findings(spark: SparkSession, d: str) -> DataFrame:
     """What the detectors over the registry find, as findings of one form that unite with those of diffs and corpus.
 
-    Each detector runs once, on its own, and its findings are written: one plan of all would be too large for the driver.
+    Each detector runs once, on its own, and its findings are written: one plan of all would be too large for the driver. So are the dependencies and
+    edges, which several of them read. What a detector leaves behind is released before the next.
     """
+    added, known = detectors._dependencies(spark, d)
+    given = (stage_table(added, "added"), stage_table(known, "known"))
+    edges = stage_table(relational._edges(spark, d), "edges")
+    shared = dict.fromkeys(("novel_dependency", "dependency_typosquat", "dependency_expansion"), given) | dict.fromkeys(("orphan_dependency", "orphan_exposure", "in_degree"), edges)
     parts = []
     for name in dict.fromkeys(r[2] for r in _REGISTRY):
-        own = [r for r in _REGISTRY if r[2] == name]
-        rows = own[0][1].QUERIES[name](spark, d)
-        rows = stage_table(rows, "detected") if len(own) > 1 else rows
-        found = (dependencies.as_findings(rows.where(condition), subject, rule) for rule, _, _, subject, condition in own)
-        parts.append(stage_table(reduce(DataFrame.unionByName, found), "findings"))
+        parts.append(_found_by(spark, d, name, *([shared[name]] if name in shared else [])))
+        release(spark)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _found_by(spark: SparkSession, d: str, name: str, *shared) -> DataFrame:
+    """The findings of the rules that rest on a query, written; shared: what it takes besides."""
+    own = [r for r in _REGISTRY if r[2] == name]
+    rows = own[0][1].QUERIES[name](spark, d, *shared)
+    rows = stage_table(rows, "detected") if len(own) > 1 else rows
+    found = (dependencies.as_findings(rows.where(condition), subject, rule) for rule, _, _, subject, condition in own)
+    return stage_table(reduce(DataFrame.unionByName, found), "findings")
+
+
 @_query(relational._EDGES + f""", {relational._HELD.replace('WITH d AS', 'd AS', 1).strip()},
   adopted AS (SELECT DISTINCT name FROM moves WHERE kind = 'adopted'),
   paths AS (SELECT src, dst, 1 AS distance FROM edges UNION SELECT p.src, e.dst, distance + 1 FROM paths p JOIN edges e ON p.dst = e.src WHERE distance < 3 AND e.dst <> p.src),

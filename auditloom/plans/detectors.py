@@ -38,22 +38,22 @@ def _dependencies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query(_ADDED + "SELECT subject, name FROM added WHERE name NOT IN (SELECT name FROM known) AND EXISTS (SELECT 1 FROM known)")
-def novel_dependency(spark: SparkSession, d: str) -> DataFrame:
-    added, known = _dependencies(spark, d)
+def novel_dependency(spark: SparkSession, d: str, given: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    added, known = given or _dependencies(spark, d)
     return dependencies.novel(added, known).select("subject", "name")
 
 
 @query(_ADDED + """SELECT subject, count(*) AS n_added, round(count(*) * avg(1 / (1 + coalesce(n, 0))), 6) AS magnitude FROM added LEFT JOIN known USING (name)
   GROUP BY 1 HAVING count(*) >= 3 AND round(count(*) * avg(1 / (1 + coalesce(n, 0))), 6) >= 0.05""")
-def dependency_expansion(spark: SparkSession, d: str) -> DataFrame:
-    return dependencies.expansion(*_dependencies(spark, d), gate=0.05)
+def dependency_expansion(spark: SparkSession, d: str, given: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return dependencies.expansion(*(given or _dependencies(spark, d)), gate=0.05)
 
 
 @query(_ADDED + f""", given AS (SELECT DISTINCT name, 0 AS n, 10 AS ratio, {relational._STEM} AS stem FROM added WHERE name NOT IN (SELECT name FROM known) AND EXISTS (SELECT 1 FROM known)),
   popular AS (SELECT name, n, {relational._STEM} AS stem FROM known)""" + relational._NEAR)
-def dependency_typosquat(spark: SparkSession, d: str) -> DataFrame:
+def dependency_typosquat(spark: SparkSession, d: str, given: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """New dependency names that nothing knew, close to a known one."""
-    added, known = _dependencies(spark, d)
+    added, known = given or _dependencies(spark, d)
     fresh = dependencies.novel(added, known).select("name").distinct().withColumn("n", F.lit(0).cast("long"))
     return dependencies.near_names(fresh, known, 10)
 

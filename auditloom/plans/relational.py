@@ -230,8 +230,8 @@ def dependency_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_EDGES + "SELECT dst, count(*) AS n FROM edges GROUP BY 1 HAVING count(*) >= 5")
-def in_degree(spark: SparkSession, d: str) -> DataFrame:
-    return graph.in_degree(_edges(spark, d), 5)
+def in_degree(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
+    return graph.in_degree(edges or _edges(spark, d), 5)
 
 
 _CLOSURE = _EDGES + """, paths AS (
@@ -248,10 +248,10 @@ def closure_3hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_CLOSURE + "SELECT src, min_by(dst, (distance, dst)) AS via, min(distance) AS distance FROM closed JOIN orphans ON dst = name WHERE distance >= 2 GROUP BY 1")
-def orphan_exposure(spark: SparkSession, d: str) -> DataFrame:
+def orphan_exposure(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     """Packages that reach one without a maintainer over two or three hops."""
     orphans = table(spark, d, "packages").where(F.coalesce(F.trim("current_maintainer"), F.lit("")) == "").select(F.col("name").alias("node")).distinct()
-    return graph.exposure(_edges(spark, d), orphans, 3)
+    return graph.exposure(edges or _edges(spark, d), orphans, 3)
 
 
 @query(_EDGES + """, levels AS (
@@ -266,10 +266,10 @@ def dependency_walk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_EDGES + f""", {_HELD.replace('WITH d AS', 'd AS', 1).strip()}
 SELECT DISTINCT e.src, e.dst, m.kind, m.snapshot_no FROM edges e JOIN moves m ON e.dst = m.name WHERE m.kind <> 'transferred'""")
-def orphan_dependency(spark: SparkSession, d: str) -> DataFrame:
+def orphan_dependency(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
     """Packages that depend directly on one orphaned or adopted between two snapshots."""
     moves = corpus.transitions(_held(spark, d)).where("kind <> 'transferred'").select(F.col("name").alias("dst"), "kind", "snapshot_no")
-    return _edges(spark, d).join(moves, "dst").select("src", "dst", "kind", "snapshot_no").distinct()
+    return (edges or _edges(spark, d)).join(moves, "dst").select("src", "dst", "kind", "snapshot_no").distinct()
 
 
 # ---- urls and names --------------------------------------------------------------------------------------------------

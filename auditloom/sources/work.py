@@ -68,6 +68,14 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice what it no longer needs of steps that are done: shuffle files, broadcasts, its own memory.
+
+    These go when their handles are collected, and a driver that only plans may collect its old garbage rarely and late.
+    """
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for steps that cost far more than moving their input.
 
