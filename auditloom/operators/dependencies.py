@@ -67,10 +67,11 @@ def candidates(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
     rows = given.where(F.length("name") >= 4).select("name", "n", names.stem(F.col("name")).alias("stem"), F.when(F.length("name") < 8, 1).otherwise(2).alias("k"))
     targets = popular.select(F.col("name").alias("target"), F.col("n").alias("target_n"), F.length("name").alias("len"), names.stem(F.col("name")).alias("target_stem"))
     differ = (F.col("target_n") >= ratio * F.col("n")) & (F.col("target_stem") != F.col("stem"))
+    # By the size of their files these sides are small enough to be broadcast; they hold hundreds of rows a name.
     left = rows.where(F.length("name") <= _SHORT).withColumn("rest", F.explode(_without("name", F.col("k"))))
     # A target of up to 5 characters is compared with names of one edit only.
     right = targets.where((F.col("len") >= 3) & (F.col("len") <= _SHORT + 2)).withColumn("rest", F.explode(_without("target", F.when(F.col("len") < 6, 1).otherwise(2))))
-    close = left.join(right, "rest").where(differ & (F.col("name") != F.col("target")) & (F.abs(F.length("name") - F.col("len")) <= F.col("k"))).select("name", "k", "target", "target_n")
+    close = left.join(right.hint("merge"), "rest").where(differ & (F.col("name") != F.col("target")) & (F.abs(F.length("name") - F.col("len")) <= F.col("k"))).select("name", "k", "target", "target_n")
     rows = rows.where(F.length("name") > _SHORT)
     rows = rows.withColumn("parts", 2 * F.col("k") + 1)
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")).withColumn("at", F.expr("cast(floor(length(name) * i / parts) as int)"))
@@ -81,7 +82,7 @@ def candidates(given: DataFrame, popular: DataFrame, ratio: int) -> DataFrame:
     asked = pieces.select(F.length("name").alias("own"), "k", "size", "at").distinct()
     asked = asked.select("size", F.explode(F.expr("sequence(greatest(0, at - k), at + k)")).alias("at"), F.expr("sequence(own - k, own + k)").alias("lens")).withColumn("len", F.explode("lens")).drop("lens").distinct()
     targets = targets.join(asked, "len").withColumn("piece", F.expr("substring(target, at + 1, size)")).drop("size")
-    pairs = wide.join(targets, ["len", "at", "piece"]).where(differ).select("name", "k", "target", "target_n")
+    pairs = wide.join(targets.hint("merge"), ["len", "at", "piece"]).where(differ).select("name", "k", "target", "target_n")
     return close.unionByName(pairs).distinct()
 
 

@@ -44,3 +44,11 @@ def test_names_with_common_pieces_have_few_candidates(spark):
     made = {"".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) + "-utils" for _ in range(2000)}
     df = spark.createDataFrame([(x, 1) for x in sorted(made)], "name string, n long")
     assert dependencies.candidates(df, df, 1).count() < 20 * len(made)
+
+
+def test_what_deletions_leave_is_not_broadcast(spark, tmp_path):
+    """A small file of names: each gives hundreds of texts, which are not for the driver."""
+    spark.createDataFrame([(f"name-number-{i:04}", 1) for i in range(50)], "name string, n long").write.parquet(f"{tmp_path}/names")
+    df = spark.read.parquet(f"{tmp_path}/names")
+    plan = dependencies.candidates(df, df, 1)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and ("rest#" in x or "piece#" in x)] and "SortMergeJoin" in plan
